@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,11 @@ _JSON_OPTIONS = {
 }
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def address(street=None, zip_code=None, city=None, department_hint=None) -> Column:
     parts = {"street": street, "zip_code": zip_code, "city": city, "department_hint": department_hint}
     return F.struct(
@@ -62,20 +69,28 @@ def parse_address(c: Column, empty_object_as_street: bool = False) -> Column:
     numbers. An empty object gives an empty address, or its own text as the
     street with ``empty_object_as_street``.
     """
-    text = strip_whitespace(c)
-    # Python's None is the one word in a printed dictionary that JSON does not
-    # know; single quotes are accepted by the reader.
-    json_text = F.regexp_replace(text, r"(?<=[:,\[{]\s{0,8})None(?=\s*[,}\]])", "null")
     fields = f"`{STREET_FIELD}` string, `{CITY_FIELD}` string, `{ZIP_FIELD}` string, `_bad` string"
-    parsed = F.from_json(json_text, fields, _JSON_OPTIONS)
-    is_object = text.rlike(r"^\{") & parsed["_bad"].isNull()
-    raw_street = parsed[STREET_FIELD]
-    nested = F.from_json(raw_street, f"`{TEXT_FIELD}` string, `_bad` string", _JSON_OPTIONS)
-    street = F.when(raw_street.rlike(r"^\{"), nested[TEXT_FIELD]).otherwise(raw_street)
-    from_object = address(_field(street), _field(parsed[ZIP_FIELD]), _field(parsed[CITY_FIELD]))
-    if empty_object_as_street:
-        is_object = is_object & ~text.rlike(r"^\{\s*\}\z")
-    return F.when(is_object, from_object).otherwise(address(street=F.nullif(text, F.lit(""))))
+
+    def fields_of(text: Column, parsed: Column) -> Column:
+        is_object = text.rlike(r"^\{") & parsed["_bad"].isNull()
+        if empty_object_as_street:
+            is_object = is_object & ~text.rlike(r"^\{\s*\}\z")
+        found = address(_street(parsed[STREET_FIELD]), _field(parsed[ZIP_FIELD]), _field(parsed[CITY_FIELD]))
+        return F.when(is_object, found).otherwise(address(street=F.nullif(text, F.lit(""))))
+
+    def parse(text: Column) -> Column:
+        # Python's None is the one word in a printed dictionary that JSON does
+        # not know; single quotes are accepted by the reader.
+        json_text = F.regexp_replace(text, r"(?<=[:,\[{]\s{0,8})None(?=\s*[,}\]])", "null")
+        return let(F.from_json(json_text, fields, _JSON_OPTIONS), lambda parsed: fields_of(text, parsed))
+
+    return let(strip_whitespace(c), parse)
+
+
+def _street(raw: Column) -> Column:
+    """A street is text, or an object that holds the text."""
+    nested = F.from_json(raw, f"`{TEXT_FIELD}` string, `_bad` string", _JSON_OPTIONS)
+    return _field(F.when(raw.rlike(r"^\{"), nested[TEXT_FIELD]).otherwise(raw))
 
 
 def address_is_empty(addr: Column) -> Column:
@@ -94,9 +109,12 @@ def address_department(addr: Column) -> Column:
 
 def address_repr_norm(c: Column) -> Column:
     """Canonical lower-case text of an address, whatever form it came in."""
-    parsed = parse_address(c)
     plain = F.lower(strip_whitespace(F.coalesce(c, F.lit(""))))
-    return F.when(address_is_empty(parsed), plain).otherwise(F.lower(F.trim(address_string(parsed))))
+
+    def canonical(parsed: Column) -> Column:
+        return F.when(address_is_empty(parsed), plain).otherwise(F.lower(F.trim(address_string(parsed))))
+
+    return let(parse_address(c), canonical)
 
 
 def cache_key(name: Column, addr_text: Column) -> tuple[Column, Column]:
@@ -138,18 +156,21 @@ def entity_address(df: DataFrame, columns: EntityColumns) -> Column:
                 return address_component(F.col(name))
         return F.lit(None).cast("string")
 
-    stated = parse_address(F.col(columns.address_col))
     zip_code = from_columns(columns.zip_code_col, ZIP_FALLBACKS)
     city = from_columns(columns.city_col, CITY_FALLBACKS)
     hint = from_columns(columns.department_col, DEPARTMENT_FALLBACKS)
     placed = F.coalesce(zip_code, city, hint).isNotNull()
-    street_only = stated["street"].isNotNull() & F.coalesce(stated["city"], stated["zip_code"]).isNull() & placed
-    return address(
-        street=F.when(~street_only, stated["street"]),
-        zip_code=F.coalesce(stated["zip_code"], zip_code),
-        city=F.coalesce(stated["city"], city, F.when(street_only, stated["street"])),
-        department_hint=hint,
-    )
+
+    def merged(stated: Column) -> Column:
+        street_only = stated["street"].isNotNull() & F.coalesce(stated["city"], stated["zip_code"]).isNull() & placed
+        return address(
+            street=F.when(~street_only, stated["street"]),
+            zip_code=F.coalesce(stated["zip_code"], zip_code),
+            city=F.coalesce(stated["city"], city, F.when(street_only, stated["street"])),
+            department_hint=hint,
+        )
+
+    return let(parse_address(F.col(columns.address_col)), merged)
 
 
 OFFER_ENTITY = EntityColumns(

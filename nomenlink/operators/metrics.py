@@ -77,7 +77,7 @@ def classification_report(scored: DataFrame, threshold: float = DECISION_THRESHO
 
 
 def score_table(scored: DataFrame) -> DataFrame:
-    """Per distinct score: its positives and negatives, and those at lower scores.
+    """Per distinct score: its positives and negatives, those at lower scores, all.
 
     Scores are counted first. The running totals then go over a fixed number
     of score bins and inside each bin, so no task sees all scores.
@@ -89,12 +89,15 @@ def score_table(scored: DataFrame) -> DataFrame:
     )
     scores = scores.withColumn("bin", score_bin)
     before_bin = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    all_bins = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     zero = F.lit(0).cast("long")
     bins = scores.groupBy("bin").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     bins = bins.select(
         "bin",
         F.coalesce(F.sum("p").over(before_bin), zero).alias("pos_base"),
         F.coalesce(F.sum("n").over(before_bin), zero).alias("neg_base"),
+        F.sum("p").over(all_bins).alias("pos_all"),
+        F.sum("n").over(all_bins).alias("neg_all"),
     )
     in_bin = Window.partitionBy("bin").orderBy("pred").rowsBetween(Window.unboundedPreceding, -1)
     return scores.join(bins, "bin").select(
@@ -103,6 +106,8 @@ def score_table(scored: DataFrame) -> DataFrame:
         "neg",
         (F.col("pos_base") + F.coalesce(F.sum("pos").over(in_bin), zero)).alias("pos_below"),
         (F.col("neg_base") + F.coalesce(F.sum("neg").over(in_bin), zero)).alias("neg_below"),
+        "pos_all",
+        "neg_all",
     )
 
 
@@ -116,9 +121,7 @@ def roc_auc(scored: DataFrame) -> DataFrame:
 def average_precision(scored: DataFrame) -> DataFrame:
     """Precision at every distinct score, weighted by the recall it adds."""
     table = score_table(scored)
-    totals = table.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    all_pos, all_neg = totals.select("pos").scalar(), totals.select("neg").scalar()
-    above_pos, above_neg = all_pos - F.col("pos_below"), all_neg - F.col("neg_below")
+    above_pos, above_neg = F.col("pos_all") - F.col("pos_below"), F.col("neg_all") - F.col("neg_below")
     step = F.col("pos") * above_pos / F.nullif(above_pos + above_neg, F.lit(0))
     return table.agg((F.sum(step) / F.nullif(F.sum("pos"), F.lit(0))).alias("average_precision"))
 

@@ -39,18 +39,25 @@ REGISTER_SCHEMA = T.StructType(
 )
 
 # one page of the register interface, as landed JSON
-REGISTER_PAGE_SCHEMA = T.StructType.fromDDL(
-    """
-    header struct<total: bigint, curseurSuivant: string>,
-    etablissements array<struct<
-        siren: string,
-        siret: string,
-        etablissementSiege: boolean,
-        uniteLegale: struct<denominationUniteLegale: string, nomUniteLegale: string, sigleUniteLegale: string>,
-        periodesEtablissement: array<struct<enseigne1Etablissement: string, activitePrincipaleEtablissement: string>>,
-        adresseEtablissement: struct<codePostalEtablissement: string, libelleCommuneEtablissement: string>
-    >>
-    """
+_TEXT = T.StringType()
+_UNIT = (
+    T.StructType().add("denominationUniteLegale", _TEXT).add("nomUniteLegale", _TEXT).add("sigleUniteLegale", _TEXT)
+)
+_PERIOD = T.StructType().add("enseigne1Etablissement", _TEXT).add("activitePrincipaleEtablissement", _TEXT)
+_PLACE = T.StructType().add("codePostalEtablissement", _TEXT).add("libelleCommuneEtablissement", _TEXT)
+_ESTABLISHMENT = (
+    T.StructType()
+    .add("siren", _TEXT)
+    .add("siret", _TEXT)
+    .add("etablissementSiege", T.BooleanType())
+    .add("uniteLegale", _UNIT)
+    .add("periodesEtablissement", T.ArrayType(_PERIOD))
+    .add("adresseEtablissement", _PLACE)
+)
+REGISTER_PAGE_SCHEMA = (
+    T.StructType()
+    .add("header", T.StructType().add("total", T.LongType()).add("curseurSuivant", _TEXT))
+    .add("etablissements", T.ArrayType(_ESTABLISHMENT))
 )
 
 # bulk register: synonyms per output column, the first one present wins
