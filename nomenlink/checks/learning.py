@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from nomenlink import bindings as b
@@ -164,11 +167,17 @@ def pair_features(spark, sf):
 _ROUNDS = 20
 
 
-def _trained(spark, sf):
-    rows = features(spark, sf)
+@lru_cache(maxsize=4)
+def _trained_once(app_id: str, sf: str):
+    rows = features(SparkSession.getActiveSession(), sf)
     return matcher.train_matcher(rows, rounds=_ROUNDS), rows
 
 
+def _trained(spark, sf):
+    """One classifier per session and table folder, for all queries that use one."""
+    return _trained_once(spark.sparkContext.applicationId, sf)
+
+
 @check("train_matcher")
 def train_matcher(spark, sf):
     """The classifier's metrics on the pairs it was not trained on."""

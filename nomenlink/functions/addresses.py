@@ -90,7 +90,7 @@ def parse_address(c: Column, empty_object_as_street: bool = False) -> Column:
 def _street(raw: Column) -> Column:
     """A street is text, or an object that holds the text."""
     nested = F.from_json(raw, f"`{TEXT_FIELD}` string, `_bad` string", _JSON_OPTIONS)
-    return _field(F.when(raw.rlike(r"^\{"), nested[TEXT_FIELD]).otherwise(raw))
+    return let(F.when(raw.rlike(r"^\{"), nested[TEXT_FIELD]).otherwise(raw), _field)
 
 
 def address_is_empty(addr: Column) -> Column:

@@ -14,6 +14,7 @@ from nomenlink.functions.names import is_consortium, is_slash_name, members_of
 from nomenlink.operators import cache as known
 from nomenlink.operators.blocking import CANDIDATE_LIMIT, block_department, rank_candidates
 from nomenlink.schemas import CONFIDENCE_CACHE, CONFIDENCE_NONE, CONFIDENCE_OFFICIAL, EntityColumns
+from nomenlink.session import materialise
 
 # --- fixed values: acceptance thresholds and the bonus of an equal zip code
 STRICT_THRESHOLD = 0.85
@@ -203,7 +204,7 @@ def provider_chain(queries: DataFrame, providers: list[Provider]) -> DataFrame:
     if not providers:
         raise ValueError("at least one provider is needed")
     answers = None
-    for provider in providers:
+    for position, provider in enumerate(providers):
         left = queries if answers is None else queries.join(answers.select(*QUERY_KEY), QUERY_KEY, "left_anti")
         found = provider.resolve(left).select(
             *QUERY_KEY,
@@ -212,6 +213,9 @@ def provider_chain(queries: DataFrame, providers: list[Provider]) -> DataFrame:
             F.lit(provider.name).alias("provider"),
             F.lit(provider.confidence).alias("confidence"),
         )
+        if position + 1 < len(providers):
+            # Read again by every later provider, so computed only once.
+            found = materialise(found, f"answers-{provider.name}")
         answers = found if answers is None else answers.unionByName(found)
     return answers
 
@@ -254,14 +258,17 @@ def resolve(queries: DataFrame, providers: list[Provider], cache: DataFrame | No
     """Every distinct query with its answer, or with confidence ``none``.
 
     With a cache, whole names are looked up before composite names are split.
+    The distinct queries and the cache hits are written to the shared folder.
     """
-    distinct = dedup_entities(queries)
+    # The only pass over the rows; the steps below start from these files.
+    distinct = materialise(dedup_entities(queries), "queries")
     chain = list(providers)
     whole = None
     rest = distinct
     if cache is not None:
         provider = cache_provider(cache)
-        whole = provider_chain(distinct, [provider]).withColumn("matched_name", F.lit(None).cast("string"))
+        hits = materialise(provider_chain(distinct, [provider]), "cache-hits")
+        whole = hits.withColumn("matched_name", F.lit(None).cast("string"))
         rest = distinct.join(whole.select(*QUERY_KEY), QUERY_KEY, "left_anti")
         chain = [provider, *chain]
     answers = consortium_resolve(rest, chain)
