@@ -27,8 +27,3 @@ def digest_number(seed: int | str, *keys: Column) -> Column:
 def fraction(seed: int | str, *keys: Column) -> Column:
     """Number from 0 inclusive to 1 exclusive."""
     return digest_number(seed, *keys) / F.lit(float(_SPAN))
-
-
-def bucket(n: Column | int, seed: int | str, *keys: Column) -> Column:
-    n = F.lit(n) if isinstance(n, int) else n
-    return F.pmod(digest_number(seed, *keys), n.cast("long"))

@@ -6,8 +6,10 @@ import re
 import unicodedata
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from nomenlink.functions.identifiers import strip_whitespace
 
@@ -99,26 +101,6 @@ def accent_table() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
-@cache
-def compatibility_table() -> tuple[str, str, dict[str, str]]:
-    """Characters whose compatibility form has ASCII characters.
-
-    Returns the one-to-one part as two strings for ``translate`` and the
-    one-to-many part as a dictionary.
-    """
-    source, target, many = [], [], {}
-    for code in range(0x80, 0x10000):
-        if 0xD800 <= code <= 0xDFFF:
-            continue
-        kept = "".join(ch for ch in unicodedata.normalize("NFKD", chr(code)) if ord(ch) < 128)
-        if len(kept) == 1:
-            source.append(chr(code))
-            target.append(kept)
-        elif kept:
-            many[chr(code)] = kept
-    return "".join(source), "".join(target), many
-
-
 def strip_accents(c: Column) -> Column:
     source, target = accent_table()
     return F.translate(c, source, target)
@@ -129,15 +111,17 @@ def name_norm(c: Column) -> Column:
     return F.lower(strip_accents(F.trim(c)))
 
 
+@F.pandas_udf(StringType())
+def _compatibility_ascii(texts: pd.Series) -> pd.Series:
+    return texts.str.normalize("NFKD").str.encode("ascii", errors="ignore").str.decode("ascii")
+
+
 def ascii_fold(c: Column) -> Column:
-    """Compatibility decomposition with everything outside ASCII dropped."""
-    source, target, many = compatibility_table()
-    single = F.translate(c, source, target)
-    expansions = F.create_map(*[F.lit(part) for pair in many.items() for part in pair])
-    letters = F.transform(F.split(single, ""), lambda ch: F.coalesce(F.try_element_at(expansions, ch), ch))
-    # Only texts that hold such a character pay for the walk over letters.
-    has_many = single.rlike("[" + "".join(re.escape(ch) for ch in many) + "]")
-    return F.regexp_replace(F.when(has_many, F.array_join(letters, "")).otherwise(single), r"[^\x00-\x7F]", "")
+    """Compatibility decomposition with everything outside ASCII dropped.
+
+    Spark has no such function. Only texts that need it cross into Python.
+    """
+    return F.coalesce(_compatibility_ascii(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
 def _plain_key(text: str) -> str:

@@ -115,18 +115,26 @@ def priority_class(name: Column, zip_code: Column, city: Column, department: Col
     )
 
 
-def _tiles(profiles: DataFrame, dept: str, key: str, fields: list[str], size: int, tile: str) -> DataFrame:
+def _tile_counts(profiles: DataFrame, dept: str, size: int, tile: str) -> DataFrame:
+    """How many tiles each department needs on one side; one small row each."""
+    return profiles.groupBy(F.col(dept).alias("dept")).agg(F.ceil(F.count(F.lit(1)) / size).alias(f"n_{tile}"))
+
+
+def _tiles(profiles: DataFrame, counts: DataFrame, dept: str, key: str, fields: list[str], tile: str) -> DataFrame:
     """One row per department and tile, with the fields of its profiles as arrays."""
-    sizes = profiles.groupBy(dept).agg(F.ceil(F.count(F.lit(1)) / size).alias("n_tiles"))
     packed = (
-        profiles.join(sizes, dept)
-        .withColumn(tile, F.pmod(F.xxhash64(key), F.col("n_tiles")))
-        .groupBy(dept, tile, "n_tiles")
+        profiles.withColumnRenamed(dept, "dept")
+        .join(counts, "dept")
+        .groupBy("dept", F.pmod(F.xxhash64(key), F.col(f"n_{tile}")).alias(tile))
         .agg(F.collect_list(F.struct(*fields)).alias("rows"))
     )
-    return packed.select(
-        F.col(dept).alias("dept"), tile, F.col("n_tiles").alias(f"n_{tile}"), *[F.col(f"rows.{f}").alias(f) for f in fields]
-    )
+    return packed.select("dept", tile, *[F.col(f"rows.{f}").alias(f) for f in fields])
+
+
+def _copied(tiles: DataFrame, counts: DataFrame, tile: str) -> DataFrame:
+    """A copy of each tile for every tile of the other side of its department."""
+    last = F.col(f"n_{tile}") - 1
+    return tiles.join(counts, "dept").withColumn(tile, F.explode(F.sequence(F.lit(0).cast("long"), last))).drop(f"n_{tile}")
 
 
 _TOP_SCHEMA = "q_id string, p_id string, priority int, name_sim double, p_hq boolean, p_first string"
@@ -224,25 +232,21 @@ def rank_candidates(queries: DataFrame, register: DataFrame, k: int = CANDIDATE_
     profiles = listed.groupBy("p_id", *_P_KEY).agg(
         F.min(F.concat_ws("|", F.coalesce("siren", F.lit("")), F.coalesce("siret", F.lit("")))).alias("p_first")
     )
-    q_tiles = _tiles(asked.select("q_id", *_Q_KEY).distinct(), "q_dept", "q_id",
-                     ["q_id", "q_name", "q_zip", "q_city"], QUERY_TILE, "q_tile")
-    p_tiles = _tiles(profiles, "p_dept", "p_id",
-                     ["p_id", "p_zip", "p_city", "p_official", "p_trade", "p_acronym", "p_hq", "p_first"],
-                     PROFILE_TILE, "p_tile")
-    # Each side is copied once per tile of the other, under a key of its own,
-    # so that no department gathers in one task.
-    q_counts = q_tiles.select("dept", "n_q_tile").distinct()
-    p_counts = p_tiles.select("dept", "n_p_tile").distinct()
+    distinct = asked.select("q_id", *_Q_KEY).distinct()
+    q_counts = _tile_counts(distinct, "q_dept", QUERY_TILE, "q_tile")
+    p_counts = _tile_counts(profiles, "p_dept", PROFILE_TILE, "p_tile")
+    q_fields = ["q_id", "q_name", "q_zip", "q_city"]
+    p_fields = ["p_id", "p_zip", "p_city", "p_official", "p_trade", "p_acronym", "p_hq", "p_first"]
+    q_tiles = _tiles(distinct, q_counts, "q_dept", "q_id", q_fields, "q_tile")
+    p_tiles = _tiles(profiles, p_counts, "p_dept", "p_id", p_fields, "p_tile")
+    # A pair of tiles has a key of its own, so no department gathers in one
+    # task. The number of tasks is fixed here because a tile pair is little
+    # data but much work, which the engine would pack into few tasks.
     keys = ["dept", "q_tile", "p_tile"]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    left = q_tiles.join(p_counts, "dept").withColumn("p_tile", F.explode(F.sequence(F.lit(0), F.col("n_p_tile") - 1)))
-    right = p_tiles.join(q_counts, "dept").withColumn("q_tile", F.explode(F.sequence(F.lit(0), F.col("n_q_tile") - 1)))
-    pairs = (
-        left.drop("n_q_tile", "n_p_tile")
-        .join(right.drop("n_q_tile", "n_p_tile").hint("shuffle_hash"), keys)
-        .drop(*keys)
-        .repartition(parts)
-    )
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    left = _copied(q_tiles, p_counts, "p_tile")
+    right = _copied(p_tiles, q_counts, "q_tile")
+    pairs = left.join(right, keys).drop(*keys).repartition(tasks)
     best = Window.partitionBy("q_id").orderBy(
         "priority", F.desc("name_sim"), F.desc("p_hq"), "p_first"
     )

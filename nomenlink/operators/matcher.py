@@ -40,10 +40,10 @@ def train_matcher(
     not occur on the training side.
     """
     rows = group_split(labelled_only(features), seed=seed).withColumn("label", F.col("label").cast("double"))
-    shares = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    weights = shares.select("label", (1.0 / F.col("n")).alias("weight"))
-    total = shares.agg(F.sum("n")).scalar()
-    weighted = rows.join(weights, "label").withColumn("weight", F.col("weight") * total / 2)
+    n = rows.agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")).first()
+    total = n["pos"] + n["neg"]
+    balance = F.when(F.col("label") == 1, total / (2 * max(1, n["pos"]))).otherwise(total / (2 * max(1, n["neg"])))
+    weighted = rows.withColumn("weight", balance)
     trees = GBTClassifier(
         featuresCol="features",
         labelCol="label",
@@ -138,9 +138,6 @@ def naf_text_score(df: DataFrame, text_col: str = "naf_label", terms: int = TEXT
         ]
     )
     labels = df.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("_text")).distinct()
-    model = pipeline.fit(labels)
     weights = F.aggregate(vector_to_array("_scaled"), F.lit(0.0), lambda total, x: total + x)
-    scores = model.transform(labels).select(F.col("_text").alias(text_col), weights.alias("naf_semantic_score"))
-    return df.join(scores, text_col, "left").withColumn(
-        "naf_semantic_score", F.coalesce("naf_semantic_score", F.lit(0.0))
-    )
+    scored = pipeline.fit(labels).transform(df.withColumn("_text", F.coalesce(text_col, F.lit(""))))
+    return scored.select(*df.columns, weights.alias("naf_semantic_score"))

@@ -16,9 +16,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nomenlink.functions.hashing import bucket
+from nomenlink.functions.hashing import digest_number
 from nomenlink.operators.sampling import SEED, hash_sample
 from nomenlink.operators.silver import MAX_PAIRS, PAIR_COLUMNS, GeoLevel, known_groups
+from nomenlink.session import materialise
 
 _OVERSAMPLING = 2
 
@@ -42,42 +43,50 @@ def _candidates(norm: DataFrame) -> DataFrame:
 _CANDIDATE_PLACE = {"city_key": "cand_city", "zipcode_norm": "cand_zip", "dept_norm": "cand_dept"}
 
 
+def _grouped(rows: DataFrame, on: list[str], count: str) -> DataFrame:
+    return rows.groupBy(*on, "_name", "_siren").agg(F.count(F.lit(1)).alias(count))
+
+
 def _count_pairs(positives: DataFrame, candidates: DataFrame, on: list[str]) -> int:
     """Pairs that agree on ``on`` and differ in name and in identifier.
 
     All pairs, less those with the same name, less those with the same
     identifier, plus those taken away twice; each from grouped counts.
     """
+    left, right = _grouped(positives, on, "n_left"), _grouped(candidates, on, "n_right")
 
-    def agreeing(extra: list[str]) -> DataFrame:
+    def agreeing(extra: list[str], sign: int) -> DataFrame:
         keys = on + extra
-        left = positives.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_left"))
-        right = candidates.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_right"))
-        return left.join(right, keys).agg(
-            F.coalesce(F.sum(F.col("n_left") * F.col("n_right")), F.lit(0)).alias("n")
-        )
+        a, b = (side.groupBy(*keys).agg(F.sum(side.columns[-1]).alias(side.columns[-1])) for side in (left, right))
+        return a.join(b, keys).agg(F.coalesce(F.sum(sign * F.col("n_left") * F.col("n_right")), F.lit(0)).alias("n"))
 
-    terms = [
-        agreeing([]).withColumn("sign", F.lit(1)),
-        agreeing(["_name"]).withColumn("sign", F.lit(-1)),
-        agreeing(["_siren"]).withColumn("sign", F.lit(-1)),
-        agreeing(["_name", "_siren"]).withColumn("sign", F.lit(1)),
-    ]
-    total = reduce(DataFrame.unionByName, terms).agg(F.sum(F.col("n") * F.col("sign")).alias("n"))
-    return int(total.first()["n"])
+    terms = [agreeing([], 1), agreeing(["_name"], -1), agreeing(["_siren"], -1), agreeing(["_name", "_siren"], 1)]
+    return int(reduce(DataFrame.unionByName, terms).agg(F.sum("n").alias("n")).first()["n"])
 
 
 def _draw(
     positives: DataFrame, candidates: DataFrame, on: list[str], kind: str, n: int, seed: int
 ) -> DataFrame:
-    left = positives.withColumns({"_name": F.col("nom_key"), "_siren": F.col("target_siren")})
-    right = candidates.withColumns({"_name": F.col("cand_nom_key"), "_siren": F.col("cand_siren")})
+    left = positives.withColumns(
+        {
+            "_name": F.col("nom_key"),
+            "_siren": F.col("target_siren"),
+            "_number": digest_number(seed, *[F.col(c) for c in _POSITIVE_KEY]),
+        }
+    )
+    right = candidates.withColumns(
+        {
+            "_name": F.col("cand_nom_key"),
+            "_siren": F.col("cand_siren"),
+            "_number": digest_number(seed, *[F.col(c) for c in _CANDIDATE_KEY]),
+        }
+    )
+    # Both sides are read by every count below and by the draw itself.
+    left, right = materialise(left, f"{kind}-left"), materialise(right, f"{kind}-right")
 
     def bucketed(buckets: int) -> tuple[DataFrame, DataFrame]:
-        return (
-            left.withColumn("_bucket", bucket(buckets, seed, *[F.col(c) for c in _POSITIVE_KEY])),
-            right.withColumn("_bucket", bucket(buckets, seed, *[F.col(c) for c in _CANDIDATE_KEY])),
-        )
+        number = F.pmod("_number", F.lit(buckets).cast("long"))
+        return left.withColumn("_bucket", number), right.withColumn("_bucket", number)
 
     keys = [*on, "_bucket"]
     total = _count_pairs(*bucketed(1), keys)
@@ -86,7 +95,8 @@ def _draw(
     while buckets > 1 and _count_pairs(*bucketed(buckets), keys) < n:
         buckets //= 2
     left, right = bucketed(buckets)
-    pairs = left.drop("_name", "_siren").join(right.drop("_name", "_siren"), keys).where(
+    helpers = ["_name", "_siren", "_number"]
+    pairs = left.drop(*helpers).join(right.drop(*helpers), keys).where(
         (F.col("nom_key") != F.col("cand_nom_key")) & (F.col("target_siren") != F.col("cand_siren"))
     )
     # The digest covers both sides in full, so rows of one digest are identical.
