@@ -59,6 +59,8 @@ def main() -> None:
     spark = build_session(
         "bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__ui__enabled="false",
         spark__driver__memory="16g", spark__ui__showConsoleProgress="false",
+        # Test tables are small in bytes but not in work; keep all cores busy.
+        spark__sql__adaptive__coalescePartitions__minPartitionSize="64k",
     )
     spark.sparkContext.setLogLevel("ERROR")
 

@@ -122,8 +122,18 @@ def from_sql(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
     return spark.sql(re.sub(r"\b(from|join) (\w+)\b", view, query))
 
 
+def _spread(rows: DataFrame, source: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores when their table is fewer files than there are cores.
+
+    A table of one file and one row group is read by one task, however much
+    work follows. Tables of many files are left as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if len(source.inputFiles()) < cores else rows
+
+
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_sql(spark, sf_dir, OFFERS_SQL)
+    return _spread(from_sql(spark, sf_dir, OFFERS_SQL), table(spark, sf_dir, "orders"), "offer_id")
 
 
 def register(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +141,7 @@ def register(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def employer_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_sql(spark, sf_dir, EMPLOYER_OFFERS_SQL)
+    return _spread(from_sql(spark, sf_dir, EMPLOYER_OFFERS_SQL), table(spark, sf_dir, "orders"), "offer_id")
 
 
 def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,4 +188,4 @@ def register_pages(spark: SparkSession, sf_dir: str, page_size: int = 1000) -> D
 
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_sql(spark, sf_dir, CONTRACTS_SQL)
+    return _spread(from_sql(spark, sf_dir, CONTRACTS_SQL), table(spark, sf_dir, "orders"), "contract_id")

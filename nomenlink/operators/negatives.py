@@ -43,21 +43,23 @@ def _candidates(norm: DataFrame) -> DataFrame:
 _CANDIDATE_PLACE = {"city_key": "cand_city", "zipcode_norm": "cand_zip", "dept_norm": "cand_dept"}
 
 
-def _grouped(rows: DataFrame, on: list[str], count: str) -> DataFrame:
-    return rows.groupBy(*on, "_name", "_siren").agg(F.count(F.lit(1)).alias(count))
-
-
-def _count_pairs(positives: DataFrame, candidates: DataFrame, on: list[str]) -> int:
+def _total_pairs(positives: DataFrame, candidates: DataFrame, on: list[str], kind: str) -> int:
     """Pairs that agree on ``on`` and differ in name and in identifier.
 
     All pairs, less those with the same name, less those with the same
     identifier, plus those taken away twice; each from grouped counts.
     """
-    left, right = _grouped(positives, on, "n_left"), _grouped(candidates, on, "n_right")
+
+    def grouped(rows: DataFrame, count: str) -> DataFrame:
+        counts = rows.groupBy(*on, "_name", "_siren").agg(F.count(F.lit(1)).alias(count))
+        return materialise(counts, f"{kind}-{count}")
+
+    left, right = grouped(positives, "n_left"), grouped(candidates, "n_right")
 
     def agreeing(extra: list[str], sign: int) -> DataFrame:
-        keys = on + extra
-        a, b = (side.groupBy(*keys).agg(F.sum(side.columns[-1]).alias(side.columns[-1])) for side in (left, right))
+        keys = [*on, *extra, "_all"]
+        sides = (side.withColumn("_all", F.lit(0)) for side in (left, right))
+        a, b = (side.groupBy(*keys).agg(F.sum(c).alias(c)) for side, c in zip(sides, ("n_left", "n_right")))
         return a.join(b, keys).agg(F.coalesce(F.sum(sign * F.col("n_left") * F.col("n_right")), F.lit(0)).alias("n"))
 
     terms = [agreeing([], 1), agreeing(["_name"], -1), agreeing(["_siren"], -1), agreeing(["_name", "_siren"], 1)]
@@ -67,6 +69,7 @@ def _count_pairs(positives: DataFrame, candidates: DataFrame, on: list[str]) ->
 def _draw(
     positives: DataFrame, candidates: DataFrame, on: list[str], kind: str, n: int, seed: int
 ) -> DataFrame:
+    helpers = ["_name", "_siren", "_number"]
     left = positives.withColumns(
         {
             "_name": F.col("nom_key"),
@@ -81,27 +84,24 @@ def _draw(
             "_number": digest_number(seed, *[F.col(c) for c in _CANDIDATE_KEY]),
         }
     )
-    # Both sides are read by every count below and by the draw itself.
-    left, right = materialise(left, f"{kind}-left"), materialise(right, f"{kind}-right")
 
-    def bucketed(buckets: int) -> tuple[DataFrame, DataFrame]:
+    def drawn(buckets: int) -> DataFrame:
         number = F.pmod("_number", F.lit(buckets).cast("long"))
-        return left.withColumn("_bucket", number), right.withColumn("_bucket", number)
+        sides = (side.withColumn("_bucket", number).drop(*helpers) for side in (left, right))
+        differ = (F.col("nom_key") != F.col("cand_nom_key")) & (F.col("target_siren") != F.col("cand_siren"))
+        a, b = sides
+        return materialise(a.join(b, [*on, "_bucket"]).where(differ), f"{kind}-pairs")
 
-    keys = [*on, "_bucket"]
-    total = _count_pairs(*bucketed(1), keys)
+    total = _total_pairs(left, right, on, kind)
     buckets = max(1, total // (_OVERSAMPLING * n))
+    pairs = drawn(buckets)
     # Few distinct rows can leave buckets uneven; fewer buckets then.
-    while buckets > 1 and _count_pairs(*bucketed(buckets), keys) < n:
+    while buckets > 1 and pairs.count() < n:
         buckets //= 2
-    left, right = bucketed(buckets)
-    helpers = ["_name", "_siren", "_number"]
-    pairs = left.drop(*helpers).join(right.drop(*helpers), keys).where(
-        (F.col("nom_key") != F.col("cand_nom_key")) & (F.col("target_siren") != F.col("cand_siren"))
-    )
+        pairs = drawn(buckets)
     # The digest covers both sides in full, so rows of one digest are identical.
-    drawn = hash_sample(pairs, n, seed, [*_POSITIVE_KEY, *_CANDIDATE_KEY])
-    return drawn.select(
+    sampled = hash_sample(pairs, n, seed, [*_POSITIVE_KEY, *_CANDIDATE_KEY])
+    return sampled.select(
         *PAIR_COLUMNS[:7],
         F.col("cand_siren").alias("target_siren"),
         F.col("cand_name").alias("known_entreprise_nom"),
