@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from nomenlink.functions.identifiers import department_of
 from nomenlink.functions.similarity import encode, jaro_winkler_to
+from nomenlink.operators.skew import salted_join
+from nomenlink.session import materialise
 
 # --- fixed values: candidates per query, classes of geographic closeness
 CANDIDATE_LIMIT = 64
@@ -74,8 +76,8 @@ def _register_profiles(register: DataFrame) -> DataFrame:
 def candidate_blocking(queries: DataFrame, register: DataFrame) -> DataFrame:
     """How many register rows each query would be compared with, per closeness.
 
-    Block sizes come from grouped counts of the register, so the report costs
-    three equi-joins and no pair.
+    Block sizes come from grouped counts of the register, matched to the
+    distinct places of the queries; no pair is formed.
     """
     rows = register.select(
         F.col("code_departement").alias("department"),
@@ -83,22 +85,26 @@ def candidate_blocking(queries: DataFrame, register: DataFrame) -> DataFrame:
         F.lower("commune").alias("city_key"),
     ).where(F.col("department").isNotNull())
     n = F.count(F.lit(1))
-    by_department = rows.groupBy("department").agg(n.alias("n_department"))
-    by_zip = rows.groupBy("department", "zip_code").agg(n.alias("n_zip"))
-    by_city = rows.groupBy("department", "zip_code", "city_key").agg(n.alias("n_zip_city"))
-    counted = (
-        queries.withColumn("city_key", F.lower("city"))
+    by_city = rows.groupBy("department", "zip_code", "city_key").agg(n.alias("n_zip_and_city"))
+    by_zip = by_city.groupBy("department", "zip_code").agg(F.sum("n_zip_and_city").alias("n_zip"))
+    by_department = by_zip.groupBy("department").agg(F.sum("n_zip").alias("n_candidates"))
+    place = ["department", "zip_code", "city_key"]
+    asked = queries.withColumn("city_key", F.lower("city"))
+    sized = (
+        asked.select(*place)
+        .distinct()
         .join(by_department, "department", "left")
         .join(by_zip, ["department", "zip_code"], "left")
-        .join(by_city, ["department", "zip_code", "city_key"], "left")
+        .join(by_city, place, "left")
     )
-    zero = F.lit(0).cast("long")
-    return counted.select(
-        *queries.columns,
-        F.coalesce("n_zip_city", zero).alias("n_zip_and_city"),
-        F.coalesce("n_zip", zero).alias("n_zip"),
-        F.coalesce("n_department", zero).alias("n_candidates"),
+    counts = ["n_zip_and_city", "n_zip", "n_candidates"]
+    # A query without a full place still has a department to search.
+    plain = {name: F.coalesce(F.col(name), F.lit("")) for name in place}
+    keyed = asked.withColumns({f"_{name}": c for name, c in plain.items()})
+    sized = sized.groupBy(*[c.alias(f"_{name}") for name, c in plain.items()]).agg(
+        *[F.coalesce(F.max(c), F.lit(0).cast("long")).alias(c) for c in counts]
     )
+    return salted_join(keyed, sized, [f"_{name}" for name in place]).select(*queries.columns, *counts)
 
 
 def priority_class(name: Column, zip_code: Column, city: Column, department: Column) -> Column:
@@ -216,19 +222,9 @@ def _score_tile(cell: dict[str, pa.Array], k: int) -> pa.RecordBatch:
     )
 
 
-def rank_candidates(queries: DataFrame, register: DataFrame, k: int = CANDIDATE_LIMIT) -> DataFrame:
-    """The k best register rows of its department for every query.
-
-    ``queries`` has ``query_id, name, zip_code, city, department``. Order:
-    closeness class, best Jaro-Winkler similarity with the official, trade or
-    acronym name, headquarters first, then the identifiers as a tie-break.
-    """
-    spark = queries.sparkSession
-    asked = _query_profiles(queries)
-    listed = _register_profiles(register)
-    # Among rows that differ in their identifiers only, the first k suffice.
-    in_profile = Window.partitionBy("p_id").orderBy("siren", "siret")
-    listed = listed.withColumn("_n", F.row_number().over(in_profile)).where(F.col("_n") <= k).drop("_n")
+def _top_profiles(asked: DataFrame, listed: DataFrame, k: int) -> DataFrame:
+    """For every distinct query the k best distinct profiles of its department."""
+    spark = asked.sparkSession
     profiles = listed.groupBy("p_id", *_P_KEY).agg(
         F.min(F.concat_ws("|", F.coalesce("siren", F.lit("")), F.coalesce("siret", F.lit("")))).alias("p_first")
     )
@@ -247,15 +243,29 @@ def rank_candidates(queries: DataFrame, register: DataFrame, k: int = CANDIDATE_
     left = _copied(q_tiles, p_counts, "p_tile")
     right = _copied(p_tiles, q_counts, "q_tile")
     pairs = left.join(right, keys).drop(*keys).repartition(tasks)
-    best = Window.partitionBy("q_id").orderBy(
-        "priority", F.desc("name_sim"), F.desc("p_hq"), "p_first"
-    )
-    top = (
+    best = Window.partitionBy("q_id").orderBy("priority", F.desc("name_sim"), F.desc("p_hq"), "p_first")
+    return (
         pairs.mapInArrow(_top_of_tiles(k), _TOP_SCHEMA)
         .withColumn("_n", F.row_number().over(best))
         .where(F.col("_n") <= k)
         .select("q_id", "p_id", "priority", "name_sim")
     )
+
+
+def rank_candidates(queries: DataFrame, register: DataFrame, k: int = CANDIDATE_LIMIT) -> DataFrame:
+    """The k best register rows of its department for every query.
+
+    ``queries`` has ``query_id, name, zip_code, city, department``. Order:
+    closeness class, best Jaro-Winkler similarity with the official, trade or
+    acronym name, headquarters first, then the identifiers as a tie-break.
+    The scored profiles, the costly part, are written to the shared folder.
+    """
+    asked = _query_profiles(queries)
+    listed = _register_profiles(register)
+    # Among rows that differ in their identifiers only, the first k suffice.
+    in_profile = Window.partitionBy("p_id").orderBy("siren", "siret")
+    listed = listed.withColumn("_n", F.row_number().over(in_profile)).where(F.col("_n") <= k).drop("_n")
+    top = materialise(_top_profiles(asked, listed, k), "profiles")
     fields = [
         "siren", "siret", "raison_sociale", "enseigne", "sigle", "naf_ape", "code_postal", "commune",
         "code_departement", "is_headquarters",
@@ -264,10 +274,10 @@ def rank_candidates(queries: DataFrame, register: DataFrame, k: int = CANDIDATE_
         "priority", F.desc("name_sim"), F.desc(F.coalesce("is_headquarters", F.lit(False))), "siren", "siret"
     )
     ranked = (
-        top.join(listed.select("p_id", *fields), "p_id")
+        salted_join(top, listed.select("p_id", *fields), ["p_id"])
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
     )
-    return asked.select("q_id", "query_id", *QUERY_COLUMNS).join(ranked, "q_id").select(
+    return salted_join(asked.select("q_id", "query_id", *QUERY_COLUMNS), ranked, ["q_id"]).select(
         "query_id", *QUERY_COLUMNS, "rank", "priority", "name_sim", *fields
     )

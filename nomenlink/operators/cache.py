@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nomenlink.functions.addresses import address_repr_norm, cache_key
 from nomenlink.functions.hashing import fraction
 from nomenlink.functions.identifiers import strip_whitespace
+from nomenlink.operators.skew import salted_join
 from nomenlink.schemas import CONFIDENCE_CACHE
 
 # --- fixed values: share of the cache dropped per run, for re-checking
@@ -39,7 +40,10 @@ def cache_index(cache: DataFrame, version: Column | None = None) -> DataFrame:
 
 def cache_lookup(queries: DataFrame, index: DataFrame) -> DataFrame:
     """Queries with the cached identifier of their exact name and address."""
-    return queries.join(index, [NAME_KEY, ADDRESS_KEY], "left")
+    if queries.isStreaming:
+        # Batches of a stream are small, and their keys cannot be counted ahead.
+        return queries.join(index, [NAME_KEY, ADDRESS_KEY], "left")
+    return salted_join(queries, index, [NAME_KEY, ADDRESS_KEY], "left")
 
 
 def with_keys(queries: DataFrame, name: str = "name", address_text: str = "address_text") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from nomenlink.functions.identifiers import siren_norm_of
 from nomenlink.functions.names import has_name, key_is_blacklisted, name_norm
+from nomenlink.operators.skew import salted_join
 
 # --- fixed values
 YIELD_THRESHOLDS = (1, 2, 3, 5, 10, 20, 50, 100)
@@ -79,12 +80,12 @@ def _named_without_siren(offers: DataFrame) -> DataFrame:
 
 def recoverable_by_name(offers: DataFrame) -> DataFrame:
     """Named offers without an identifier whose name has one elsewhere."""
-    return _named_without_siren(offers).join(known_siren_by_name(offers), "name_key")
+    return salted_join(_named_without_siren(offers), known_siren_by_name(offers), ["name_key"])
 
 
 def unrecoverable_offers(offers: DataFrame, drop_blacklisted: bool = False) -> DataFrame:
     """Named offers without an identifier, on the row or for the name."""
-    rows = _named_without_siren(offers).join(known_siren_by_name(offers), "name_key", "left_anti")
+    rows = salted_join(_named_without_siren(offers), known_siren_by_name(offers), ["name_key"], "left_anti")
     return rows.where(~key_is_blacklisted(F.col("name_key"))) if drop_blacklisted else rows
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nomenlink.functions.identifiers import clean_numeric_of, siren_norm, siren_norm_of
+from nomenlink.operators.skew import salted_join
 from nomenlink.schemas import ARTIFACT_COLUMNS
 
 
@@ -62,9 +63,7 @@ def enrich_offers(
     needy = own.isNull() & F.col("entity_name").isNotNull()
     columns = [name for name in offers.columns if name != "entity_siren"]
     settled = offers.where(~needy).select(*columns, own.alias("entity_siren"))
-    answered = (
-        _keyed(offers.where(needy), name_key)
-        .join(answers, keys, "left")
-        .select(*columns, F.col("_answer").alias("entity_siren"))
+    answered = salted_join(_keyed(offers.where(needy), name_key), answers, keys, "left").select(
+        *columns, F.col("_answer").alias("entity_siren")
     )
     return settled.unionByName(answered)

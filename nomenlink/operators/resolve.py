@@ -13,6 +13,7 @@ from nomenlink.functions.addresses import address_department, address_is_empty,
 from nomenlink.functions.names import is_consortium, is_slash_name, members_of
 from nomenlink.operators import cache as known
 from nomenlink.operators.blocking import CANDIDATE_LIMIT, block_department, rank_candidates
+from nomenlink.operators.skew import salted_join
 from nomenlink.schemas import CONFIDENCE_CACHE, CONFIDENCE_NONE, CONFIDENCE_OFFICIAL, EntityColumns
 from nomenlink.session import materialise
 
@@ -282,7 +283,7 @@ def resolve(queries: DataFrame, providers: list[Provider], cache: DataFrame | No
 def map_back(rows: DataFrame, answers: DataFrame, siren_col: str) -> DataFrame:
     """Write the answer of each distinct query onto every row that asked it."""
     found = answers.select(*QUERY_KEY, F.col("siren").alias("_siren"))
-    return rows.join(found, QUERY_KEY, "left").withColumn(siren_col, F.col("_siren")).drop("_siren")
+    return salted_join(rows, found, QUERY_KEY, "left").withColumn(siren_col, F.col("_siren")).drop("_siren")
 
 
 def same_department(addr: Column, department: Column) -> Column:

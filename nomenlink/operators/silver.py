@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from nomenlink.functions.identifiers import clean_numeric_of, siren_norm_of
 from nomenlink.functions.names import has_name, key_is_blacklisted, name_norm
 from nomenlink.operators.sampling import SEED, limit_pairs, with_row_id
+from nomenlink.operators.skew import salted_join
 
 # --- fixed values: lengths, caps and the column names of training pairs -------
 MIN_KEY_LENGTH = 3
@@ -205,8 +206,8 @@ def silver_positives(
     """Offers without an identifier next to known entities of the same name and place.
 
     Only the small aggregated sides are joined to each other; the offers are
-    shuffled once, on name and place. Blank places are kept out of that
-    shuffle, where they would all meet.
+    shuffled once, on name and place, with frequent names spread. Blank places
+    are kept out of that shuffle, where they would all meet.
     """
     known = known_groups(norm)
     grains = unambiguous_grain(known, level)
@@ -226,7 +227,7 @@ def silver_positives(
                                  "known_location_label", "n_known_rows")).drop(*level.columns).join(
         keyed(grains).withColumnsRenamed(grain_columns), ["nom_key", *joined_on]
     )
-    pairs = keyed(missing_offers(norm)).join(targets, ["nom_key", *joined_on])
+    pairs = salted_join(keyed(missing_offers(norm)), targets, ["nom_key", *joined_on])
     for name, grain_name in grain_columns.items():
         pairs = pairs.where(F.col(name).eqNullSafe(F.col(grain_name)))
     return limit_pairs(pairs.withColumn("label", F.lit(1)).select(*PAIR_COLUMNS), limit, seed)

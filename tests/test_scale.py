@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nomenlink import bindings as b
 from nomenlink.checks.matching import offer_queries
-from nomenlink.operators import blocking, coverage, enrich, silver, worklist
+from nomenlink.operators import blocking, coverage, enrich, silver, skew, worklist
 
 
 @contextmanager
@@ -40,37 +40,53 @@ def hot_offers(spark, n=30_000):
     )
 
 
-HOT = {
+def largest_share(df) -> float:
+    """Part of all rows that the fullest task puts out."""
+    sizes = [r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    return max(sizes) / sum(sizes)
+
+
+SPREAD = {
     "spark__sql__autoBroadcastJoinThreshold": "-1",
-    "spark__sql__adaptive__autoBroadcastJoinThreshold": "-1",
-    "spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes": "8k",
-    "spark__sql__adaptive__skewJoin__skewedPartitionFactor": "1.5",
-    "spark__sql__adaptive__advisoryPartitionSizeInBytes": "8k",
+    "spark__sql__adaptive__enabled": "false",
+    "spark__sql__shuffle__partitions": "40",
 }
 
 
-@pytest.mark.parametrize("job", ["positives", "enrich", "recoverable"])
-def test_a_hot_name_is_split_over_tasks(spark, job):
+def _job(spark, offers, job):
+    if job == "positives":
+        return silver.silver_positives(silver.normalised_offers(offers, "offer_id"), limit=None)
+    if job == "enrich":
+        known = "entity_name string, location_label string, location_zipcode string, siren string"
+        return enrich.enrich_offers(
+            offers.withColumn("entity_siren", F.lit(None).cast("string")),
+            spark.createDataFrame([("Hot Company", "Paris", "75001", "1")], known),
+        )
+    if job == "unrecoverable":
+        return coverage.unrecoverable_offers(offers.withColumn("entity_siren", F.lit(None).cast("string")))
+    return coverage.recoverable_by_name(offers)
+
+
+@pytest.mark.parametrize("job", ["positives", "enrich", "recoverable", "unrecoverable"])
+def test_a_hot_name_is_spread_over_tasks(spark, monkeypatch, job):
     offers = hot_offers(spark)
-    with settings(spark, **HOT):
-        if job == "positives":
-            df = silver.silver_positives(silver.normalised_offers(offers, "offer_id"), limit=None)
-        elif job == "enrich":
-            resolved = spark.createDataFrame([("x", "Paris", "75001", "1")], "entity_name string, location_label string, location_zipcode string, siren string")
-            df = enrich.enrich_offers(offers, resolved)
-        else:
-            df = coverage.recoverable_by_name(offers)
-        n = len(df.collect())
-        assert n > 5000
-        assert "skew=true" in plan(df)
-
-
-def test_counts_do_not_depend_on_the_split(spark):
-    offers = hot_offers(spark, 6000)
-    norm = silver.normalised_offers(offers, "offer_id")
-    expected = silver.silver_positives(norm, limit=None).count()
-    with settings(spark, **HOT):
-        assert silver.silver_positives(norm, limit=None).count() == expected
+    with settings(spark, **SPREAD):
+        whole = _job(spark, offers, job)
+        expected = sorted(map(str, whole.collect()))
+        assert largest_share(whole) > 0.2
+        monkeypatch.setattr(skew, "ROWS_PER_TASK", 300)
+        spread = _job(spark, offers, job)
+        assert largest_share(spread) < 0.12
+        assert sorted(map(str, spread.collect())) == expected
+
+
+def test_null_keys_do_not_meet(spark):
+    with settings(spark, **SPREAD):
+        rows = spark.range(0, 4000, 1, 4).select("id", F.when(F.col("id") > 3990, F.col("id").cast("string")).alias("k"))
+        lookup = spark.range(3995, 4100).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("v"))
+        joined = skew.salted_join(rows, lookup, ["k"], "left")
+        assert joined.count() == 4000
+        assert largest_share(joined) < 0.12
 
 
 def test_reports_read_two_columns(spark, sf, tmp_path):
@@ -87,8 +103,9 @@ def test_top_lists_are_not_full_sorts(spark, sf):
 
 
 def test_ranking_limits_before_the_shuffle_and_never_multiplies_rows(spark, sf):
-    df = blocking.rank_candidates(offer_queries(spark, sf), b.register(spark, sf))
-    text = plan(df)
+    asked = blocking._query_profiles(offer_queries(spark, sf))
+    listed = blocking._register_profiles(b.register(spark, sf))
+    text = plan(blocking._top_profiles(asked, listed, 64))
     assert "WindowGroupLimit" in text
     assert "NestedLoop" not in text and "Cartesian" not in text
 
