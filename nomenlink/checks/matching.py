@@ -399,7 +399,21 @@ def map_back(spark, sf):
     return r.map_back(queries, answers, "siren").select("contract_id", "siren")
 
 
-@check("resolve_role")
+RESOLVED_ROWS = f"""{_CONSORTIUM}, {_CACHE},
+latest as (select lower(trim(name)) as name_key, lower(address) as address_key, max(siren) as siren from cache
+  where siren is not null and siren not in ('', 'nan') group by all),
+member_answers as (select e.name_key, e.address_key, e.pos, coalesce(c.siren, d.siren) as siren from exploded e
+  left join latest c on lower(trim(e.member)) = c.name_key and e.address_key = c.address_key
+  left join directory d on lower(trim(e.member)) = d.name_key
+  where not (single and empty_address) and coalesce(c.siren, d.siren) is not null),
+first_member as (select name_key, address_key, arg_min(siren, pos) as siren from member_answers group by all),
+resolved_rows as (select q.contract_id, q.name as stated_name, coalesce(w.siren, m.siren) as siren from contract_queries q
+  left join latest w on q.name_key = w.name_key and q.address_key = w.address_key
+  left join first_member m on q.name_key = m.name_key and q.address_key = m.address_key)
+select * from resolved_rows"""
+
+
+@check("resolve_role", RESOLVED_ROWS)
 def resolve_role_(spark, sf):
     c = b.contracts(spark, sf)
     cache = _cache(spark, sf).drop("version")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nomenlink import bindings as b
-from nomenlink.checks.matching import _CACHE, _CONTRACT_BASE, _cache, _directory
+from nomenlink.checks.matching import _CACHE, _CONTRACT_BASE, RESOLVED_ROWS, _cache, _directory
 from nomenlink.checks.registry import check
 from nomenlink.checks.register import PAGES
 from nomenlink.checks.text import contract_entity
@@ -79,7 +79,7 @@ def stream_cached_(spark, sf):
     return spark.read.parquet(target)
 
 
-@check("stream_resolve")
+@check("stream_resolve", RESOLVED_ROWS)
 def stream_resolve_(spark, sf):
     landing, target, checkpoint = _landed(spark, sf), run_dir(spark, "target"), run_dir(spark, "checkpoint")
     schema = spark.read.parquet(landing).schema

@@ -383,7 +383,10 @@ def blank_to_null(spark, sf):
     return b.offers(spark, sf).select("offer_id", i.blank_to_null(F.col("entity_name")).alias("name"))
 
 
-@check("ascii_fold")
+@check(
+    "ascii_fold",
+    r"select doc_id, regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g') as folded from documents",
+)
 def ascii_fold(spark, sf):
     return b.table(spark, sf, "documents").select("doc_id", n.ascii_fold(F.col("text")).alias("folded"))
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from nomenlink.functions.identifiers import department_of
 from nomenlink.functions.similarity import encode, jaro_winkler_to
-from nomenlink.operators.skew import salted_join
+from nomenlink.operators.skew import salted_join, small_join
 from nomenlink.session import materialise
 
 # --- fixed values: candidates per query, classes of geographic closeness
@@ -129,8 +129,7 @@ def _tile_counts(profiles: DataFrame, dept: str, size: int, tile: str) -> DataFr
 def _tiles(profiles: DataFrame, counts: DataFrame, dept: str, key: str, fields: list[str], tile: str) -> DataFrame:
     """One row per department and tile, with the fields of its profiles as arrays."""
     packed = (
-        profiles.withColumnRenamed(dept, "dept")
-        .join(counts, "dept")
+        small_join(profiles.withColumnRenamed(dept, "dept"), counts, ["dept"])
         .groupBy("dept", F.pmod(F.xxhash64(key), F.col(f"n_{tile}")).alias(tile))
         .agg(F.collect_list(F.struct(*fields)).alias("rows"))
     )
@@ -140,7 +139,8 @@ def _tiles(profiles: DataFrame, counts: DataFrame, dept: str, key: str, fields:
 def _copied(tiles: DataFrame, counts: DataFrame, tile: str) -> DataFrame:
     """A copy of each tile for every tile of the other side of its department."""
     last = F.col(f"n_{tile}") - 1
-    return tiles.join(counts, "dept").withColumn(tile, F.explode(F.sequence(F.lit(0).cast("long"), last))).drop(f"n_{tile}")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), last))
+    return small_join(tiles, counts, ["dept"]).withColumn(tile, copies).drop(f"n_{tile}")
 
 
 _TOP_SCHEMA = "q_id string, p_id string, priority int, name_sim double, p_hq boolean, p_first string"
@@ -229,8 +229,8 @@ def _top_profiles(asked: DataFrame, listed: DataFrame, k: int) -> DataFrame:
         F.min(F.concat_ws("|", F.coalesce("siren", F.lit("")), F.coalesce("siret", F.lit("")))).alias("p_first")
     )
     distinct = asked.select("q_id", *_Q_KEY).distinct()
-    q_counts = _tile_counts(distinct, "q_dept", QUERY_TILE, "q_tile")
-    p_counts = _tile_counts(profiles, "p_dept", PROFILE_TILE, "p_tile")
+    q_counts = materialise(_tile_counts(distinct, "q_dept", QUERY_TILE, "q_tile"), "query-tiles")
+    p_counts = materialise(_tile_counts(profiles, "p_dept", PROFILE_TILE, "p_tile"), "profile-tiles")
     q_fields = ["q_id", "q_name", "q_zip", "q_city"]
     p_fields = ["p_id", "p_zip", "p_city", "p_official", "p_trade", "p_acronym", "p_hq", "p_first"]
     q_tiles = _tiles(distinct, q_counts, "q_dept", "q_id", q_fields, "q_tile")

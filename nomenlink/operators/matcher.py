@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer, StandardScaler, StopWordsRemover, VectorAssembler
@@ -83,14 +86,9 @@ def feature_importance(model: PipelineModel, spark, columns: list[str] | None =
     """Gain and number of splits per feature; the model is small by design."""
     columns = columns or FEATURE_COLUMNS
     gain = _trees(model).featureImportances.toArray()
-    splits = [0] * len(columns)
-    for tree in _trees(model).trees:
-        nodes = [tree._call_java("rootNode")]
-        while nodes:
-            node = nodes.pop()
-            if node.subtreeDepth() > 0:
-                splits[node.split().featureIndex()] += 1
-                nodes += [node.leftChild(), node.rightChild()]
+    # Every split is printed once with its condition and once with the opposite.
+    tested = Counter(int(i) for i in re.findall(r"If \(feature (\d+) ", _trees(model).toDebugString))
+    splits = [tested[i] for i in range(len(columns))]
     rows = [(name, float(g), int(n)) for name, g, n in zip(columns, gain, splits)]
     return spark.createDataFrame(rows, "feature string, gain double, split long").orderBy(F.desc("gain"), "feature")
 

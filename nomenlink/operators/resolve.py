@@ -241,7 +241,7 @@ def consortium_resolve(queries: DataFrame, providers: list[Provider]) -> DataFra
         F.min(F.struct("name", "addr", "role", "address_text")).alias("q")
     ).select(*QUERY_KEY, "q.*")
     answers = provider_chain(distinct, providers)
-    answered = members.join(answers, QUERY_KEY)
+    answered = salted_join(members, answers, QUERY_KEY)
     first = answered.groupBy(*[f"whole_{key}" for key in QUERY_KEY]).agg(
         F.min_by(F.struct("name", "whole_name", "siren", "match_score", "provider", "confidence"), "pos").alias("a")
     )

@@ -14,7 +14,7 @@ VALIDATION_SHARE = 0.2
 
 # Up to this size a sorted limit is one small merge; beyond it the rows are cut
 # by thresholds so that they never meet in one task.
-SORTED_LIMIT = 100_000
+SORTED_LIMIT = 10_000
 _DIGITS_PER_CUT = 4
 
 

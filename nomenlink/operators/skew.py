@@ -17,6 +17,8 @@ ROWS_PER_TASK = 1_000_000
 # Keys beyond the most frequent ones hold at most one row in this many.
 HOT_KEYS = 1000
 _NULL_SALTS = 4096
+# Rows of a few narrow columns that may be broadcast: some megabytes.
+BROADCAST_ROWS = 100_000
 
 
 def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame:
@@ -51,3 +53,14 @@ def salted_join(
     last = F.coalesce("_salts", one) - 1
     right = lookup.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     return left.join(right.drop("_salts"), [*on, "_salt"], how).drop("_salt")
+
+
+def small_join(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join to a table with one row per key, expected to be tiny.
+
+    ``small`` is broadcast when it is counted to have few rows, and joined with
+    salts when it is not. Pass a written table, since it is read twice.
+    """
+    if small.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(small), on)
+    return salted_join(rows, small, on)

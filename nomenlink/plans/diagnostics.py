@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nomenlink.operators.coverage import coverage, name_profile, top_entities, yield_curve
 from nomenlink.operators.metrics import union_all
+from nomenlink.session import materialise
 
 # --- fixed values: lengths of the two lists
 TOP_CLEAN, TOP_RAW = 30, 15
@@ -16,9 +17,9 @@ def diagnostics_report(offers: DataFrame) -> dict[str, DataFrame]:
     """Coverage, both lists of unresolved entities and the yield curve.
 
     All four share one profile of the raw names, the only pass over the
-    offers; it is cached because four results are read from it.
+    offers; it is written first because four results are read from it.
     """
-    profile = name_profile(offers).persist()
+    profile = materialise(name_profile(offers), "names")
     return {
         "coverage": coverage(offers, profile),
         "top_clean": top_entities(offers, TOP_CLEAN, False, profile),
