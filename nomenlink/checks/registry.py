@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from nomenlink import bindings
 from nomenlink.functions.names import AGENCY_PATTERNS, placeholder_keys
@@ -27,10 +26,6 @@ def check(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def rounded(c: str, digits: int = 9):
-    return F.round(F.col(c), digits).alias(c)
-
-
 # ---------------------------------------------------------------------------
 # SQL fragments
 
@@ -73,8 +68,7 @@ def department(zip_code: str, hint: str = "null") -> str:
 
 
 def hash_number(seed: object, *keys: str) -> str:
-    parts = ", ".join(f"coalesce(cast({k} as varchar), '')" for k in keys)
-    return f"cast('0x' || substr({digest(seed, *keys)}, 1, 8) as bigint)" if parts else ""
+    return f"cast('0x' || substr({digest(seed, *keys)}, 1, 8) as bigint)"
 
 
 def digest(seed: object, *keys: str) -> str:

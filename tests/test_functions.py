@@ -1,7 +1,6 @@
 import unicodedata
 
 import pytest
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nomenlink.functions import addresses as a
@@ -161,4 +160,3 @@ def test_flags_without_columns(spark):
 def test_accent_table_is_one_to_one():
     source, target = n.accent_table()
     assert len(source) == len(target) == len(set(source))
-    assert F is not None
