@@ -228,7 +228,9 @@ def _top_profiles(asked: DataFrame, listed: DataFrame, k: int) -> DataFrame:
     profiles = listed.groupBy("p_id", *_P_KEY).agg(
         F.min(F.concat_ws("|", F.coalesce("siren", F.lit("")), F.coalesce("siret", F.lit("")))).alias("p_first")
     )
-    distinct = asked.select("q_id", *_Q_KEY).distinct()
+    # Counted, tiled and counted again: both sides are written once.
+    profiles = materialise(profiles, "register-profiles")
+    distinct = materialise(asked.select("q_id", *_Q_KEY).distinct(), "query-profiles")
     q_counts = materialise(_tile_counts(distinct, "q_dept", QUERY_TILE, "q_tile"), "query-tiles")
     p_counts = materialise(_tile_counts(profiles, "p_dept", PROFILE_TILE, "p_tile"), "profile-tiles")
     q_fields = ["q_id", "q_name", "q_zip", "q_city"]
