@@ -20,18 +20,24 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.folder = run_dir(spark, label)
+        self.names: list[str] = []
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` under ``name`` and read it back."""
         path = f"{self.folder}/{name}"
         df.write.parquet(path)
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         """Remove tables and let Spark clear the shuffles of finished steps."""
         jvm = self.spark._jvm
         for name in names:
+            self.names.remove(name)
             path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         gc.collect()
         jvm.System.gc()
+
+    def keep_only(self, *names: str) -> None:
+        self.drop(*[name for name in self.names if name not in names])

@@ -311,10 +311,18 @@ def link_documents(docs: DataFrame, rule: Rule) -> DataFrame:
     labelled = scratch.keep(labelled, "labelled")
     names = labelled.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
     names = scratch.keep(names, "names")
+    scratch.keep_only("labelled", "names")
     alone = labelled.where("group is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return labelled.join(names, "group").select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
+def drop_near_copies(docs: DataFrame, rule: Rule) -> DataFrame:
+    """``docs`` with one document, the least ``doc_id``, of each linked group; null ids stay."""
+    groups = link_documents(docs, rule).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = Scratch(docs.sparkSession, "near-copies").keep(groups, "ids")
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op2_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked by four-word shingles at a similarity of 0.85."""
     return link_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), Rule(4, 85, 100))
