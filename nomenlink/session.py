@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 from functools import cache
 
 from pyspark.sql import SparkSession
@@ -68,3 +71,28 @@ def materialise(df, label: str):
     path = run_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark) -> None:
+    """Send this package to the executors, once per session.
+
+    Workers import the functions of Python stages by name; without this they
+    need the package on their own path (``--py-files``).
+    """
+    _ship(spark.sparkContext, spark.sparkContext.applicationId)
+
+
+@cache
+def _ship(context, app_id: str) -> None:
+    root = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.join(os.path.basename(root), os.path.relpath(path, root)))
+    target = os.path.join(tempfile.mkdtemp(prefix="nomenlink-package-"), "nomenlink.zip")
+    with open(target, "wb") as out:
+        out.write(packed.getvalue())
+    context.addPyFile(target)
