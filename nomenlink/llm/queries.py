@@ -37,7 +37,7 @@ with recursive listed as (
   from documents
 ), shingled as (
   select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
-    else list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) end) as s
+    else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as s
   from listed
 ), sets as materialized (select distinct doc_id, s from shingled),
 sizes as materialized (select doc_id, count(*) as n from sets group by doc_id),
