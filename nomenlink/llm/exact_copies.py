@@ -30,7 +30,8 @@ def text_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     salted = _prepared(docs, "doc_id").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     # Partial sums run in each task before the shuffle: a text leaves a task once.
     by_salt = salted.groupBy("text_sha256", "salt", "text").agg(*facts)
-    merged = by_salt.groupBy("text_sha256", "text").agg(
+    # Dealt by digest alone, so that texts and then digests combine without moving again.
+    merged = by_salt.repartition("text_sha256").groupBy("text_sha256", "text").agg(
         F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")
     )
     by_digest = merged.groupBy("text_sha256").agg(
