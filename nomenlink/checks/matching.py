@@ -439,7 +439,7 @@ known_keys as (select k_name, k_zip, k_label, max(own) as siren from keyed group
 
 @check(
     "resolve_offers",
-    f"""with {OFFERS}, {REGISTER}, {work_list_ctes()}, {_RESOLVED}
+    f"""with {OFFERS}, {REGISTER}, {work_list_ctes(limit=None)}, {_RESOLVED}
     select j.offer_id, j.entity_name, coalesce(j.own, kk.siren, a.siren) as entity_siren from keyed j
     left join known_keys kk on j.k_name = kk.k_name and j.k_zip = kk.k_zip and j.k_label = kk.k_label
     left join answered a on j.k_name = a.k_name and j.k_zip = a.k_zip and j.k_label = a.k_label""",

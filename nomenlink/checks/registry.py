@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from nomenlink import bindings
-from nomenlink.functions.names import AGENCY_PATTERNS, placeholder_keys
+from nomenlink.functions.names import AGENCY_PATTERNS, PLACEHOLDER_NAMES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,11 +48,14 @@ def _quoted(text: str) -> str:
 
 
 def blacklisted(c: str) -> str:
-    """Placeholder test of a raw name."""
-    key = name_key(c)
-    exact = ", ".join(_quoted(name) for name in placeholder_keys())
-    like = " or ".join(f"{key} like {_quoted('%' + p + '%')}" for p in AGENCY_PATTERNS)
-    return f"({key} in ({exact}) or {like} or length({key}) <= 1)"
+    """Placeholder test of a raw name: the fixed values, folded here by SQL."""
+    folded = name_key(c)
+    held = ", ".join(name_key(_quoted(value)) for value in PLACEHOLDER_NAMES)
+    agencies = ", ".join(_quoted(value) for value in AGENCY_PATTERNS)
+    return (
+        f"(length({folded}) < 2 or list_contains([{held}], {folded}) "
+        f"or len(list_filter([{agencies}], lambda agency: contains({folded}, agency))) > 0)"
+    )
 
 
 def named(c: str) -> str:
@@ -82,14 +85,14 @@ REGISTER = f"register as ({bindings.REGISTER_SQL})"
 CONTRACTS = f"contracts as ({bindings.CONTRACTS_SQL})"
 SCORED = f"scored as ({bindings.SCORED_SQL})"
 
-# Offers without an identifier on the row; flags for the name and the key.
+# One window per name tells whether any of its rows has an identifier.
 UNRESOLVED = f"""
-named_offers as (select entity_name, {siren_text('entity_siren')} as siren, {name_key('entity_name')} as name_key
-  from offers where {named('entity_name')}),
-known as (select name_key, max(siren) as known_siren from named_offers where siren is not null group by name_key),
-unresolved_raw as (select o.entity_name, o.name_key from named_offers o left join known k on o.name_key = k.name_key
-  where o.siren is null and k.known_siren is null),
-unresolved as (select entity_name, name_key from unresolved_raw where not {blacklisted('entity_name')})
+named_offers as (select *, max(siren) over (partition by name_key) as known_siren from (
+  select entity_name, {name_key('entity_name')} as name_key, {siren_text('entity_siren')} as siren
+  from offers where {named('entity_name')})),
+known as (select distinct name_key, known_siren from named_offers where known_siren is not null),
+unresolved_raw as (select entity_name, name_key from named_offers where known_siren is null),
+unresolved as (from unresolved_raw where not {blacklisted('entity_name')})
 """
 
 NORM = f"""
@@ -101,28 +104,33 @@ norm as (select offer_id as row_id, entity_name as entreprise_nom, {name_key('en
 """
 
 KNOWN_GROUPS = """
-known as (select nom_key, siren_norm as target_siren, city_key, zipcode_norm, dept_norm,
-    min(entreprise_nom) as known_entreprise_nom, min(location_label) as known_location_label, count(*) as n_known_rows
-  from norm where siren_norm is not null and not is_blacklisted
-  group by nom_key, siren_norm, city_key, zipcode_norm, dept_norm)
+known as (select distinct siren_norm as target_siren, nom_key, city_key, zipcode_norm, dept_norm,
+    first_value(entreprise_nom) over (same order by entreprise_nom nulls last
+      rows between unbounded preceding and unbounded following) as known_entreprise_nom,
+    min(location_label) over same as known_location_label, count(*) over same as n_known_rows
+  from norm where not is_blacklisted and siren_norm is not null
+  window same as (partition by siren_norm, nom_key, city_key, zipcode_norm, dept_norm))
 """
 
 _GEO = {"department": ["dept_norm"], "zipcode": ["zipcode_norm"], "city_zipcode": ["city_key", "zipcode_norm"]}
 
 
 def positives(level: str = "department", unambiguous: bool = True) -> str:
-    columns = _GEO[level]
-    geo = " and ".join(f"coalesce(m.{c}, '') = coalesce(k.{c}, '')" for c in columns)
-    grain = ", ".join(["nom_key", *columns])
-    same = " and ".join(f"m.{c} is not distinct from u.{c}" for c in ["nom_key", *columns])
+    """Rows without identifier beside the known groups of their name and place.
+
+    The number of identifiers of a place is a window over the known groups, so
+    one join is all there is.
+    """
+    place = _GEO[level]
+    here = ", ".join(f"n.{c}" for c in place)
+    there = ", ".join(f"g.{c}" for c in place)
     return f"""
-missing as (select row_id as missing_row_id, entreprise_nom as missing_entreprise_nom,
-    location_label as missing_location_label, nom_key, city_key, zipcode_norm, dept_norm
-  from norm where siren_norm is null and not is_blacklisted),
-grains as (select {grain}, count(distinct target_siren) as n_sirens_at_grain from known group by {grain}),
-positives as (select m.missing_row_id, m.missing_entreprise_nom, m.missing_location_label, m.nom_key, m.city_key,
-    m.zipcode_norm, m.dept_norm, k.target_siren, k.known_entreprise_nom, k.known_location_label, k.n_known_rows,
-    u.n_sirens_at_grain, cast(1 as int) as label
-  from missing m join known k on m.nom_key = k.nom_key and {geo} and coalesce(m.{columns[-1]}, '') <> ''
-  join grains u on {same} where {'u.n_sirens_at_grain = 1' if unambiguous else 'true'})
+placed as (select *, count(distinct target_siren) over (partition by nom_key, {', '.join(place)}) as n_sirens_at_grain
+  from known),
+grains as (select distinct nom_key, {', '.join(place)}, n_sirens_at_grain from placed),
+positives as (select n.row_id as missing_row_id, n.entreprise_nom as missing_entreprise_nom,
+    n.location_label as missing_location_label, n.nom_key, n.city_key, n.zipcode_norm, n.dept_norm, g.target_siren,
+    g.known_entreprise_nom, g.known_location_label, g.n_known_rows, g.n_sirens_at_grain, cast(1 as int) as label
+  from placed g join norm n on g.nom_key = n.nom_key and row({there}) is not distinct from row({here})
+  where n.siren_norm is null and not n.is_blacklisted and n.{place[-1]} <> ''{' and g.n_sirens_at_grain = 1' if unambiguous else ''})
 """

@@ -183,18 +183,20 @@ _BASE = f"""base as (select {name_key('entity_name')} as name_key, entity_name,
     and {number_text('location_zipcode')} is not null)"""
 
 
-def work_list_ctes(min_offers: int = 1) -> str:
+def work_list_ctes(min_offers: int = 1, limit: int | None = 100) -> str:
+    """One grouping of the offers; the places of a name are counted by a window before it."""
+    weight = "cast(if(length(location_zipcode) = 5, 1.0, 0.5) as double)"
     return f"""{_BASE},
-stats as (select name_key, count(distinct location_zipcode) as n_locations from base group by name_key),
-entities as (select name_key, min(entity_name) as entity_name_example, location_label, location_zipcode,
-    location_departement, count(*) as n_offers
-  from base group by name_key, location_label, location_zipcode, location_departement
-  having count(siren) = 0 and count(*) >= {min_offers}),
-ranked as (select e.name_key, entity_name_example, location_label, location_zipcode, location_departement, n_offers,
-    n_locations, round(n_offers * ln(1 + n_locations) * cast(case when length(location_zipcode) = 5 then 1.0 else 0.5 end as double), 9) as priority_score
-  from entities e join stats s on e.name_key = s.name_key),
+spread as (select *, count(distinct location_zipcode) over (partition by name_key) as places from base),
+ranked as (select location_zipcode, location_departement, location_label, name_key,
+    min(entity_name) as entity_name_example, max(places) as n_locations, count(*) as n_offers,
+    round(count(*) * ln(1 + max(places)) * {weight}, 9) as priority_score
+  from spread group by name_key, location_zipcode, location_departement, location_label
+  having max(siren) is null and count(*) >= {min_offers}),
+entities as (select * exclude (n_locations, priority_score) from ranked),
+stats as (select name_key, any_value(places) as n_locations from spread group by name_key),
 work as (select * from ranked order by priority_score desc, n_offers desc, name_key, location_zipcode,
-  coalesce(location_label, ''), coalesce(location_departement, '') limit 100)"""
+  coalesce(location_label, ''), coalesce(location_departement, ''){f' limit {limit}' if limit else ''})"""
 
 
 @check("resolvable_offers", f"with {OFFERS}, {_BASE} select * from base")

@@ -34,7 +34,8 @@ def normalised_offers(spark, sf):
     return _norm(spark, sf)
 
 
-_ID = "concat_ws('-', " + digest("row", "l_orderkey", "l_linenumber") + ", cast(row_number() over (partition by l_orderkey, l_linenumber) as varchar))"
+_WHOLE = "concat(length(cast(l_orderkey as varchar)), ':', l_orderkey, length(cast(l_linenumber as varchar)), ':', l_linenumber)"
+_ID = "concat_ws('-', " + digest("row", _WHOLE) + ", cast(row_number() over (partition by l_orderkey, l_linenumber) as varchar))"
 
 
 @check("row_id", f"select l_orderkey, l_linenumber, {_ID} as row_id from lineitem")

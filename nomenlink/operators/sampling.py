@@ -96,11 +96,14 @@ def with_row_id(df: DataFrame, id_col: str | None = None, chunk: int = 100_000)
     if id_col is not None:
         return df.withColumn("row_id", F.col(id_col))
     columns = [F.col(name) for name in df.columns]
+    # Lengths and a mark for nulls keep different rows apart.
+    texts = [c.cast("string") for c in columns]
+    whole = F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts])
     counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
     chunks = counted.withColumn("_from", F.explode(F.sequence(F.lit(1).cast("long"), "_n", F.lit(chunk).cast("long"))))
     spread = chunks.repartition(*columns, F.col("_from"))
     last = F.least(F.col("_from") + chunk - 1, F.col("_n"))
     return spread.withColumn("_i", F.explode(F.sequence(F.col("_from"), last))).select(
-        *columns, F.concat_ws("-", digest("row", *columns), F.col("_i").cast("string")).alias("row_id")
+        *columns, F.concat_ws("-", digest("row", whole), F.col("_i").cast("string")).alias("row_id")
     )
 

@@ -200,7 +200,7 @@ def silver_positives(
     norm: DataFrame,
     level: GeoLevel = GeoLevel.DEPARTMENT,
     require_unambiguous: bool = True,
-    limit: int | None = MAX_PAIRS,
+    limit: int | None = None,
     seed: int = SEED,
 ) -> DataFrame:
     """Offers without an identifier next to known entities of the same name and place.

@@ -12,7 +12,7 @@ from nomenlink.functions.names import name_norm
 from nomenlink.operators import resolve as r
 from nomenlink.operators.cache import cache_prune, cache_upsert
 from nomenlink.operators.enrich import enrich_offers
-from nomenlink.operators.worklist import DEFAULT_LIMIT, work_list, worklist_volume
+from nomenlink.operators.worklist import work_list, worklist_volume
 from nomenlink.schemas import CONFIDENCE_CACHE, CONFIDENCE_NONE, EntityColumns
 from nomenlink.session import materialise
 
@@ -56,7 +56,7 @@ def resolve_role(
     return resolve_entities(rows, columns, providers, cache)
 
 
-def dry_run(offers: DataFrame, min_offers: int = 1, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
+def dry_run(offers: DataFrame, min_offers: int = 1, limit: int | None = None) -> DataFrame:
     """What a run would treat, without treating it."""
     return worklist_volume(work_list(offers, min_offers, limit))
 
@@ -66,7 +66,7 @@ def resolve_offers(
     providers: list[r.Provider],
     cache: DataFrame | None = None,
     min_offers: int = 1,
-    limit: int | None = DEFAULT_LIMIT,
+    limit: int | None = None,
 ) -> Resolution:
     """Work list, resolution, and identifiers on every offer.
 

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from nomenlink.schemas import REGISTER_PAGE_SCHEMA, UNKNOWN_DEPARTMENT
+from nomenlink.schemas import REGISTER_PAGE_SCHEMA, REGISTER_SCHEMA, UNKNOWN_DEPARTMENT
 from nomenlink.sources.columns import text_partitions
 from nomenlink.sources.register import REGISTER_COLUMNS, flatten_pages
 
@@ -19,28 +20,25 @@ _PROGRESS = "progress"
 
 
 def read_streamed_register(spark: SparkSession, target: str) -> DataFrame:
-    with text_partitions(spark):
-        rows = spark.read.option("basePath", f"{target}/{_STORED}").parquet(f"{target}/{_STORED}")
-    return rows.select(*REGISTER_COLUMNS)
+    """The register as the stream has seen it last: of each establishment the newest version.
+
+    Versions are told apart here and not when they are written, so a batch
+    never reads what earlier ones wrote, and a correction or a move to another
+    department replaces the former row.
+    """
+    stored = T.StructType([*REGISTER_SCHEMA.fields, T.StructField("batch_id", T.LongType())])
+    rows = spark.read.schema(stored).parquet(f"{target}/{_STORED}")
+    others = [c for c in REGISTER_COLUMNS if c != "siret"]
+    newest = rows.groupBy("siret").agg(F.max(F.struct("batch_id", *others)).alias("r"))
+    return newest.select("siret", *[f"r.{c}" for c in others]).select(*REGISTER_COLUMNS)
 
 
-def _write_batch(target: str, max_departments: int):
+def _write_batch(target: str):
     def write(pages: DataFrame, batch_id: int) -> None:
-        spark = pages.sparkSession
-        pages = pages.persist()
         found = flatten_pages(pages).fillna({"code_departement": UNKNOWN_DEPARTMENT})
         # One row per establishment of the batch, the same one on a retry.
         latest = found.groupBy("siret").agg(F.max(F.struct(*[c for c in REGISTER_COLUMNS if c != "siret"])).alias("r"))
         rows = latest.select("siret", "r.*").select(*REGISTER_COLUMNS)
-        stored = _earlier_batches(spark, target, batch_id)
-        if stored is not None:
-            # The departments of a batch name the partitions to compare with;
-            # there are about a hundred. Past the bound all are read.
-            touched = [row[0] for row in rows.select("code_departement").distinct().take(max_departments + 1)]
-            if len(touched) <= max_departments:
-                stored = stored.where(F.col("code_departement").isin(touched))
-            keys = ["code_departement", "siret"]
-            rows = rows.join(stored.select(*keys), keys, "left_anti")
         rows.hint("rebalance", F.col("code_departement")).write.mode("overwrite").partitionBy(
             "code_departement"
         ).parquet(f"{target}/{_STORED}/batch_id={batch_id}")
@@ -49,26 +47,16 @@ def _write_batch(target: str, max_departments: int):
             F.max("header.total").alias("expected"),
             F.count(F.lit(1)).alias("pages"),
         ).write.mode("overwrite").parquet(f"{target}/{_PROGRESS}/batch_id={batch_id}")
-        pages.unpersist()
 
     return write
 
 
-def _earlier_batches(spark: SparkSession, target: str, batch_id: int) -> DataFrame | None:
-    if batch_id == 0:
-        return None
-    with text_partitions(spark):
-        rows = spark.read.option("basePath", f"{target}/{_STORED}").parquet(f"{target}/{_STORED}")
-    return rows.where(F.col("batch_id").cast("long") < batch_id)
-
-
 def stream_register(
     spark: SparkSession,
     landing: str,
     target: str,
     checkpoint: str,
     pages_per_batch: int | None = None,
-    max_departments: int = 500,
 ) -> StreamingQuery:
     """Consume all landed pages and stop; start it again for later pages."""
     reader = spark.readStream.schema(REGISTER_PAGE_SCHEMA)
@@ -76,7 +64,7 @@ def stream_register(
         reader = reader.option("maxFilesPerTrigger", pages_per_batch)
     return (
         reader.json(landing)
-        .writeStream.foreachBatch(_write_batch(target, max_departments))
+        .writeStream.foreachBatch(_write_batch(target))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

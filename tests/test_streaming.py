@@ -42,3 +42,31 @@ def test_repeated_establishments_of_a_batch_are_stored_once(spark, sf):
     stream_register(spark, landing, target, checkpoint).awaitTermination()
     stored = read_streamed_register(spark, target)
     assert stored.count() == stored.agg(F.count_distinct("siret")).first()[0] > 0
+
+
+def test_an_empty_first_batch_corrections_and_moves(spark, sf):
+    landing, target, checkpoint = (run_dir(spark, x) for x in ("landing", "target", "checkpoint"))
+    pages = b.register_pages(spark, sf).drop("page")
+    none = pages.limit(1).withColumn("etablissements", F.expr("filter(etablissements, x -> false)"))
+    moved = F.transform(
+        "etablissements",
+        lambda x: x.withField("adresseEtablissement.codePostalEtablissement", F.lit("69001")).withField(
+            "adresseEtablissement.libelleCommuneEtablissement", F.lit("LYON")
+        ),
+    )
+    for step in (none, pages, pages.withColumn("etablissements", moved)):
+        step.write.mode("append").json(landing)
+        stream_register(spark, landing, target, checkpoint).awaitTermination()
+        if step is none:
+            assert read_streamed_register(spark, target).isEmpty()
+    stored = read_streamed_register(spark, target).collect()
+    assert {(r["commune"], r["code_departement"]) for r in stored} == {("LYON", "69")}
+    assert len({r["siret"] for r in stored}) == len(stored) > 0
+
+
+def test_row_ids_differ_where_rows_do(spark):
+    from nomenlink.operators.sampling import with_row_id
+
+    rows = [(None, "x"), ("", "x"), ("a|b", "c"), ("a", "b|c"), ("a", "b|c"), (None, None)]
+    ids = [r["row_id"] for r in with_row_id(spark.createDataFrame(rows, "p string, q string")).collect()]
+    assert len(set(ids)) == len(rows)
