@@ -29,8 +29,11 @@ from nomenlink.llm.components import components
 from nomenlink.llm.scratch import Scratch
 
 # Rows combined in a task before they are shuffled; bounds its memory.
-_FLUSH = 2_000_000
+_FLUSH = 1_000_000
 _BITS = 1024
+_BIT_COLUMNS = [f"bits_{k}" for k in range(_BITS // 64)]
+# Sets of a key that all others of it are compared with first.
+_HEADS = 16
 _KEY, _DOCUMENT, _EDGE = 0, 1, 2
 _NO_ID = -(1 << 63)
 
@@ -109,10 +112,9 @@ def _part_keys(hashes: np.ndarray, rows: np.ndarray, rule: Rule) -> tuple[np.nda
 
 def _rows(deal, kind: int, a, b, n) -> pa.RecordBatch:
     count = len(deal)
-    columns = [np.asarray(x).view(np.int64) for x in (deal, a, b, n)]
+    columns = [pa.array(np.asarray(x).view(np.int64)) for x in (b, n, deal, a)]
     return pa.RecordBatch.from_arrays(
-        [pa.array(columns[0]), pa.array(np.full(count, kind, np.int8)), *map(pa.array, columns[1:])],
-        names=["deal", "kind", "a", "b", "n"],
+        [pa.array(np.full(count, kind, np.int8)), *columns], names=["kind", "b", "n", "deal", "a"]
     )
 
 
@@ -160,11 +162,11 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key: edges from the first set of each key; other rows as they are."""
     last_key, leader = None, 0
     for batch in batches:
-        kind = np.asarray(batch.column(1))
+        kind = np.asarray(batch.column("kind"))
         other = kind != _KEY
         if other.any():
             yield batch.filter(pa.array(other))
-        deal, sets = (np.asarray(batch.column(k))[~other] for k in (0, 2))
+        deal, sets = (np.asarray(batch.column(name))[~other] for name in ("deal", "a"))
         if not len(deal):
             continue
         head = np.ones(len(deal), dtype=bool)
@@ -179,7 +181,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    names = ["set", "shingles", "bits"]
+    names = ["set", "shingles", *_BIT_COLUMNS]
     for batch in batches:
         for _, data, bounds in units.blocks(batch.column(0)):
             _, _, hashes, rows = units.words(data, bounds, lower=True)
@@ -188,13 +190,12 @@ def _sets(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBa
             owner = np.repeat(np.arange(count), np.diff(rows))
             bits = np.zeros((count, _BITS), dtype=np.uint8)
             np.bitwise_xor.at(bits, (owner, (hashes % np.uint64(_BITS)).astype(np.int64)), 1)
-            packed = np.packbits(bits, axis=1).view(np.int64).ravel()
-            steps = np.arange(count + 1, dtype=np.int32) * (_BITS // 64)
+            packed = np.packbits(bits, axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(_set_ids(hashes, rows).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(hashes.view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(steps), pa.array(packed)),
+                    *[pa.array(np.ascontiguousarray(column)) for column in packed.T],
                 ],
                 names=names,
             )
@@ -209,17 +210,17 @@ class _Comparison:
     def _side(self, name: str, *columns: str) -> DataFrame:
         return self.sets.select(F.col("set").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
-    def possible(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes and Hamming distance allow a link."""
+    def sketches(self, rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` with size and bits of the set in the column ``name``."""
+        return rows.join(self._side(name, "size", *_BIT_COLUMNS), name)
+
+    def near(self) -> Column:
+        """Whether sizes and Hamming distance of ``a`` and ``b`` allow a link."""
         rule = self.rule
-        both = pairs.join(self._side("a", "size", "bits"), "a").join(self._side("b", "size", "bits"), "b")
-        apart = F.aggregate(
-            F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x
-        )
+        apart = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _BIT_COLUMNS)
         total = F.col("size_a") + F.col("size_b")
-        near = apart * (rule.scale + rule.least) <= total * (rule.scale - rule.least)
-        sized = F.least("size_a", "size_b") * rule.scale >= F.greatest("size_a", "size_b") * rule.least
-        return both.where(sized & near).select("a", "b")
+        close = apart * (rule.scale + rule.least) <= total * (rule.scale - rule.least)
+        return close & (F.least("size_a", "size_b") * rule.scale >= F.greatest("size_a", "size_b") * rule.least)
 
     def linked(self, pairs: DataFrame, name: str) -> DataFrame:
         rule = self.rule
@@ -240,6 +241,29 @@ def _separate(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.where("up_a <> up_b")
 
 
+def _members(edges: DataFrame, keys: DataFrame, roots: DataFrame, heads: int | None) -> DataFrame:
+    """Sets of the keys with their roots; ``head`` marks about ``heads`` of each key, or all."""
+    held = edges.join(keys, "key", "left_semi")
+    held = held.select("key", F.col("a").alias("set")).union(held.select("key", "b")).distinct()
+    held = held.join(roots.select(F.col("node").alias("set"), F.col("root").alias("up")), "set", "left")
+    held = held.withColumn("up", F.coalesce("up", "set"))
+    if heads is None:
+        return held.withColumn("head", F.lit(True))
+    counts = held.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / heads).alias("share"))
+    marked = held.join(counts, "key").withColumn("head", F.pmod(F.xxhash64("set"), F.col("share")) == 0)
+    return marked.drop("share")
+
+
+def _meeting(members: DataFrame, compare: _Comparison) -> DataFrame:
+    """Pairs of a set and a head of its key that are not connected but may be linked."""
+    left = members.select("key", F.col("set").alias("a"), F.col("up").alias("up_a"))
+    right = members.where("head").select("key", F.col("set").alias("b"), F.col("up").alias("up_b"))
+    left, right = compare.sketches(left, "a"), compare.sketches(right, "b")
+    # The sketches decide inside the join: a pair that cannot link is never a row.
+    meet = (left["key"] == right["key"]) & F.expr("up_a <> up_b") & compare.near()
+    return left.join(right, meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def link_documents(docs: DataFrame, rule: Rule) -> DataFrame:
     """Documents with the size of their shingle set and the group they are linked into.
 
@@ -259,7 +283,7 @@ def link_documents(docs: DataFrame, rule: Rule) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), text)
 
-    schema = "deal long, kind byte, a long, b long, n long"
+    schema = "kind byte, b long, n long, deal long, a long"  # what is mostly zero stands together
     dealt = source.mapInArrow(lambda batches: _scan(batches, rule), schema)
     dealt = dealt.repartition("deal").sortWithinPartitions("deal", "a")
     found = scratch.keep(dealt.mapInArrow(_stars, schema), "found")
@@ -273,7 +297,8 @@ def link_documents(docs: DataFrame, rule: Rule) -> DataFrame:
     joined = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
     chosen = documents.join(joined, "set", "left_semi").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
     texts = source.join(chosen.select("doc_id").distinct(), "doc_id").select("text")
-    sets = texts.mapInArrow(lambda batches: _sets(batches, rule), "set long, shingles array<long>, bits array<long>")
+    schema = ", ".join(["set long, shingles array<long>", *(f"{c} long" for c in _BIT_COLUMNS)])
+    sets = texts.mapInArrow(lambda batches: _sets(batches, rule), schema)
     sets = sets.withColumn("size", F.size("shingles").cast("long")).join(joined, "set", "left_semi")
     sets = scratch.keep(sets.dropDuplicates(["set"]), "sets")
     scratch.drop()
@@ -284,25 +309,25 @@ def link_documents(docs: DataFrame, rule: Rule) -> DataFrame:
     links = compare.linked(scratch.keep(best, "best"), "linked-best")
     roots = components(links, scratch, "first")
     more = _separate(pairs.select("a", "b"), roots).select("a", "b")
-    more = scratch.keep(compare.possible(more), "more")
+    more = compare.sketches(compare.sketches(more, "a"), "b").where(compare.near()).select("a", "b")
+    more = scratch.keep(more, "more")
     links = links.union(compare.linked(more, "linked-more"))
     roots = components(links, scratch, "second")
 
     # Keys whose sets are not all connected: what was not compared with one
-    # another there is compared now.
-    loose = scratch.keep(_separate(edges, roots).select("key").distinct(), "loose")
-    if not loose.isEmpty():
-        held = edges.join(loose, "key", "left_semi")
-        held = held.select("key", "a").union(held.select("key", F.col("b").alias("a"))).distinct()
-        held = held.join(roots.select(F.col("node").alias("a"), F.col("root").alias("up")), "a", "left")
-        held = scratch.keep(held.withColumn("up", F.coalesce("up", "a")), "held")
-        left = held.select("key", "a", F.col("up").alias("up_a"))
-        right = held.select("key", F.col("a").alias("b"), F.col("up").alias("up_b"))
-        across = left.join(right, "key").where("up_a <> up_b and a < b").select("a", "b").distinct()
-        across = across.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-        across = scratch.keep(compare.possible(across), "across")
-        links = links.union(compare.linked(across, "linked-across"))
-        roots = components(links, scratch, "third")
+    # another there is compared now, first with a few sets of each key, which
+    # connects most, then without exception.
+    tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for turn, heads in (("heads", _HEADS), ("all", None)):
+        loose = scratch.keep(_separate(edges, roots).select("key").distinct(), f"loose-{turn}")
+        if loose.isEmpty():
+            break
+        members = scratch.keep(_members(edges, loose, roots, heads), f"members-{turn}")
+        across = _meeting(members, compare).join(tested, ["a", "b"], "left_anti")
+        across = scratch.keep(across, f"across-{turn}")
+        links = links.union(compare.linked(across, f"linked-{turn}"))
+        roots = components(links, scratch, f"roots-{turn}")
+        tested = tested.union(across)
 
     group = F.when(F.col("n_shingles") > 0, F.coalesce("root", "set"))
     labelled = documents.join(roots.withColumnRenamed("node", "set"), "set", "left").select(
