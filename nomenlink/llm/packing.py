@@ -27,7 +27,7 @@ CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
 # Words whose tokens a task remembers at once.
-_REMEMBERED = 300_000
+_REMEMBERED = 200_000
 _TEXTS = 64
 
 

@@ -12,7 +12,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 5  # odd, so that it has an inverse modulo 2**64
 _MASK = (1 << 64) - 1
 
