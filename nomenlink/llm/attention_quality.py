@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from nomenlink.llm import units
 
@@ -200,14 +201,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCUMEN
     return train(np.concatenate(bags), first, np.array([label for label, _ in rows], dtype=np.float64))
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model: AttentionModel | None, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], model: AttentionModel | None, text: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows with their scores, a block of text at a time: only one block is held twice."""
     for batch in batches:
-        scores = np.full(batch.num_rows, 0.5)
-        if model is not None:
-            for begin, data, bounds in units.blocks(batch.column(batch.num_columns - 1)):
-                scores[begin : begin + len(bounds) - 1] = model.scores(*passages(data, bounds))
-        columns = [*batch.columns[:-1], pa.array(scores)]
-        yield pa.RecordBatch.from_arrays(columns, names=[*names, "score"])
+        for begin, data, bounds in units.blocks(batch.column(text).fill_null("")):
+            rows = batch.slice(begin, len(bounds) - 1)
+            scores = np.full(rows.num_rows, 0.5) if model is None else model.scores(*passages(data, bounds))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(scores)], names=[*names, "score"])
 
 
 def score_quality(docs: DataFrame, model: AttentionModel | None) -> DataFrame:
@@ -220,9 +220,9 @@ def score_quality(docs: DataFrame, model: AttentionModel | None) -> DataFrame:
     """
     kept = [c for c in docs.columns if c != "score"]
     source = docs.select(*[F.col(f"`{c}`") for c in kept])
-    source = source.withColumn("text to score", F.coalesce("text", F.lit("")))
-    schema = source.drop("text to score").schema.add("score", "double")
-    return source.mapInArrow(lambda batches: _scored(batches, model, kept), schema)
+    text = next(at for at, c in enumerate(kept) if c.lower() == "text")
+    schema = StructType([*source.schema.fields, StructField("score", DoubleType())])
+    return source.mapInArrow(lambda batches: _scored(batches, model, text, kept), schema)
 
 
 def held_out(doc_id):
