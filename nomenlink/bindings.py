@@ -1,7 +1,8 @@
 """The job-offer, register and contract tables, derived from the star schema.
 
 The SQL of offers, register and contracts runs unchanged on Spark and on the
-engine used for checks, so both start from the same rows.
+engine used for checks, so both start from the same rows. Keys of ``part`` and
+``supplier`` run from 0 without gaps, so every row of them is used.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ select o_orderkey as offer_id,
   c_mktsegment as location_label,
   case when o_orderkey % 19 <> 0 then cast(1000 + c_nationkey*1000 + c_custkey % 5 as double) end as location_zipcode,
   lpad(cast(c_nationkey+1 as varchar(2)),2,'0') as location_departement
-from orders join customer on o_custkey = c_custkey join part on o_orderkey % 200 = p_partkey
+from (select *, o_orderkey % (select count(*) from part) as part_no from orders) o
+join customer on o_custkey = c_custkey join part on part_no = p_partkey
 """
 
 REGISTER_SQL = """
@@ -66,11 +68,12 @@ select l_rowid as contract_id,
   case when k % 3 = 0 then cast(1000 + n_nationkey*1000 + k % 5 as varchar(12)) || '.0' end as location_zipcode,
   case when k % 2 = 0 then n_name else 'nan' end as location_label,
   lpad(cast(n_nationkey+1 as varchar(2)),2,'0') as location_departement
-from (select o_orderkey as l_rowid, o_orderkey as k, o_custkey from orders) o
+from (select o_orderkey as l_rowid, o_orderkey as k, o_custkey, o_orderkey % (select count(*) from part) as part_no,
+    o_orderkey % (select count(*) from supplier) as supplier_no from orders) o
 join customer on o_custkey = c_custkey
 join nation on c_nationkey = n_nationkey
-join part on k % 200 = p_partkey
-join supplier on k % 10 = s_suppkey
+join part on part_no = p_partkey
+join supplier on supplier_no = s_suppkey
 """
 
 # Offers of many employers, most of them without an identifier anywhere.
