@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from nomenlink.operators import matcher, metrics, negatives, silver
 from nomenlink.operators.features import pair_features
-from nomenlink.operators.sampling import SEED, audit_sample, group_split
+from nomenlink.operators.sampling import SEED, audit_sample, group_split, limit_pairs
 from nomenlink.operators.silver import MAX_PAIRS, GeoLevel
 from nomenlink.session import materialise
 
@@ -35,13 +35,18 @@ def silver_experiment(
     audit_size: int = 1000,
     seed: int = SEED,
 ) -> Experiment:
-    """The whole experiment; pairs and features are written at their borders."""
+    """The whole experiment; pairs and features are written at their borders.
+
+    ``max_pairs`` bounds the labelled pairs the classifier is fitted on; reports
+    and audit see all positives.
+    """
     norm = materialise(silver.normalised_offers(offers, id_col), "norm")
-    positives = materialise(silver.silver_positives(norm, level, limit=max_pairs, seed=seed), "positives")
+    positives = materialise(silver.silver_positives(norm, level), "positives")
+    fitted = limit_pairs(positives, max_pairs, seed)
     hard = negatives.hard_negatives(positives, norm, level, max(1, max_pairs // 2), seed)
     random = negatives.random_negatives(positives, norm, max(1, max_pairs // 2), seed + 1)
     pairs = materialise(
-        silver.training_pairs(positives, negatives.all_negatives(hard, random, max_pairs, seed)), "pairs"
+        silver.training_pairs(fitted, negatives.all_negatives(hard, random, max_pairs, seed)), "pairs"
     )
     features = materialise(pair_features(pairs), "features")
     model = matcher.train_matcher(features, rounds, seed)
