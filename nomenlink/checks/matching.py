@@ -139,9 +139,45 @@ check(
     "sim_jaro_winkler",
     f"with {OFFERS}, {_PAIRS} select a, b, round(jaro_winkler_similarity(a, b), 9) as sim from pairs",
 )(_measure(sim.jaro_winkler, "sim"))
-check("sim_ratio")(_measure(sim.ratio, "sim"))
-check("sim_token_sort")(_measure(sim.token_sort, "sim"))
-check("sim_token_set")(_measure(sim.token_set, "sim"))
+# Common subsequence by folding over the characters of the right text. Bit i of
+# the row is clear where the table grows at character i of the left text, so
+# the left text may have up to 126 characters here.
+_LCS = """(case when length({a}) = 0 or length({b}) = 0 then 0 else length({a}) - bit_count(list_reduce(
+    list_transform(string_split({b}, ''), lambda ch: list_sum(list_transform(range(length({a})),
+      lambda i: case when substr({a}, cast(i + 1 as int), 1) = ch then 1::hugeint << cast(i as int) else 0::hugeint end))::hugeint),
+    lambda held, hit: ((held + (held & hit)) | (held - (held & hit))) & ((1::hugeint << cast(length({a}) as int)) - 1),
+    (1::hugeint << cast(length({a}) as int)) - 1)) end)"""
+_RATIO = "case when length({a}) + length({b}) = 0 then 1.0 else 2.0 * lcs / (length({a}) + length({b})) end"
+_TOKENS = r"list_filter(string_split_regex({c}, '\s+'), lambda token: token <> '')"
+
+check(
+    "sim_ratio",
+    f"""with {OFFERS}, {_PAIRS}, measured as (select a, b, {_LCS.format(a='a', b='b')} as lcs from pairs)
+    select a, b, round(cast({_RATIO.format(a='a', b='b')} as double), 9) as sim from measured""",
+)(_measure(sim.ratio, "sim"))
+check(
+    "sim_token_sort",
+    f"""with {OFFERS}, {_PAIRS}, ordered as (select a, b, array_to_string(list_sort({_TOKENS.format(c='a')}), ' ') as x,
+      array_to_string(list_sort({_TOKENS.format(c='b')}), ' ') as y from pairs),
+    measured as (select *, {_LCS.format(a='x', b='y')} as lcs from ordered)
+    select a, b, round(cast({_RATIO.format(a='x', b='y')} as double), 9) as sim from measured""",
+)(_measure(sim.token_sort, "sim"))
+check(
+    "sim_token_set",
+    f"""with {OFFERS}, {_PAIRS}, words as (select a, b, list_distinct({_TOKENS.format(c='a')}) as ta,
+      list_distinct({_TOKENS.format(c='b')}) as tb from pairs),
+    remainders as (select a, b, ta, tb, array_to_string(list_intersect(ta, tb), ' ') as shared,
+      array_to_string(list_sort(list_filter(ta, lambda w: not list_contains(tb, w))), ' ') as x,
+      array_to_string(list_sort(list_filter(tb, lambda w: not list_contains(ta, w))), ' ') as y from words),
+    texts as (select *, concat_ws(' ', nullif(shared, ''), nullif(x, '')) as left_all,
+      concat_ws(' ', nullif(shared, ''), nullif(y, '')) as right_all from remainders),
+    compared as (select *, {_LCS.format(a='left_all', b='right_all')} as lcs from texts)
+    select a, b, round(cast(case when len(ta) = 0 or len(tb) = 0 then 0 when shared <> '' and (x = '' or y = '') then 1
+      else greatest({_RATIO.format(a='left_all', b='right_all')},
+        case when shared = '' then 0 else 2.0 * length(shared) / (length(shared) + length(left_all)) end,
+        case when shared = '' then 0 else 2.0 * length(shared) / (length(shared) + length(right_all)) end)
+      end as double), 9) as sim from compared""",
+)(_measure(sim.token_set, "sim"))
 check("sim_partial")(_measure(sim.partial, "sim"))
 check("sim_sequence")(_measure(sim.sequence_sim, "sim"))
 

@@ -8,7 +8,7 @@ strings once.
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,9 +22,14 @@ from nomenlink.functions.names import company_name_norm
 PREFIX_LENGTH = 4
 PREFIX_WEIGHT = 0.1
 BOOST_ABOVE = 0.7
+# --- fixed value of block matching: texts from this length have popular places
+POPULAR_FROM = 200
 # --- fixed value of the cosine measure
 NORM_FLOOR = 1e-12
 
+# Cells of the largest matrix, and characters of the windows held; bounds memory only.
+_CELLS = 1 << 21
+
 # ---------------------------------------------------------------------------
 # Kernels on arrays
 
@@ -82,48 +87,151 @@ def jaro_winkler_to(text: str, matrix: np.ndarray, lengths: np.ndarray) -> np.nd
     return out
 
 
-def lcs_length(a: str, b: str) -> int:
-    """Longest common subsequence, one machine-wide word per text."""
-    if not a or not b:
-        return 0
-    places: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        places[ch] = places.get(ch, 0) | (1 << i)
-    ones = (1 << len(a)) - 1
-    row = ones
-    for ch in b:
-        hits = row & places.get(ch, 0)
-        row = (row + hits) | (row - hits)
-    return (~row & ones).bit_count()
+def _groups(widths: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows in the order of their widths, as many at a time as fit one matrix of ``_CELLS``."""
+    order = np.argsort(widths, kind="stable")
+    begin = 0
+    while begin < len(order):
+        fits = np.arange(1, len(order) - begin + 1) * (widths[order[begin:]] + 1) <= _CELLS
+        end = begin + max(1, int(fits.sum()))
+        yield order[begin:end]
+        begin = end
+
+
+def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of each pair.
+
+    The rows of all tables advance together: one step takes the next code point
+    of every left text. Pairs are taken in the order of their lengths, so that a
+    long text does not widen the matrix of the short ones.
+    """
+    out = np.zeros(len(a), dtype=np.int64)
+    for chosen in _groups(np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)], dtype=np.int64)):
+        left, left_sizes = encode([a[i] for i in chosen])
+        right, right_sizes = encode([b[i] for i in chosen])
+        inside = np.arange(right.shape[1]) < right_sizes[:, None]
+        table = np.zeros((len(chosen), right.shape[1] + 1), dtype=np.int32)
+        for i in range(int(left_sizes.max(initial=0))):
+            hit = (right == left[:, i : i + 1]) & inside & (i < left_sizes)[:, None]
+            reached = np.maximum(table[:, 1:], np.where(hit, table[:, :-1] + 1, 0))
+            np.maximum.accumulate(reached, axis=1, out=table[:, 1:])
+        out[chosen] = table[:, -1]
+    return out
+
+
+def indel_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """Twice the common subsequence over both lengths; two empty texts are equal."""
+    total = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], dtype=np.int64)
+    return np.where(total == 0, 1.0, 2.0 * lcs_lengths(a, b) / np.maximum(total, 1))
 
 
-def indel_ratio(a: str, b: str) -> float:
-    total = len(a) + len(b)
-    return 2.0 * lcs_length(a, b) / total if total else 1.0
+def _windows(short: str, long: str) -> Iterator[str]:
+    n = len(short)
+    return (long[max(0, start) : start + n] for start in range(1 - n, len(long)) if n)
 
 
-def partial_ratio(a: str, b: str) -> float:
+def partial_ratios(a: list[str], b: list[str]) -> np.ndarray:
     """Best ratio of the shorter text against windows of the longer one.
 
-    Windows as long as the shorter text, and shorter ones at both ends.
+    Windows as long as the shorter text, and shorter ones at both ends; of texts
+    of one length either may be the shorter. The windows of many pairs are
+    measured together.
     """
-    if not a and not b:
-        return 1.0
+    out = np.array([0.0 if x or y else 1.0 for x, y in zip(a, b, strict=True)])
+    owners, shorts, windows = [], [], []
+    held = 0
+
+    def flush() -> None:
+        if owners:
+            np.maximum.at(out, owners, indel_ratios(shorts, windows))
+        owners.clear(), shorts.clear(), windows.clear()
+
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        sides = [(x, y), (y, x)] if len(x) == len(y) else [(x, y) if len(x) < len(y) else (y, x)]
+        for short, long in sides:
+            for window in _windows(short, long):
+                owners.append(i), shorts.append(short), windows.append(window)
+                held += len(window) + 1
+                if held >= _CELLS:
+                    flush()
+                    held = 0
+    flush()
+    return out
+
+
+def _popular(code: np.ndarray) -> np.ndarray:
+    """Places of code points too frequent to start a block; only in long texts."""
+    if len(code) < POPULAR_FROM:
+        return np.zeros(len(code), dtype=bool)
+    _, place, counts = np.unique(code, return_inverse=True, return_counts=True)
+    return (counts > len(code) // 100 + 1)[place]
 
-    def best(short: str, long: str) -> float:
-        n, top = len(short), 0.0
-        for start in range(1 - n, len(long)):
-            window = long[max(0, start) : start + n]
-            # No window can beat the ratio its length allows.
-            if window and 2.0 * min(n, len(window)) / (n + len(window)) > top:
-                top = max(top, indel_ratio(short, window))
-                if top == 1.0:
-                    break
-        return top
 
-    if len(a) == len(b):
-        return max(best(a, b), best(b, a))
-    return best(a, b) if len(a) < len(b) else best(b, a)
+def _longest_blocks(a, b, seed, size_a, size_b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start in both texts and length of the longest common block of each row.
+
+    The first in the left text, then in the right one, wins among equal ones.
+    ``seed`` marks the right places that can be part of a block before it is
+    extended on both sides.
+    """
+    rows = np.arange(len(a))
+    length, start_a, start_b = (np.zeros(len(a), dtype=np.int64) for _ in range(3))
+    run = np.zeros((len(a), b.shape[1] + 1), dtype=np.int32)
+    for i in range(int(size_a.max(initial=0))):
+        hit = (b == a[:, i : i + 1]) & seed & (i < size_a)[:, None]
+        run[:, 1:] = np.where(hit, run[:, :-1] + 1, 0)
+        end = run.argmax(axis=1)
+        top = run[rows, end]
+        better = top > length
+        length = np.where(better, top, length)
+        start_a = np.where(better, i + 1 - top, start_a)
+        start_b = np.where(better, end - top, start_b)
+    for back in (True, False):
+        while True:
+            at_a = start_a - 1 if back else start_a + length
+            at_b = start_b - 1 if back else start_b + length
+            able = (at_a >= 0) & (at_b >= 0) & (at_a < size_a) & (at_b < size_b)
+            clip_a, clip_b = np.clip(at_a, 0, a.shape[1] - 1), np.clip(at_b, 0, b.shape[1] - 1)
+            grows = able & (a[rows, clip_a] == b[rows, clip_b]) & ((length > 0) | (not back))
+            if not grows.any():
+                break
+            length = length + grows
+            if back:
+                start_a, start_b = start_a - grows, start_b - grows
+    return start_a, start_b, length
+
+
+def block_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """Twice the matching blocks over both lengths.
+
+    The longest common block splits both texts; what lies before and behind it
+    is matched in the same way. Each round takes all open pieces of all pairs.
+    """
+    total = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], dtype=np.int64)
+    matched = np.zeros(len(a), dtype=np.int64)
+    codes = [[np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) for t in side] for side in (a, b)]
+    common = [_popular(code) for code in codes[1]]
+    pieces = [(i, 0, len(x), 0, len(y)) for i, (x, y) in enumerate(zip(a, b, strict=True)) if x and y]
+    while pieces:
+        following = []
+        for chosen in _groups(np.array([max(p[2] - p[1], p[4] - p[3]) for p in pieces], dtype=np.int64)):
+            part = [pieces[k] for k in chosen]
+            size_a = np.array([p[2] - p[1] for p in part])
+            size_b = np.array([p[4] - p[3] for p in part])
+            left = np.zeros((len(part), int(size_a.max())), dtype=np.uint32)
+            right = np.zeros((len(part), int(size_b.max())), dtype=np.uint32)
+            seed = np.zeros(right.shape, dtype=bool)
+            for row, (i, a0, a1, b0, b1) in enumerate(part):
+                left[row, : a1 - a0], right[row, : b1 - b0] = codes[0][i][a0:a1], codes[1][i][b0:b1]
+                seed[row, : b1 - b0] = ~common[i][b0:b1]
+            found = zip(part, *_longest_blocks(left, right, seed, size_a, size_b), strict=True)
+            for (i, a0, a1, b0, b1), x, y, n in found:
+                if n:
+                    matched[i] += n
+                    following.append((i, a0, a0 + x, b0, b0 + y))
+                    following.append((i, a0 + x + n, a1, b0 + y + n, b1))
+        pieces = [p for p in following if p[1] < p[2] and p[3] < p[4]]
+    return np.where(total == 0, 1.0, 2.0 * matched / np.maximum(total, 1))
 
 
 def _jaro_winkler_pairs(a: pd.Series, b: pd.Series) -> np.ndarray:
@@ -149,17 +257,17 @@ def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _on_distinct(lambda x, y: [lcs_length(s, t) for s, t in zip(x, y)], a, b)
+    return _on_distinct(lambda x, y: lcs_lengths(x.tolist(), y.tolist()), a, b)
 
 
 @F.pandas_udf(DoubleType())
 def _partial(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _on_distinct(lambda x, y: [partial_ratio(s, t) for s, t in zip(x, y)], a, b)
+    return _on_distinct(lambda x, y: partial_ratios(x.tolist(), y.tolist()), a, b)
 
 
 @F.pandas_udf(DoubleType())
 def _sequence(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _on_distinct(lambda x, y: [SequenceMatcher(None, s, t).ratio() for s, t in zip(x, y)], a, b)
+    return _on_distinct(lambda x, y: block_ratios(x.tolist(), y.tolist()), a, b)
 
 
 # ---------------------------------------------------------------------------

@@ -222,15 +222,14 @@ def _score_tile(cell: dict[str, pa.Array], k: int) -> pa.RecordBatch:
     )
 
 
-def _top_profiles(asked: DataFrame, listed: DataFrame, k: int) -> DataFrame:
+def _top_profiles(distinct: DataFrame, listed: DataFrame, k: int) -> DataFrame:
     """For every distinct query the k best distinct profiles of its department."""
-    spark = asked.sparkSession
+    spark = distinct.sparkSession
     profiles = listed.groupBy("p_id", *_P_KEY).agg(
         F.min(F.concat_ws("|", F.coalesce("siren", F.lit("")), F.coalesce("siret", F.lit("")))).alias("p_first")
     )
     # Counted, tiled and counted again: both sides are written once.
     profiles = materialise(profiles, "register-profiles")
-    distinct = materialise(asked.select("q_id", *_Q_KEY).distinct(), "query-profiles")
     q_counts = materialise(_tile_counts(distinct, "q_dept", QUERY_TILE, "q_tile"), "query-tiles")
     p_counts = materialise(_tile_counts(profiles, "p_dept", PROFILE_TILE, "p_tile"), "profile-tiles")
     q_fields = ["q_id", "q_name", "q_zip", "q_city"]
@@ -263,11 +262,14 @@ def rank_candidates(queries: DataFrame, register: DataFrame, k: int = CANDIDATE_
     The scored profiles, the costly part, are written to the shared folder.
     """
     asked = _query_profiles(queries)
-    listed = _register_profiles(register)
+    distinct = materialise(asked.select("q_id", *_Q_KEY).distinct(), "query-profiles")
+    # Only departments that are asked for are grouped, or read where they are folders.
+    departments = distinct.select(F.col("q_dept").alias("code_departement")).distinct()
+    listed = _register_profiles(register.join(departments, "code_departement", "left_semi"))
     # Among rows that differ in their identifiers only, the first k suffice.
     in_profile = Window.partitionBy("p_id").orderBy("siren", "siret")
     listed = listed.withColumn("_n", F.row_number().over(in_profile)).where(F.col("_n") <= k).drop("_n")
-    top = materialise(_top_profiles(asked, listed, k), "profiles")
+    top = materialise(_top_profiles(distinct, listed, k), "profiles")
     fields = [
         "siren", "siret", "raison_sociale", "enseigne", "sigle", "naf_ape", "code_postal", "commune",
         "code_departement", "is_headquarters",

@@ -20,30 +20,56 @@ def lcs_by_table(a, b):
     return row[-1]
 
 
-@settings(max_examples=300, deadline=None)
-@given(WORDS, WORDS)
-def test_lcs_equals_the_table(a, b):
-    assert s.lcs_length(a, b) == lcs_by_table(a, b)
-    assert s.indel_ratio(a, b) == s.indel_ratio(b, a)
-    assert 0 <= s.indel_ratio(a, b) <= 1
+PAIRS = st.lists(st.tuples(WORDS, WORDS), max_size=8)
+
+
+def ratio_by_table(a, b):
+    return 2 * lcs_by_table(a, b) / (len(a) + len(b)) if a or b else 1.0
+
+
+def sides(pairs):
+    return [a for a, _ in pairs], [b for _, b in pairs]
 
 
 @settings(max_examples=200, deadline=None)
-@given(WORDS, WORDS)
-def test_partial_ratio_is_the_best_window(a, b):
-    got = s.partial_ratio(a, b)
-    assert got == s.partial_ratio(b, a)
+@given(PAIRS)
+def test_lcs_of_a_batch_equals_the_table(pairs):
+    assert s.lcs_lengths(*sides(pairs)).tolist() == [lcs_by_table(a, b) for a, b in pairs]
+    assert s.indel_ratios(*sides(pairs)).tolist() == [ratio_by_table(a, b) for a, b in pairs]
+
 
+@settings(max_examples=100, deadline=None)
+@given(PAIRS)
+def test_partial_ratio_is_the_best_window(pairs):
     def best(short, long):
         windows = [long[max(0, k) : k + len(short)] for k in range(1 - len(short), len(long))]
-        return max([s.indel_ratio(short, w) for w in windows if w], default=0.0)
-
-    if not a and not b:
-        assert got == 1.0
-    elif len(a) == len(b):
-        assert got == max(best(a, b), best(b, a))
-    else:
-        assert got == best(*sorted((a, b), key=len))
+        return max([ratio_by_table(short, w) for w in windows if w], default=0.0)
+
+    def expected(a, b):
+        if not a and not b:
+            return 1.0
+        return max(best(a, b), best(b, a)) if len(a) == len(b) else best(*sorted((a, b), key=len))
+
+    assert s.partial_ratios(*sides(pairs)).tolist() == [expected(a, b) for a, b in pairs]
+
+
+LONG = st.text(alphabet="abcdefghijklmnopqrst", min_size=150, max_size=420)
+
+
+@settings(max_examples=200, deadline=None)
+@given(PAIRS, st.lists(st.tuples(LONG, LONG), max_size=2))
+def test_block_ratio_equals_the_standard_matcher(pairs, long_pairs):
+    pairs = pairs + long_pairs + [("ab" * 150, "ba" * 150), ("abc" * 90, "x" + "abc" * 90)]
+    expected = [SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+    assert s.block_ratios(*sides(pairs)).tolist() == expected
+
+
+def test_small_matrices_change_nothing(monkeypatch):
+    pairs = [("abcde" * n, "badce" * (n % 4 + 1)) for n in range(9)]
+    measures = (s.lcs_lengths, s.partial_ratios, s.block_ratios)
+    whole = [measure(*sides(pairs)).tolist() for measure in measures]
+    monkeypatch.setattr(s, "_CELLS", 7)
+    assert [measure(*sides(pairs)).tolist() for measure in measures] == whole
 
 
 @pytest.fixture(scope="module")
