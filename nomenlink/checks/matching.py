@@ -279,10 +279,46 @@ def best_name_match(spark, sf):
     return best.select("query_id", "name", "siren", "raison_sociale", F.round("score", 9).alias("score"))
 
 
-@check("resolver_features")
+# Each name has the vector that its digest picks; some names have none.
+def _name_vectors(spark, sf):
+    names = offer_queries(spark, sf).select(F.col("name").alias("text"))
+    names = names.union(b.register(spark, sf).select("raison_sociale")).where("text is not null").distinct()
+    number = F.conv(F.substring(F.md5("text"), 1, 6), 16, 10).cast("long")
+    e = b.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return names.withColumn("vec_id", F.pmod(number, F.lit(450))).join(e, "vec_id").where("vec_id % 9 <> 0")
+
+
+_FEATURES = f"""pairs as (select distinct name, coalesce(raison_sociale, '') as official from candidates),
+numbered as (select *, cast('0x' || substr(md5(name), 1, 6) as bigint) % 450 as own_id,
+    cast('0x' || substr(md5(official), 1, 6) as bigint) % 450 as official_id,
+    array_to_string(list_sort({_TOKENS.format(c='lower(name)')}), ' ') as x,
+    array_to_string(list_sort({_TOKENS.format(c='lower(official)')}), ' ') as y from pairs),
+measured as (select n.*, {_LCS.format(a='x', b='y')} as lcs,
+    round(cast({_LEV.format(a='lower(name)', b='lower(official)')} as double), 9) as sim_levenshtein,
+    round({_DOT.format(a='l.embedding', b='r.embedding')} / (sqrt({_DOT.format(a='l.embedding', b='l.embedding')})
+      * sqrt({_DOT.format(a='r.embedding', b='r.embedding')}) + 1e-12), 6) as sim_cosine from numbered n
+    left join embeddings l on l.vec_id = own_id and own_id % 9 <> 0
+    left join embeddings r on r.vec_id = official_id and official_id % 9 <> 0),
+features as (select query_id, rank, siren, round(cast({_RATIO.format(a='x', b='y')} as double), 9) as sim_token_sort,
+    sim_levenshtein, sim_cosine, coalesce(trim(department) = code_departement, false) as same_department,
+    coalesce(is_headquarters, false) as is_headquarters, cast(0 as double) as naf_semantic_score
+  from candidates c join measured m on c.name = m.name and coalesce(c.raison_sociale, '') = m.official)"""
+
+
+@check(
+    "resolver_features",
+    f"""with {OFFERS}, {REGISTER}, {_QUERIES}, {_RANKED}, {_FEATURES} select *,
+    round(sim_token_sort + sim_levenshtein + coalesce(sim_cosine, 0) + cast(same_department as int)
+      + cast(is_headquarters as int), 6) as features_sum from features""",
+)
 def resolver_features(spark, sf):
-    rows = r.feature_vector(r.resolver_features(candidates(spark, sf), case_sensitive=False))
-    return rows.select("query_id", "rank", "siren", *r.FEATURES, "features")
+    near = r.with_cosine(candidates(spark, sf), _name_vectors(spark, sf))
+    rows = r.resolver_features(near, F.col("cosine"), case_sensitive=False)
+    for name, digits in (("sim_token_sort", 9), ("sim_levenshtein", 9), ("sim_cosine", 6)):
+        rows = rows.withColumn(name, F.round(name, digits))
+    rows = r.feature_vector(rows)
+    total = F.aggregate("features", F.lit(0.0), lambda held, x: held + x)
+    return rows.select("query_id", "rank", "siren", *r.FEATURES, F.round(total, 6).alias("features_sum"))
 
 
 # ---------------------------------------------------------------------------

@@ -54,6 +54,25 @@ def resolver_features(
     )
 
 
+def with_cosine(candidates: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Candidates with ``cosine``, that of the vectors of both names.
+
+    ``vectors`` has one row per ``text`` with its ``vector``; a name without one
+    gives null. Vectors travel once per distinct pair of names, not per candidate.
+    """
+    keyed = candidates.withColumns({"_x": _text("name"), "_y": _text("raison_sociale")})
+    pairs = keyed.select("_x", "_y").distinct()
+    for side in ("x", "y"):
+        own = vectors.select(F.col("text").alias(f"_{side}"), F.col("vector").alias(f"_v{side}"))
+        pairs = pairs.join(own, f"_{side}")
+    cosines = pairs.select("_x", "_y", sim.cosine(F.col("_vx"), F.col("_vy")).alias("cosine"))
+    return salted_join(keyed, cosines, ["_x", "_y"], "left").drop("_x", "_y")
+
+
+def _text(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(""))
+
+
 FEATURES = [
     "sim_token_sort",
     "sim_levenshtein",
@@ -165,22 +184,28 @@ def register_provider(
     threshold: float = STRICT_THRESHOLD,
     k: int = CANDIDATE_LIMIT,
     case_sensitive: bool = True,
-    scorer: Callable[[DataFrame], Column] | None = None,
-    cosine: Column | None = None,
+    scorer: Callable[[DataFrame], Column | DataFrame] | None = None,
+    vectors: DataFrame | None = None,
 ) -> Provider:
     """Compare with the register and take the best candidate.
 
-    ``scorer`` maps the DataFrame of features to a score column, for example a
-    trained model; the default is the mean of the similarities present.
+    ``scorer`` maps the DataFrame of features to a score column, or to the same
+    rows with ``score`` added, as a fitted pipeline does; the default is the
+    mean of the similarities present. ``vectors`` (``text``, ``vector``) adds
+    the cosine of the two names.
     """
 
     def resolve(queries: DataFrame) -> DataFrame:
-        features = resolver_features(_register_candidates(queries, register, k), cosine, case_sensitive)
+        candidates = _register_candidates(queries, register, k)
+        if vectors is not None:
+            candidates = with_cosine(candidates, vectors)
+        features = resolver_features(candidates, None if vectors is None else F.col("cosine"), case_sensitive)
         if scorer is None:
             score = mean_score(F.col("sim_token_sort"), F.col("sim_levenshtein"), F.col("sim_cosine"))
         else:
             score = scorer(features)
-        best = best_match(features.withColumn("score", score), threshold)
+        scored = score if isinstance(score, DataFrame) else features.withColumn("score", score)
+        best = best_match(scored, threshold)
         return best.select("query_id.*", "siren", "score")
 
     return Provider("local_ml_siren", resolve)

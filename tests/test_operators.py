@@ -309,3 +309,35 @@ def test_binding_figures(spark, sf):
     norm = silver.normalised_offers(offers, "offer_id", drop_blacklisted=False)
     assert silver.ambiguity_report(norm).count() == 4
     assert b.register(spark, sf).select("code_departement").distinct().count() == 25
+
+
+def test_vectors_and_a_fitted_model_reach_the_resolver(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from nomenlink.operators import resolve as r
+
+    listed = "siren string, siret string, raison_sociale string, enseigne string, sigle string, naf_ape string,"
+    listed += "code_postal string, commune string, code_departement string, is_headquarters boolean"
+    register = spark.createDataFrame(
+        [(f"{n}", f"{n}1", name, None, None, None, "75001", "Paris", "75", True) for n, name in enumerate(("alpha", "omega"))],
+        listed,
+    )
+    asked = "name_key string, address_key string, name string, addr struct<street:string, zip_code:string, city:string, department_hint:string>"
+    queries = spark.createDataFrame([("bakery", "x", "bakery", (None, "75001", "Paris", None))], asked)
+    vectors = spark.createDataFrame([("bakery", [1.0, 0.0]), ("alpha", [0.0, 1.0]), ("omega", [2.0, 0.0])], "text string, vector array<double>")
+
+    by_cosine = r.register_provider(register, 0.9, scorer=lambda features: F.col("sim_cosine"), vectors=vectors)
+    assert [(x.siren, round(x.score, 9)) for x in by_cosine.resolve(queries).collect()] == [("1", 1.0)]
+    assert r.register_provider(register, 0.9, scorer=lambda f: F.col("sim_cosine")).resolve(queries).collect() == []
+
+    seen = spark.createDataFrame([(c, float(c > 0.5)) for c in (0.0, 0.1, 0.2, 0.8, 0.9, 1.0)], "sim_cosine double, label double")
+    model = Pipeline(stages=[VectorAssembler(inputCols=["sim_cosine"], outputCol="x"), LogisticRegression(featuresCol="x")]).fit(seen)
+
+    def fitted(features):
+        return model.transform(features).withColumn("score", vector_to_array("probability")[1])
+
+    by_model = r.register_provider(register, 0.5, scorer=fitted, vectors=vectors)
+    assert [x.siren for x in by_model.resolve(queries).collect()] == ["1"]
