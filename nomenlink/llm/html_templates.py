@@ -3,10 +3,12 @@
 Pages of one host come from a template. Markup tokens, told apart by where
 they stand, that occur equally often on every page of a set have the same
 occurrence vector; tokens of one vector form an equivalence class. Classes of
-enough pages, whose tokens come in one order, nest into the host's template:
-a tree of containers with slots between them. What differs from page to page
-is in the slots. The slot that holds most text, once menus, notices and the
-like are left out, is the article, and is extracted on every page.
+enough pages make the host's template: a tree of containers, nested by their
+paths, with slots between them. Text found on nearly all pages that have its
+place is template too. The deepest slot that holds most of the other text is
+the article, and is extracted on every page. Elements and names that usually
+mean menus, notices and the like are a hint only, for hosts with too few pages
+and for pages without the slot.
 
 Occurrence vectors are never gathered: each is kept as a fingerprint, the XOR
 of one hash per page and count, so a host of any size is a partial sum.
@@ -14,6 +16,7 @@ of one hash per page and count, so a host of any size is a partial sum.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections import Counter
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 
 from nomenlink.llm.scratch import Scratch
 from nomenlink.llm.url_rules import host_of
+from nomenlink.operators.skew import salted_join
 
 # Elements by role.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,6 +48,8 @@ _BOILERPLATE_NAMES = frozenset(
     "pagination pager login search toolbar complementary contentinfo".split()
 )
 _ARTICLES = frozenset(("article", "main"))
+# Different pages from which a host's own template decides.
+ENOUGH_PAGES = 4
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL
@@ -94,8 +100,9 @@ class _Reader:
             words = set(_LETTERS.findall(names))
             # The heading of an article is part of it.
             outer = tag == "header" and not any(f">{x}" in above for x in _ARTICLES)
-            own = tag in _BOILERPLATE or outer or bool(words & _BOILERPLATE_NAMES)
-            self._open.append((tag, path, aside or (own and tag not in ("html", "body"))))
+            named = bool(words & _BOILERPLATE_NAMES) and tag != "header"
+            own = tag in _BOILERPLATE or outer or named
+            self._open.append((tag, path, aside or (own and tag not in ("html", "body", *_ARTICLES))))
 
     def _leave(self, tag: str) -> None:
         for depth in range(len(self._open) - 1, -1, -1):
@@ -132,12 +139,16 @@ class _Reader:
                 self._enter(tag, match.group(3))
         self._close_block()
 
-    def masses(self) -> Counter[str]:
-        """Characters of text, boilerplate left out, below each path."""
+    def fresh(self, known: set[bytes] | None) -> list[tuple[str, str]]:
+        """Path and text of blocks that are not template; without ``known`` texts the hints decide."""
+        if known is None:
+            return [(path, text) for path, aside, text in self.blocks if not aside]
+        return [(path, text) for path, _, text in self.blocks if not known or _mark(path, text) not in known]
+
+    def masses(self, known: set[bytes] | None) -> Counter[str]:
+        """Characters of text, template left out, below each path."""
         found: Counter[str] = Counter()
-        for path, aside, text in self.blocks:
-            if aside:
-                continue
+        for path, text in self.fresh(known):
             found[""] += len(text)
             at = path
             while at:
@@ -150,13 +161,62 @@ def _below(path: str, top: str) -> bool:
     return path == top or path.startswith(top + ">")
 
 
+def _mark(path: str, text: str) -> bytes:
+    """Name of a text at its place."""
+    return hashlib.blake2b(f"{path}\n{text}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _known(texts: pa.Scalar) -> set[bytes] | None:
+    return set(texts.as_py()) if texts.is_valid else None
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text of a page with its place once, the places, and the page; pages of equal texts have one number."""
+    kinds = [pa.string(), pa.binary(), pa.binary(), pa.int64()]
+    for batch in batches:
+        rows = []
+        for host, page in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+            marks = sorted({(_mark(path, ""), _mark(path, text)) for path, _, text in _Reader(page).blocks})
+            whole = b"".join(mark for _, mark in marks)
+            number = int.from_bytes(hashlib.blake2b(whole, digest_size=8).digest(), "big", signed=True)
+            places = sorted({place for place, _ in marks})
+            rows += [(host, place, mark, number) for place, mark in marks]
+            rows += [(host, place, b"", number) for place in (b"", *places)]
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        arrays = [pa.array(values, kind) for values, kind in zip(columns, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["host", "place", "mark", "page"])
+
+
+def host_texts(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """``host`` and the ``texts`` (marks) of its template; only hosts with enough pages.
+
+    ``pages`` has ``host`` and ``html``. A text is template if it stands on nine
+    of ten different pages that have text at its place, and the place has text
+    on half of the host's.
+    """
+    seen = pages.select("host", "html").mapInArrow(_marks, "host string, place binary, mark binary, page long")
+    counts = seen.distinct().groupBy("host", "place", "mark").agg(F.count(F.lit(1)).alias("pages"))
+    # A text of one page is none of a template; only the others are kept.
+    counts = scratch.keep(counts.where(F.col("pages") >= ENOUGH_PAGES // 2), "texts")
+    of_place, of_host = F.length("mark") == 0, F.length("place") == 0
+    hosts = counts.where(of_host & (F.col("pages") >= ENOUGH_PAGES)).select("host", F.col("pages").alias("of"))
+    places = salted_join(counts.where(of_place & ~of_host), hosts, ["host"]).where("2 * pages >= of")
+    places = places.select("host", "place", F.col("pages").alias("here"))
+    often = salted_join(counts.where(~of_place), places, ["host", "place"]).where("10 * pages >= 9 * here")
+    listed = often.groupBy("host").agg(F.collect_list("mark").alias("texts"))
+    return hosts.join(listed, "host", "left").select(
+        "host", F.coalesce("texts", F.array().cast("array<binary>")).alias("texts")
+    )
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["host", "token", "page", "times", "rank", "mass", "total"]
     for batch in batches:
         rows = []
-        for host, page, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        heads = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+        for (host, page, text), texts in zip(heads, batch.column(3), strict=True):
             reader = _Reader(text)
-            masses = reader.masses()
+            masses = reader.masses(_known(texts))
             rows += [
                 (host, token, page, reader.tokens[token], rank, masses.get(token, 0), masses[""])
                 for rank, token in enumerate(reader.order)
@@ -170,12 +230,12 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def host_templates(pages: DataFrame) -> DataFrame:
     """``host``, its template ``tokens`` in order, and the path ``slot`` of its article.
 
-    ``pages`` has ``host``, ``page`` (a number for each page) and ``html``. A
-    class is valid if its pages are at least half of the host's. A token takes
-    part at the place where it usually first stands.
+    ``pages`` has ``host``, ``page`` (a number for each page), ``html`` and the
+    host's template ``texts``. A class is valid if its pages are at least half
+    of the host's. A token takes part at the place where it usually first stands.
     """
     schema = "host string, token string, page long, times long, rank long, mass long, total long"
-    seen = pages.mapInArrow(_occurrences, schema)
+    seen = pages.select("host", "page", "html", "texts").mapInArrow(_occurrences, schema)
     tokens = seen.groupBy("host", "token").agg(
         F.bit_xor(F.xxhash64("page", "times")).alias("vector"),
         F.count(F.lit(1)).alias("pages"),
@@ -194,35 +254,54 @@ def host_templates(pages: DataFrame) -> DataFrame:
     depth = F.size(F.split("token", ">"))
     best = F.struct(slot, depth, "together", F.col("mass"), F.col("token"))
     listed = F.sort_array(F.collect_list(F.when(F.col("most") == 1, F.struct("rank", "token"))))
-    template = valid.groupBy("host").agg(
-        listed["token"].alias("tokens"), F.max(F.when(slot, best)).alias("best"), F.max("of").alias("pages")
-    )
+    template = valid.groupBy("host").agg(listed["token"].alias("tokens"), F.max(F.when(slot, best)).alias("best"))
     return template.select("host", "tokens", F.coalesce("best.token", F.lit("")).alias("slot"))
 
 
-def main_text(page: str, slot: str | None, tokens: list[str] | None) -> str:
+def main_text(page: str, slot: str | None, tokens: list[str] | None, known: set[bytes] | None = None) -> str:
     """The text in the template's article slot, a line per block.
 
-    Where the page has no such slot, or other containers around it than the
-    template, the whole page is read; boilerplate is left out either way.
+    ``known`` are the marks of the host's template texts; they are left out
+    unless nothing else is in the slot. Without them, and where the page has no
+    such slot or other containers around it than the template, boilerplate is
+    left out by the hints, unless they leave less than half of a page without article.
     """
     reader = _Reader(page)
-    texts = [(path, text) for path, aside, text in reader.blocks if not aside]
+    whole = [(path, text) for path, _, text in reader.blocks]
+    texts = reader.fresh(known)
     around = [token for token in tokens or () if slot and _below(slot, token)]
-    if slot and all(reader.tokens[token] for token in around):
+    inside = slot and all(reader.tokens[token] for token in around)
+    if inside and known is not None:
         found = [text for path, text in texts if _below(path, slot)]
+        found = found or [text for path, text in whole if _below(path, slot)]
         if found:
             return "\n".join(found)
-    article = [text for path, text in texts if not _ARTICLES.isdisjoint(x.partition(".")[0] for x in path.split(">"))]
-    return "\n".join(article or [text for _, text in texts])
+    hinted = reader.fresh(None)
+    if known is not None:
+        hinted = [block for block in hinted if _mark(*block) not in known] or hinted
+    found = [block for block in hinted if inside and _below(block[0], slot)]
+    found = found or [block for block in hinted if _in_article(block[0])] or hinted
+    if not any(_in_article(token) for token in reader.order):
+        rest = texts if known else whole
+        if 2 * _chars(found) < _chars(rest):
+            found = rest
+    return "\n".join(text for _, text in found)
+
+
+def _chars(blocks: list[tuple[str, str]]) -> int:
+    return sum(len(text) for _, text in blocks)
+
+
+def _in_article(path: str) -> bool:
+    return not _ARTICLES.isdisjoint(x.partition(".")[0] for x in path.split(">"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        pages, slots, tokens = (batch.column(k) for k in (2, 3, 4))
+        pages, slots, tokens, known = (batch.column(k) for k in (2, 3, 4, 5))
         texts = [
-            main_text(page.as_py(), slot.as_py(), around.as_py())
-            for page, slot, around in zip(pages, slots, tokens, strict=True)
+            main_text(page.as_py(), slot.as_py(), around.as_py(), _known(marks))
+            for page, slot, around, marks in zip(pages, slots, tokens, known, strict=True)
         ]
         columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string())]
         yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text"])
@@ -249,8 +328,10 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"),
     )
     number = F.xxhash64("page_id", "url", "html").alias("page")
-    templates = scratch.keep(host_templates(source.select("host", number, "html")), "templates")
-    joined = source.join(templates, "host", "left").select("page_id", "url", "html", "slot", "tokens")
+    texts = scratch.keep(host_texts(source, scratch), "host-texts")
+    numbered = source.select("host", number, "html").join(texts, "host", "left")
+    templates = scratch.keep(host_templates(numbered).join(texts, "host", "left"), "templates")
+    joined = source.join(templates, "host", "left").select("page_id", "url", "html", "slot", "tokens", "texts")
     return joined.mapInArrow(_extract, "page_id long, url string, text string")
 
 

@@ -281,6 +281,32 @@ def test_extraction_without_semantic_tags(spark):
     assert got[9] == "" and got[10] == "plain & text"
 
 
+def test_the_host_s_pages_decide_and_not_the_names(spark):
+    shapes = {
+        "side": "<body><div class='content has-sidebar'><p>{0}</p></div><div class=x>same</div></body>",
+        "open": "<body><article class='post comments-open'><header class=entry-header><h1>H{1}</h1></header><p>{0}</p>"
+        "</article></body>",
+        "form": "<body><form><div id=a><p>{0}</p></div><div id=b>same</div></form></body>",
+        "plain": "<body><div class=teaser><p>All rights</p></div><div class=text><p>{0}</p><p>Write to us</p></div></body>",
+    }
+    rows = []
+    for host, shape in shapes.items():
+        # Many pages, and hosts of one page where the names are a hint.
+        for n in range(7):
+            where = host if n < 6 else f"{host}-alone"
+            rows.append((len(rows), f"https://{where}.example/{n}", shape.format(f"long text {n} " * 9, n)))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["url"]: r["text"] for r in html_templates.extract_pages(df).collect()}
+    for n in range(6):
+        body = (f"long text {n} " * 9).strip()
+        assert got[f"https://side.example/{n}"] == got[f"https://form.example/{n}"] == body
+        assert got[f"https://open.example/{n}"] == f"H{n}\n{body}"
+        assert got[f"https://plain.example/{n}"] == body
+    body = ("long text 6 " * 9).strip()
+    assert got["https://open-alone.example/6"] == f"H6\n{body}"
+    assert body in got["https://side-alone.example/6"] and body in got["https://form-alone.example/6"]
+
+
 def test_quality_learns_and_scores_every_row(spark, sf, docs):
     got = attention_quality.op7_attention_quality(spark, "/root/testdata/sf0.01").collect()
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
