@@ -23,7 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nomenlink.llm.scratch import Scratch
@@ -227,7 +227,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def host_templates(pages: DataFrame) -> DataFrame:
+def host_templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """``host``, its template ``tokens`` in order, and the path ``slot`` of its article.
 
     ``pages`` has ``host``, ``page`` (a number for each page), ``html`` and the
@@ -244,11 +244,13 @@ def host_templates(pages: DataFrame) -> DataFrame:
         F.sum("mass").alias("mass"),
         F.sum("total").alias("total"),
     )
-    whole = F.max("pages").over(Window.partitionBy("host"))
-    classes = Window.partitionBy("host", "vector", "pages")
-    # Tokens of a host, never its pages, meet in these windows.
-    tokens = tokens.withColumns({"of": whole, "together": F.count(F.lit(1)).over(classes)})
-    valid = tokens.where("2 * pages >= of")
+    tokens = scratch.keep(tokens, "tokens")
+    # Sizes come from partial sums: the tokens of a host never meet before the valid ones are left.
+    whole = tokens.groupBy("host").agg(F.max("pages").alias("of"))
+    valid = salted_join(tokens, whole, ["host"]).where("2 * pages >= of")
+    of_class = ["host", "vector", "pages"]
+    sizes = valid.groupBy(*of_class).agg(F.count(F.lit(1)).alias("together"))
+    valid = salted_join(valid, sizes, of_class)
     # Deepest container of the largest class that keeps most of the text.
     slot = (F.col("most") == 1) & (2 * F.col("mass") > F.col("total"))
     depth = F.size(F.split("token", ">"))
@@ -330,7 +332,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     number = F.xxhash64("page_id", "url", "html").alias("page")
     texts = scratch.keep(host_texts(source, scratch), "host-texts")
     numbered = source.select("host", number, "html").join(texts, "host", "left")
-    templates = scratch.keep(host_templates(numbered).join(texts, "host", "left"), "templates")
+    templates = scratch.keep(host_templates(numbered, scratch).join(texts, "host", "left"), "templates")
     joined = source.join(templates, "host", "left").select("page_id", "url", "html", "slot", "tokens", "texts")
     return joined.mapInArrow(_extract, "page_id long, url string, text string")
 

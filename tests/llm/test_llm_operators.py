@@ -307,6 +307,15 @@ def test_the_host_s_pages_decide_and_not_the_names(spark):
     assert body in got["https://side-alone.example/6"] and body in got["https://form-alone.example/6"]
 
 
+def test_tokens_of_a_host_do_not_meet_in_one_window(spark):
+    rows = [("h", n, f"<body><div id={'abcdef'[n]}x><p>t{n}</p></div></body>") for n in range(6)]
+    pages = spark.createDataFrame(rows, "host string, page long, html string")
+    pages = pages.withColumn("texts", F.lit(None).cast("array<binary>"))
+    templates = html_templates.host_templates(pages, html_templates.Scratch(spark, "test-templates"))
+    assert "Window" not in templates._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in templates.collect()] == [("h", [">body"], ">body")]
+
+
 def test_quality_learns_and_scores_every_row(spark, sf, docs):
     got = attention_quality.op7_attention_quality(spark, "/root/testdata/sf0.01").collect()
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
