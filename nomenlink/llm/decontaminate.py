@@ -1,9 +1,11 @@
 """Benchmark decontamination: rare seeds, then Smith-Waterman alignment.
 
-Sequences of three words of the test items are counted over the whole corpus.
-Those that are rare for their item are the seeds; a text with enough seeds of
-an item is aligned with it by words around them. An alignment allows changed,
-missing and added words, so edited copies are found as well.
+The words of the test items are counted over the whole corpus. A similar copy
+misses a bounded number of an item's words, so of that number and ``SEED_HITS``
+more places at least ``SEED_HITS`` are matched: the places of the rarest words
+are the seeds. A text with so many seeds of an item is aligned with it by words
+as far around them as an alignment can reach. It allows changed, missing and
+added words, so edited copies are found as well, in a corpus of any size.
 
 The items are the stated queries: they are taken in blocks of bounded size,
 and each block is compared with all documents.
@@ -23,8 +25,11 @@ from nomenlink.llm import units
 from nomenlink.llm.scratch import Scratch
 
 SIMILARITY = 0.8
-SEED_WORDS = 3
-LEAST_WORDS = 5
+# Matched seeds that a copy must show, fewer for items of fewer words.
+SEED_HITS = 3
+# An alignment with n matched words has fewer than 2 n added ones, as a match
+# scores 2 and an added word costs 1.
+REACH = 3
 # Characters of items per block; a block is what a task holds.
 BLOCK_CHARS = 16_000_000
 # Aligned at once: cells of the score matrix.
@@ -40,7 +45,6 @@ def _letters() -> np.ndarray:
 
 
 _WORD = _letters()
-_FACTORS = units.mix(np.arange(1, SEED_WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def _plain_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,17 +54,9 @@ def _plain_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return hashes, rows, starts
 
 
-def _grams(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and place of each seed-length sequence inside a row."""
-    if len(hashes) < SEED_WORDS:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    total = np.zeros(len(hashes) - SEED_WORDS + 1, dtype=np.uint64)
-    for step in range(SEED_WORDS):
-        total += hashes[step : step + len(total)] * _FACTORS[step]
-    ends = np.repeat(rows[1:], np.diff(rows))[: len(total)]
-    place = np.arange(len(total))
-    fits = place + SEED_WORDS <= ends
-    return units.mix(total[fits]), place[fits]
+def _needed(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Least matched words of items of so many words, one at least."""
+    return np.maximum(1, np.ceil(similarity * sizes - 1e-9)).astype(np.int64)
 
 
 @dataclass
@@ -73,40 +69,46 @@ class _Items:
     seeds: np.ndarray
     seed_item: np.ndarray
     seed_place: np.ndarray
+    hits: np.ndarray  # seeds that a text must show, by item
 
     @staticmethod
     def read(ids: list[int], texts: list[str]) -> _Items:
         column = pa.array(texts, pa.large_string())
         (_, data, bounds), *_ = units.blocks(column, limit=1 << 62)
         hashes, rows, _ = _plain_words(data, bounds)
-        seeds, place = _grams(hashes, rows)
-        item = np.searchsorted(rows, place, side="right") - 1
-        order = np.argsort(seeds, kind="stable")
-        return _Items(np.array(ids), hashes, rows, seeds[order], item[order], (place - rows[item])[order])
-
-    def rare(self, counts: dict[int, int]) -> _Items:
-        """Only the seeds not much more frequent than the item's rarer ones.
-
-        Frequency is judged within the item, so that one leaked a million times
-        keeps its seeds.
+        item = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+        place = np.arange(len(hashes)) - rows[:-1][item]
+        order = np.argsort(hashes, kind="stable")
+        return _Items(
+            np.array(ids), hashes, rows, hashes[order], item[order], place[order], np.ones(len(rows) - 1, np.int64)
+        )
+
+    def rare(self, counts: dict[int, int], similarity: float) -> _Items:
+        """Only the seeds of the rarest words, as many as a copy can miss and the hits it must show.
+
+        Rarity is judged within the item, so that one leaked a million times
+        keeps its seeds; their number depends on the item's words alone.
         """
-        count = np.array([counts.get(int(x), 0) for x in self.seeds.view(np.int64)], dtype=np.float64)
-        keep = np.zeros(len(count), dtype=bool)
-        order = np.argsort(self.seed_item, kind="stable")
-        cuts = np.searchsorted(self.seed_item[order], np.arange(len(self.ids) + 1))
-        for row in range(len(self.ids)):
-            mine = order[cuts[row] : cuts[row + 1]]
-            if len(mine):
-                keep[mine] = count[mine] <= 16 + 8 * np.median(count[mine])
-        return _Items(self.ids, self.hashes, self.rows, self.seeds[keep], self.seed_item[keep], self.seed_place[keep])
-
-    def matches(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of each gram that is a seed, with the number of the seed."""
-        low = np.searchsorted(self.seeds, grams, side="left")
-        high = np.searchsorted(self.seeds, grams, side="right")
-        times = high - low
-        gram = np.repeat(np.arange(len(grams)), times)
-        return gram, np.arange(len(gram)) - np.repeat(np.cumsum(times) - times, times) + low[gram]
+        count = np.array([counts.get(int(x), 0) for x in self.seeds.view(np.int64)], dtype=np.int64)
+        sizes = np.diff(self.rows)
+        needed = _needed(sizes, similarity)
+        hits = np.minimum(SEED_HITS, needed)
+        order = np.lexsort((self.seed_place, count, self.seed_item))
+        rank = np.arange(len(order)) - self.rows[:-1][self.seed_item[order]]
+        chosen = rank < (sizes - needed + hits)[self.seed_item[order]]
+        keep = np.sort(order[chosen])
+        return _Items(
+            self.ids, self.hashes, self.rows, self.seeds[keep], self.seed_item[keep], self.seed_place[keep], hits
+        )
+
+    def matches(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each word that is a seed, with the number of the seed."""
+        low = np.searchsorted(self.seeds, hashes, side="left")
+        some = np.flatnonzero(self.seeds[np.minimum(low, len(self.seeds) - 1)] == hashes)
+        low = low[some]
+        times = np.searchsorted(self.seeds, hashes[some], side="right") - low
+        which = np.repeat(np.arange(len(some)), times)
+        return some[which], np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + low[which]
 
 
 def _count(batches: Iterator[pa.RecordBatch], items: _Items) -> Iterator[pa.RecordBatch]:
@@ -114,9 +116,9 @@ def _count(batches: Iterator[pa.RecordBatch], items: _Items) -> Iterator[pa.Reco
     counts = np.zeros(len(known), dtype=np.int64)
     for batch in batches:
         for _, data, bounds in units.blocks(batch.column(1)):
-            grams, _ = _grams(*_plain_words(data, bounds)[:2])
-            at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-            counts += np.bincount(at[known[at] == grams], minlength=len(known))
+            hashes = _plain_words(data, bounds)[0]
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            counts += np.bincount(at[known[at] == hashes], minlength=len(known))
     some = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(known[some].view(np.int64)), pa.array(counts[some])], names=["seed", "n"])
 
@@ -158,28 +160,44 @@ def _padded(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pad: int,
 
 
 def _aligned(items: _Items, item: np.ndarray, hashes: np.ndarray, low: np.ndarray, high: np.ndarray, similarity: float):
-    """Pairs that are similar enough: which, matched words, first and last word of the text."""
+    """Pairs that are similar enough: which, matched words, first and last word of the text.
+
+    Where the best alignment of a text is not similar enough, the words before
+    and after it are aligned on their own.
+    """
     sizes = np.diff(items.rows)[item]
     starts = items.rows[:-1][item]
-    order = np.argsort(sizes, kind="stable")
+    needed = _needed(sizes, similarity)
     found = []
-    begin = 0
-    while begin < len(order):
-        widest = int((high - low)[order[begin:]].max())
-        part = order[begin : begin + max(1, _CELLS // max(1, widest))]
-        begin += len(part)
-        text_size = (high - low)[part]
-        texts = _padded(hashes, low[part], text_size, 1)
-        matched, last = align(_padded(items.hashes, starts[part], sizes[part], 2), sizes[part], texts)
-        good = matched >= similarity * sizes[part]
-        part, matched, last = part[good], matched[good], last[good]
-        if not len(part):
-            continue
-        # The same alignment from its end back finds where it starts.
-        size = last + 1
-        texts = _padded(hashes, low[part], size, 1, backward=True)
-        _, first = align(_padded(items.hashes, starts[part], sizes[part], 2, backward=True), sizes[part], texts)
-        found.append((part, matched, low[part] + size - 1 - first, low[part] + last))
+    left = np.arange(len(item)), low, high
+    while len(left[0]):
+        pair, low, high = left
+        order = np.argsort(high - low, kind="stable")
+        rest = []
+        begin = 0
+        while begin < len(order):
+            many = max(1, _CELLS // max(1, int((high - low)[order[begin]])))
+            widest = int((high - low)[order[begin : begin + many][-1]])
+            part = order[begin : begin + max(1, _CELLS // max(1, widest))]
+            begin += len(part)
+            part, first, end = pair[part], low[part], high[part]
+            texts = _padded(hashes, first, end - first, 1)
+            matched, last = align(_padded(items.hashes, starts[part], sizes[part], 2), sizes[part], texts)
+            some = matched > 0
+            part, matched, last, first, end = part[some], matched[some], last[some], first[some], end[some]
+            if not len(part):
+                continue
+            # The same alignment from its end back finds where it starts.
+            size = last + 1
+            texts = _padded(hashes, first, size, 1, backward=True)
+            _, back = align(_padded(items.hashes, starts[part], sizes[part], 2, backward=True), sizes[part], texts)
+            start, last = first + size - 1 - back, first + last
+            good = matched >= needed[part]
+            found.append((part[good], matched[good], start[good], last[good]))
+            for here, there in ((first, start), (last + 1, end)):
+                again = ~good & (there - here >= needed[part])
+                rest.append((part[again], here[again], there[again]))
+        left = tuple(np.concatenate(x) for x in zip(*rest, strict=True)) if rest else (np.zeros(0, np.int64),) * 3
     if not found:
         none = np.zeros(0, np.int64)
         return none, none, none, none
@@ -195,30 +213,26 @@ def _leaks(batches: Iterator[pa.RecordBatch], items: _Items, similarity: float)
     for batch in batches:
         for begin, data, bounds in units.blocks(batch.column(1)):
             hashes, rows, _ = _plain_words(data, bounds)
-            grams, place = _grams(hashes, rows)
-            gram, seed = items.matches(grams)
-            if not len(gram):
+            at, seed = items.matches(hashes)
+            if not len(at):
                 continue
-            at = place[gram]
             doc = np.searchsorted(rows, at, side="right") - 1
-            item = items.seed_item[seed]
-            # Where the item would start in the text, were nothing changed.
-            origin = at - items.seed_place[seed]
-            order = np.lexsort((origin, item, doc))
-            doc, item, origin, at = doc[order], item[order], origin[order], at[order]
-            slack = sizes[item] // 4 + 1
+            item, place = items.seed_item[seed], items.seed_place[seed]
+            order = np.lexsort((at, item, doc))
+            doc, item, place, at = doc[order], item[order], place[order], at[order]
+            reach = REACH * sizes[item]
             fresh = np.ones(len(doc), dtype=bool)
-            fresh[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (origin[1:] - origin[:-1] > slack[1:])
+            fresh[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > reach[1:])
             group = np.cumsum(fresh) - 1
             first = np.flatnonzero(fresh)
             last = np.append(first[1:], len(doc)) - 1
-            enough = np.bincount(group) >= np.minimum(2, np.bincount(items.seed_item, minlength=len(sizes))[item[first]])
+            different = np.unique(group * (int(sizes.max()) + 1) + place) // (int(sizes.max()) + 1)
+            enough = np.bincount(different, minlength=len(first)) >= items.hits[item[first]]
             first, last = first[enough], last[enough]
             if not len(first):
                 continue
-            reach = slack[first]
-            low = np.maximum(origin[first] - reach, rows[doc[first]])
-            high = np.minimum(origin[last] + sizes[item[first]] + reach, rows[doc[first] + 1])
+            low = np.maximum(at[first] - reach[first], rows[doc[first]])
+            high = np.minimum(at[last] + reach[first] + 1, rows[doc[first] + 1])
             which, matched, start, stop = _aligned(items, item[first], hashes, low, high, similarity)
             if not len(which):
                 continue
@@ -241,8 +255,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     ``similarity``, at least the one asked for; of several copies in a document
     the best, then the first.
 
-    Null and empty texts leak nothing; items of fewer than five words or
-    without an id are left out. A null ``doc_id`` stays null. Rows that repeat
+    Null and empty texts leak nothing; items without words or without an
+    id are left out. A null ``doc_id`` stays null. Rows that repeat
     are one document if ids are equal. Long texts are searched whole. An empty
     benchmark gives no rows.
     """
@@ -250,7 +264,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     scratch = Scratch(spark, "leaks")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     words = F.regexp_count("text", F.lit("[A-Za-z0-9\u0080-\U0010ffff]+"))
-    asked = benchmark.where("item_id is not null and text is not null").where(words >= LEAST_WORDS)
+    asked = benchmark.where("item_id is not null and text is not null").where(words > 0)
     asked = asked.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     size = asked.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_CHARS)
@@ -264,7 +278,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
         items = _Items.read([i for i, _ in rows], [t for _, t in rows])
         counted = source.mapInArrow(lambda b, items=items: _count(b, items), "seed long, n long")
         counts = counted.groupBy("seed").agg(F.sum("n").alias("n")).collect()  # at most a row per seed
-        rare = items.rare({row["seed"]: row["n"] for row in counts})
+        rare = items.rare({row["seed"]: row["n"] for row in counts}, similarity)
         leaks = source.mapInArrow(lambda b, rare=rare: _leaks(b, rare, similarity), _LEAK)
         found = found.unionByName(scratch.keep(leaks, f"block-{block}"))
     first, last = (-F.col("start")).alias("first"), (-F.col("stop")).alias("last")

@@ -368,6 +368,25 @@ def test_leaks_with_edits(spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).isEmpty()
 
 
+def test_every_copy_of_the_stated_similarity_is_found(spark):
+    words = lambda name, many: [f"{name}{k}" for k in range(many)]
+    items = {1: words("a", 5), 2: words("b", 6), 3: words("c", 16), 4: words("d", 3), 5: ["e"], 6: words("f", 10)}
+    change = lambda copy, *at: [f"x{k}" if k in at else word for k, word in enumerate(copy)]
+    bodies = [
+        (1, change(items[1], 2)), (2, change(items[2], 2)), (3, change(items[3], 3, 7, 11)), (4, items[4]), (5, ["e"]),
+        (6, [y for k, word in enumerate(items[6]) for y in (word, f"y{k}")]),
+        (3, items[3][:12] + ["z"] * 20 + change(items[3], 2, 5, 8)),  # an exact part scores above the edited copy
+        (None, change(items[1], 1, 3)), (None, change(items[3], 1, 5, 9, 13)), (None, items[4][:2]),
+    ]
+    rows = [(n, " ".join(["pad"] * 40 + body + ["pad"] * 40)) for n, (_, body) in enumerate(bodies)]
+    # Some parts of an item are frequent, which must not cost its other seeds.
+    rows += [(100 + n, " ".join(items[3][4:7] + ["q"] * 60 + items[3][12:15])) for n in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["matched"] for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got == {(0, 1): 4, (1, 2): 5, (2, 3): 13, (3, 4): 3, (4, 5): 1, (5, 6): 10, (6, 3): 13}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, extra int")
     assert radix_windows.remove_repeated_bytes(docs).isEmpty()
