@@ -182,36 +182,39 @@ def is_slash_name(c: Column) -> Column:
     return F.contains(c, F.lit("/")) & ~F.contains(F.lower(c), F.lit("groupement"))
 
 
-def _members(cleaned: Column, separator: str) -> Column:
+def _members(cleaned: Column, separator: str, limit: int | None) -> Column:
     parts = F.transform(F.split(cleaned, separator, -1), strip_whitespace)
-    return F.slice(F.filter(parts, lambda part: part != ""), 1, MEMBER_LIMIT)
+    named = F.filter(parts, lambda part: part != "")
+    return named if limit is None else F.slice(named, 1, limit)
 
 
 def _without_brackets(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, PARENTHESES, ""), QUOTE_MARKS, "")
 
 
-def split_consortium(c: Column, spaced_hyphen_only: bool = False) -> Column:
-    """Names of the members of a consortium, at most ten, in their order.
+def split_consortium(
+    c: Column, spaced_hyphen_only: bool = False, limit: int | None = MEMBER_LIMIT
+) -> Column:
+    """Names of the members of a consortium, at most ``limit``, in their order.
 
     Hyphens split by default, also inside names; ``spaced_hyphen_only`` keeps
-    compound names whole.
+    compound names whole. A limit of None gives all members.
     """
     separators = [
         SPACED_HYPHEN if spaced_hyphen_only and "-" in pattern else pattern for pattern in MEMBER_SEPARATORS
     ]
     bare = _without_brackets(F.regexp_replace(c, "(?i)" + CONSORTIUM_WORDS, ""))
-    return _members(collapse_spaces(bare), "(?iU)" + "|".join(separators))
+    return _members(collapse_spaces(bare), "(?iU)" + "|".join(separators), limit)
 
 
-def split_slash(c: Column) -> Column:
-    return _members(collapse_spaces(_without_brackets(c)), "/")
+def split_slash(c: Column, limit: int | None = MEMBER_LIMIT) -> Column:
+    return _members(collapse_spaces(_without_brackets(c)), "/", limit)
 
 
-def members_of(c: Column, spaced_hyphen_only: bool = False) -> Column:
-    """Names to look up for a stated name: its members, or the name itself."""
+def members_of(c: Column, spaced_hyphen_only: bool = False, limit: int | None = None) -> Column:
+    """Names to look up for a stated name: all its members, or the name itself."""
     return (
-        F.when(is_consortium(c), split_consortium(c, spaced_hyphen_only))
-        .when(is_slash_name(c), split_slash(c))
+        F.when(is_consortium(c), split_consortium(c, spaced_hyphen_only, limit))
+        .when(is_slash_name(c), split_slash(c, limit))
         .otherwise(F.array(c))
     )

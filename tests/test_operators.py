@@ -271,6 +271,13 @@ def test_members_answer_in_order_and_empty_addresses_do_not(spark):
     }
 
 
+def test_members_after_the_tenth_are_looked_up(spark):
+    names = [f"m{k}" for k in range(12)]
+    queries = _queries(spark, [("Groupement " + " / ".join(names), "1"), (" / ".join(names), "1")])
+    got = resolve.resolve(queries, [_names(spark, {"m10": "A"})]).collect()
+    assert [(r["siren"], r["matched_name"]) for r in got] == [("A", "m10")] * 2
+
+
 def test_whole_consortium_is_found_in_the_cache(spark):
     known = spark.createDataFrame([("Groupement a / b", "1", "777")], CACHE_SCHEMA)
     queries = _queries(spark, [("Groupement a / b", "1"), ("a", "1")])
