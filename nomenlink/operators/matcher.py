@@ -7,7 +7,7 @@ from collections import Counter
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer, StandardScaler, StopWordsRemover, VectorAssembler
+from pyspark.ml.feature import RegexTokenizer, StopWordsRemover, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ from nomenlink.operators import metrics
 from nomenlink.operators.features import FEATURE_COLUMNS, labelled_only, pair_features
 from nomenlink.operators.sampling import SEED, group_split
 from nomenlink.operators.resolve import mean_score
+from nomenlink.operators.skew import salted_join
+from nomenlink.session import materialise
 
 # --- fixed values of the classifier and of the text score
 LEARNING_RATE = 0.05
@@ -23,7 +25,6 @@ MAX_ROUNDS = 500
 MIN_ROWS_PER_LEAF = 100
 FEATURE_SHARE = "0.9"
 ROW_SHARE = 0.9
-TEXT_TERMS = 512
 # --- end of fixed values
 
 # 31 leaves grown leaf by leaf are close to a full tree of depth five.
@@ -119,23 +120,33 @@ def evaluate_gold(model: PipelineModel, gold: DataFrame) -> DataFrame:
     return evaluate(score_pairs(model, pair_features(gold)))
 
 
-def naf_text_score(df: DataFrame, text_col: str = "naf_label", terms: int = TEXT_TERMS) -> DataFrame:
+def naf_text_score(df: DataFrame, text_col: str = "naf_label", terms: int | None = None) -> DataFrame:
     """Sum of the scaled TF-IDF weights of an activity label; zero without one.
 
-    The vocabulary is learnt from the distinct labels of ``df``.
+    The vocabulary is learnt from the distinct labels of ``df``: all terms, or
+    the ``terms`` most frequent ones, the first by name among equal ones. A
+    weight is divided by its deviation over the labels, so the inverse document
+    frequency cancels out, and only terms of all labels have none.
     """
-    pipeline = Pipeline(
-        stages=[
-            RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2),
-            StopWordsRemover(
-                inputCol="_words", outputCol="_terms", stopWords=StopWordsRemover.loadDefaultStopWords("french")
-            ),
-            CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=terms),
-            IDF(inputCol="_counts", outputCol="_tfidf"),
-            StandardScaler(inputCol="_tfidf", outputCol="_scaled", withMean=False, withStd=True),
-        ]
+    words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2)
+    stops = StopWordsRemover(
+        inputCol="_words", outputCol="_terms", stopWords=StopWordsRemover.loadDefaultStopWords("french")
     )
-    labels = df.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("_text")).distinct()
-    weights = F.aggregate(vector_to_array("_scaled"), F.lit(0.0), lambda total, x: total + x)
-    scored = pipeline.fit(labels).transform(df.withColumn("_text", F.coalesce(text_col, F.lit(""))))
-    return scored.select(*df.columns, weights.alias("naf_semantic_score"))
+    key = F.sha2(F.col(text_col), 256).alias("_key")
+    labels = df.where(F.col(text_col).isNotNull()).select(key, F.col(text_col).alias("_text")).dropDuplicates(["_key"])
+    number = F.count(F.lit(1))
+    listed = stops.transform(words.transform(labels)).select("_key", F.explode("_terms").alias("_term"))
+    counts = materialise(listed.groupBy("_key", "_term").agg(number.cast("double").alias("_count")), "terms")
+    every = df.agg(F.count_distinct(key)).first()[0]
+    table = counts.groupBy("_term").agg(
+        number.alias("_labels"), F.sum("_count").alias("_total"), F.sum(F.col("_count") ** 2).alias("_squares")
+    )
+    if terms is not None:
+        table = table.orderBy(F.desc("_total"), "_term").limit(terms)
+    # The deviation of a count over all labels, those without the term included.
+    spread = F.sqrt((F.col("_squares") - F.col("_total") ** 2 / every) / (every - 1)) if every > 1 else F.lit(0.0)
+    weights = table.where(F.col("_labels") < every).select("_term", (1 / spread).alias("_weight"))
+    weighted = salted_join(counts, weights, ["_term"])
+    scores = weighted.groupBy("_key").agg(F.sum(F.col("_count") * F.col("_weight")).alias("_score"))
+    scored = salted_join(df.withColumn("_key", key), scores, ["_key"], "left")
+    return scored.select(*df.columns, F.coalesce("_score", F.lit(0.0)).alias("naf_semantic_score"))

@@ -348,3 +348,18 @@ def test_vectors_and_a_fitted_model_reach_the_resolver(spark):
 
     by_model = r.register_provider(register, 0.5, scorer=fitted, vectors=vectors)
     assert [x.siren for x in by_model.resolve(queries).collect()] == ["1"]
+
+
+def test_all_terms_of_labels_count(spark):
+    from nomenlink.operators import matcher
+
+    texts = [" ".join(["shared", "dup dup"] + [f"t{n}x{k}" for k in range(150)]) for n in range(5)] + [None, "", "le de"]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(9, texts[0])], "id int, naf_label string")
+    got = {r["id"]: r["naf_semantic_score"] for r in matcher.naf_text_score(df).collect()}
+    # Seven distinct labels: a term of one has the deviation sqrt((1 - 1/7) / 6), one of five sqrt((5 - 25/7) / 6).
+    alone, shared = ((1 - 1 / 7) / 6) ** -0.5, ((5 - 25 / 7) / 6) ** -0.5
+    # Two equal words deviate twice as much, so both terms weigh the same.
+    assert all(abs(got[n] - (150 * alone + 2 * shared)) < 1e-6 for n in (0, 1, 2, 3, 4, 9))
+    assert got[5] == got[6] == got[7] == 0.0
+    few = {r["id"]: r["naf_semantic_score"] for r in matcher.naf_text_score(df, terms=2).collect()}
+    assert abs(few[0] - 2 * shared) < 1e-6
