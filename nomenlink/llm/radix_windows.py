@@ -1,11 +1,10 @@
 """Suffix-array deduplication: bytes covered by a string that starts twice.
 
-Suffixes are ordered only through the threshold, by passes over ever longer
-digits: an anchor gram and its surroundings first, then what is needed to tell
-the remaining ones apart. A group of one suffix is dropped as soon as it is
-alone; groups that are equal through the threshold are the repeated windows.
-Digits grow outward from an anchor inside the window rather than from its
-first byte, so that neighbouring suffixes pass together (see ``repeats``).
+No suffix is sorted. The dealt radix sort is replaced by the anchored counting
+of ``repeats``, shared with ``doubling_windows``: an anchor gram and its
+surroundings are counted by hash first, then longer surroundings of what
+repeats. A core that stands alone is dropped; those of the threshold's length
+that repeat are the repeated windows.
 """
 
 from __future__ import annotations
