@@ -11,6 +11,7 @@ from nomenlink.llm.packing import op3_best_fit_packing
 from nomenlink.llm.radix_windows import op4_suffix_dedup
 from nomenlink.llm.secret_scan import op10_secret_scan
 from nomenlink.llm.sketch_join import op2_sketch_join
+from nomenlink.llm.turn_repair import OP11_SQL, op11_turn_repair
 from nomenlink.llm.url_rules import op5_url_rules
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
         op8_exact_dedup,
         op9_decontaminate,
         op10_secret_scan,
+        op11_turn_repair,
     )
 }
 
@@ -99,4 +101,5 @@ ORACLES = {
     "op5_url_rules": _OP5_SQL,
     "op6_substring_dedup": _OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op11_turn_repair": OP11_SQL,
 }
