@@ -6,6 +6,7 @@ from nomenlink.llm.attention_quality import op7_attention_quality
 from nomenlink.llm.decontaminate import op9_decontaminate
 from nomenlink.llm.doubling_windows import op6_substring_dedup
 from nomenlink.llm.exact_copies import OP8_SQL, op8_exact_dedup
+from nomenlink.llm.fair_mix import OP13_SQL, op13_fair_mix
 from nomenlink.llm.html_templates import op1_template_extraction
 from nomenlink.llm.packing import op3_best_fit_packing
 from nomenlink.llm.radix_windows import op4_suffix_dedup
@@ -28,6 +29,7 @@ QUERIES = {
         op9_decontaminate,
         op10_secret_scan,
         op11_turn_repair,
+        op13_fair_mix,
     )
 }
 
@@ -102,4 +104,5 @@ ORACLES = {
     "op6_substring_dedup": _OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op11_turn_repair": OP11_SQL,
+    "op13_fair_mix": OP13_SQL,
 }
