@@ -14,6 +14,7 @@ from nomenlink.llm.secret_scan import op10_secret_scan
 from nomenlink.llm.sketch_join import op2_sketch_join
 from nomenlink.llm.turn_repair import OP11_SQL, op11_turn_repair
 from nomenlink.llm.url_rules import op5_url_rules
+from nomenlink.llm.whitening import op12_whitening
 
 QUERIES = {
     query.__name__: query
@@ -29,6 +30,7 @@ QUERIES = {
         op9_decontaminate,
         op10_secret_scan,
         op11_turn_repair,
+        op12_whitening,
         op13_fair_mix,
     )
 }
