@@ -12,6 +12,7 @@ from nomenlink.functions import similarity as sim
 from nomenlink.functions.identifiers import clean_numeric_of
 from nomenlink.operators import blocking as k
 from nomenlink.operators import cache as known
+from nomenlink.operators import name_search as search
 from nomenlink.operators import resolve as r
 from nomenlink.operators.worklist import resolvable_offers
 from nomenlink.plans.resolution import resolve_offers, resolve_role
@@ -239,44 +240,49 @@ def mean_score(spark, sf):
 # ---------------------------------------------------------------------------
 # Best matches
 
-_SCORE = f"(name_sim + {_LEV.format(a='lower(name)', b='lower(raison_sociale)')}) / 2"
-
-
-def _levenshtein_and_name(features=None):
-    """Score of candidates by two similarities that both engines have."""
-    lev = sim.levenshtein_sim(F.lower("name"), F.lower("raison_sociale"))
-    return F.round((F.col("name_sim") + lev) / 2, 9)
-
-
-def _scored(spark, sf):
-    return candidates(spark, sf).withColumn("score", _levenshtein_and_name())
-
-
-_SCORED_SQL = f"with {OFFERS}, {REGISTER}, {_QUERIES}, {_RANKED}, rated as (select *, round({_SCORE}, 9) as score from candidates)"
+# Two similarities that both engines have, over all rows of the department.
+_LEV_AND_NAME = search.NameScore(("name_sim", "sim_levenshtein"), case_sensitive=False)
+_RATED = f"""rated as (select q.*, r.siren, r.siret, r.raison_sociale, r.enseigne, r.sigle, r.code_departement, r.is_headquarters,
+    cast(case when coalesce(sigle, '') <> '' and lower(sigle) = lower(name) then 0
+      when code_postal = zip_code and lower(commune) = lower(city) then 1
+      when code_postal = zip_code then 2 else 3 end as int) as priority,
+    round((greatest(jaro_winkler_similarity(lower(raison_sociale), lower(name)),
+      jaro_winkler_similarity(lower(coalesce(enseigne, '')), lower(name)),
+      jaro_winkler_similarity(lower(coalesce(sigle, '')), lower(name)))
+      + {_LEV.format(a='lower(name)', b='lower(raison_sociale)')}) / 2, 9) as score
+  from queries q join register r on department = code_departement),
+best as (select query_id, siren, siret, priority, score from (select *, row_number() over (partition by query_id
+    order by score desc, priority, is_headquarters desc, siren, siret) as n from rated where score >= 0.85) where n = 1)"""
+_RATED_SQL = f"with {OFFERS}, {REGISTER}, {_QUERIES}, {_RATED}"
 
 
 @check(
     "score_threshold",
-    f"{_SCORED_SQL} select query_id, rank, siren, score from rated where score >= 0.85",
+    f"""{_RATED_SQL} select distinct code_departement as department, lower(name) as name, lower(raison_sociale) as raison_sociale,
+    lower(coalesce(enseigne, '')) as enseigne, lower(coalesce(sigle, '')) as sigle, score from rated where score >= 0.85""",
 )
 def score_threshold(spark, sf):
-    rows = _scored(spark, sf).where(F.col("score") >= r.STRICT_THRESHOLD)
-    return rows.select("query_id", "rank", "siren", "score")
+    pairs = search.matching_names(offer_queries(spark, sf), b.register(spark, sf), _LEV_AND_NAME, r.STRICT_THRESHOLD)
+    return pairs.select(
+        F.col("dept").alias("department"),
+        "name",
+        F.col("official").alias("raison_sociale"),
+        F.col("trade").alias("enseigne"),
+        F.col("acronym").alias("sigle"),
+        "score",
+    )
 
 
-@check(
-    "best_match",
-    f"""{_SCORED_SQL} select query_id, siren, rank, score from (select *, row_number() over (partition by query_id
-    order by score desc, rank) as n from rated where score >= 0.85) where n = 1""",
-)
+@check("best_match", f"{_RATED_SQL} select query_id, siren, siret, priority, score from best")
 def best_match(spark, sf):
-    return r.best_match(_scored(spark, sf)).select("query_id", "siren", "rank", "score")
+    found = search.best_rows(offer_queries(spark, sf), b.register(spark, sf), _LEV_AND_NAME, r.STRICT_THRESHOLD)
+    return found.select("query_id", "siren", "siret", "priority", "score")
 
 
 @check("best_name_match")
 def best_name_match(spark, sf):
-    best = r.best_name_match(candidates(spark, sf, r.NAME_LOOKUP_LIMIT))
-    return best.select("query_id", "name", "siren", "raison_sociale", F.round("score", 9).alias("score"))
+    found = search.best_lookup(offer_queries(spark, sf), b.register(spark, sf), r.NAME_THRESHOLD, r.ZIP_BONUS)
+    return found.select("query_id", "name", "siren", "raison_sociale", "score")
 
 
 # Each name has the vector that its digest picks; some names have none.
@@ -498,9 +504,7 @@ _BEST = f"""work_queries as (select name_key, entity_name_example, location_labe
 queries as (select distinct md5(concat_ws('|', lower(trim(entity_name_example)), lower(concat_ws(' ', location_zipcode, location_label)))) as query_id,
     entity_name_example as name, location_zipcode as zip_code, location_label as city, location_departement as department from work_queries)"""
 
-_RESOLVED = f"""{_BEST}, {_RANKED}, rated as (select *, round({_SCORE}, 9) as score from candidates),
-best as (select query_id, siren from (select *, row_number() over (partition by query_id order by score desc, rank) as n
-  from rated where score >= 0.85) where n = 1),
+_RESOLVED = f"""{_BEST}, {_RATED},
 answered as (select lower(strip_accents(trim(name))) as k_name, zip_code as k_zip, coalesce(city, '') as k_label, max(b.siren) as siren
   from queries join best b using (query_id) group by all),
 keyed as (select *, lower(strip_accents(trim(entity_name))) as k_name, coalesce({number_text('location_zipcode')}, '') as k_zip,
@@ -517,7 +521,7 @@ known_keys as (select k_name, k_zip, k_label, max(own) as siren from keyed group
     left join answered a on j.k_name = a.k_name and j.k_zip = a.k_zip and j.k_label = a.k_label""",
 )
 def resolve_offers_(spark, sf):
-    provider = r.register_provider(b.register(spark, sf), scorer=_levenshtein_and_name)
+    provider = r.register_provider(b.register(spark, sf), scorer=_LEV_AND_NAME)
     done = resolve_offers(b.offers(spark, sf), [provider])
     return done.rows.select("offer_id", "entity_name", "entity_siren")
 

@@ -98,6 +98,58 @@ def _groups(widths: np.ndarray) -> Iterator[np.ndarray]:
         begin = end
 
 
+def jaro_winkler_pairs(a: list[str], b: list[str]) -> np.ndarray:
+    """Jaro-Winkler similarity of each pair; one step takes the next letter of every left text."""
+    out = np.zeros(len(a))
+    for chosen in _groups(np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)], dtype=np.int64)):
+        left, la = encode([a[i] for i in chosen])
+        right, lb = encode([b[i] for i in chosen])
+        rows, columns = np.arange(len(chosen)), np.arange(right.shape[1])
+        inside = columns < lb[:, None]
+        reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)[:, None]
+        free, taken = inside.copy(), np.zeros(left.shape, dtype=bool)
+        for i in range(left.shape[1]):
+            hit = (right == left[:, i : i + 1]) & free & (np.abs(columns - i) <= reach) & (i < la)[:, None]
+            first = hit.argmax(axis=1)
+            found = hit[rows, first]
+            taken[found, i] = True
+            free[rows[found], first[found]] = False
+        m = taken.sum(axis=1)
+        # Matched letters of both sides, moved to the front in their order.
+        depth = max(1, int(m.max(initial=0)))
+        side_a = np.take_along_axis(left, np.argsort(~taken, axis=1, kind="stable")[:, :depth], axis=1)
+        side_b = np.take_along_axis(right, np.argsort(~(inside & ~free), axis=1, kind="stable")[:, :depth], axis=1)
+        moved = ((side_a != side_b) & (np.arange(depth) < m[:, None])).sum(axis=1) // 2
+        some = np.maximum(m, 1)
+        jaro = np.where(m > 0, (m / np.maximum(la, 1) + m / np.maximum(lb, 1) + (m - moved) / some) / 3, 0.0)
+        head = min(PREFIX_LENGTH, left.shape[1], right.shape[1])
+        same = (right[:, :head] == left[:, :head]) & inside[:, :head] & (np.arange(head) < la[:, None])
+        prefix = np.cumprod(same, axis=1).sum(axis=1)
+        out[chosen] = np.where(jaro > BOOST_ABOVE, jaro + prefix * PREFIX_WEIGHT * (1 - jaro), jaro)
+    return out
+
+
+def levenshtein_sims(a: list[str], b: list[str]) -> np.ndarray:
+    """One minus the edits of each pair over its longer length; two empty texts are equal."""
+    out = np.ones(len(a))
+    for chosen in _groups(np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)], dtype=np.int64)):
+        left, la = encode([a[i] for i in chosen])
+        right, lb = encode([b[i] for i in chosen])
+        steps = np.arange(right.shape[1] + 1)
+        table = np.broadcast_to(steps, (len(chosen), len(steps))).astype(np.int32)
+        for i in range(left.shape[1]):
+            changed = table[:, :-1] + (right != left[:, i : i + 1])
+            following = np.empty_like(table)
+            following[:, 0] = i + 1
+            following[:, 1:] = np.minimum(table[:, 1:] + 1, changed)
+            following = np.minimum.accumulate(following - steps, axis=1) + steps  # insertions
+            table = np.where((i < la)[:, None], following, table)
+        edits = table[np.arange(len(chosen)), lb]
+        longer = np.maximum(la, lb)
+        out[chosen] = np.where(longer == 0, 1.0, 1 - edits / np.maximum(longer, 1))
+    return out
+
+
 def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
     """Length of the longest common subsequence of each pair.
 
@@ -234,13 +286,6 @@ def block_ratios(a: list[str], b: list[str]) -> np.ndarray:
     return np.where(total == 0, 1.0, 2.0 * matched / np.maximum(total, 1))
 
 
-def _jaro_winkler_pairs(a: pd.Series, b: pd.Series) -> np.ndarray:
-    result = np.zeros(len(a))
-    for text, rows in a.groupby(a, sort=False).indices.items():
-        result[rows] = jaro_winkler_to(text, *encode(b.iloc[rows].tolist()))
-    return result
-
-
 def _on_distinct(pair_measure, a: pd.Series, b: pd.Series) -> pd.Series:
     """Apply a measure to each distinct pair of a batch and spread the results."""
     a, b = a.fillna(""), b.fillna("")
@@ -252,7 +297,7 @@ def _on_distinct(pair_measure, a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _on_distinct(_jaro_winkler_pairs, a, b)
+    return _on_distinct(lambda x, y: jaro_winkler_pairs(x.tolist(), y.tolist()), a, b)
 
 
 @F.pandas_udf(DoubleType())

@@ -121,12 +121,12 @@ def priority_class(name: Column, zip_code: Column, city: Column, department: Col
     )
 
 
-def _tile_counts(profiles: DataFrame, dept: str, size: int, tile: str) -> DataFrame:
+def tile_counts(profiles: DataFrame, dept: str, size: int, tile: str) -> DataFrame:
     """How many tiles each department needs on one side; one small row each."""
     return profiles.groupBy(F.col(dept).alias("dept")).agg(F.ceil(F.count(F.lit(1)) / size).alias(f"n_{tile}"))
 
 
-def _tiles(profiles: DataFrame, counts: DataFrame, dept: str, key: str, fields: list[str], tile: str) -> DataFrame:
+def tiles(profiles: DataFrame, counts: DataFrame, dept: str, key: str, fields: list[str], tile: str) -> DataFrame:
     """One row per department and tile, with the fields of its profiles as arrays."""
     packed = (
         small_join(profiles.withColumnRenamed(dept, "dept"), counts, ["dept"])
@@ -136,7 +136,7 @@ def _tiles(profiles: DataFrame, counts: DataFrame, dept: str, key: str, fields:
     return packed.select("dept", tile, *[F.col(f"rows.{f}").alias(f) for f in fields])
 
 
-def _copied(tiles: DataFrame, counts: DataFrame, tile: str) -> DataFrame:
+def copied(tiles: DataFrame, counts: DataFrame, tile: str) -> DataFrame:
     """A copy of each tile for every tile of the other side of its department."""
     last = F.col(f"n_{tile}") - 1
     copies = F.explode(F.sequence(F.lit(0).cast("long"), last))
@@ -230,19 +230,19 @@ def _top_profiles(distinct: DataFrame, listed: DataFrame, k: int) -> DataFrame:
     )
     # Counted, tiled and counted again: both sides are written once.
     profiles = materialise(profiles, "register-profiles")
-    q_counts = materialise(_tile_counts(distinct, "q_dept", QUERY_TILE, "q_tile"), "query-tiles")
-    p_counts = materialise(_tile_counts(profiles, "p_dept", PROFILE_TILE, "p_tile"), "profile-tiles")
+    q_counts = materialise(tile_counts(distinct, "q_dept", QUERY_TILE, "q_tile"), "query-tiles")
+    p_counts = materialise(tile_counts(profiles, "p_dept", PROFILE_TILE, "p_tile"), "profile-tiles")
     q_fields = ["q_id", "q_name", "q_zip", "q_city"]
     p_fields = ["p_id", "p_zip", "p_city", "p_official", "p_trade", "p_acronym", "p_hq", "p_first"]
-    q_tiles = _tiles(distinct, q_counts, "q_dept", "q_id", q_fields, "q_tile")
-    p_tiles = _tiles(profiles, p_counts, "p_dept", "p_id", p_fields, "p_tile")
+    q_tiles = tiles(distinct, q_counts, "q_dept", "q_id", q_fields, "q_tile")
+    p_tiles = tiles(profiles, p_counts, "p_dept", "p_id", p_fields, "p_tile")
     # A pair of tiles has a key of its own, so no department gathers in one
     # task. The number of tasks is fixed here because a tile pair is little
     # data but much work, which the engine would pack into few tasks.
     keys = ["dept", "q_tile", "p_tile"]
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    left = _copied(q_tiles, p_counts, "p_tile")
-    right = _copied(p_tiles, q_counts, "q_tile")
+    left = copied(q_tiles, p_counts, "p_tile")
+    right = copied(p_tiles, q_counts, "q_tile")
     pairs = left.join(right, keys).drop(*keys).repartition(tasks)
     best = Window.partitionBy("q_id").orderBy("priority", F.desc("name_sim"), F.desc("p_hq"), "p_first")
     return (

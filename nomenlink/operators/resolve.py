@@ -13,6 +13,7 @@ from nomenlink.functions.addresses import address_department, address_is_empty,
 from nomenlink.functions.names import is_consortium, is_slash_name, members_of
 from nomenlink.operators import cache as known
 from nomenlink.operators.blocking import CANDIDATE_LIMIT, block_department, rank_candidates
+from nomenlink.operators.name_search import NameScore, best_lookup, best_rows
 from nomenlink.operators.skew import salted_join
 from nomenlink.schemas import CONFIDENCE_CACHE, CONFIDENCE_NONE, CONFIDENCE_OFFICIAL, EntityColumns
 from nomenlink.session import materialise
@@ -21,7 +22,6 @@ from nomenlink.session import materialise
 STRICT_THRESHOLD = 0.85
 NAME_THRESHOLD = 0.55
 ZIP_BONUS = 0.1
-NAME_LOOKUP_LIMIT = 5
 # --- end of fixed values
 
 QUERY_KEY = [known.NAME_KEY, known.ADDRESS_KEY]
@@ -168,15 +168,14 @@ def cache_provider(cache: DataFrame, version: Column | None = None) -> Provider:
     return Provider("cache", resolve, CONFIDENCE_CACHE)
 
 
-def _register_candidates(queries: DataFrame, register: DataFrame, k: int) -> DataFrame:
-    asked = queries.where(~address_is_empty(F.col("addr"))).select(
+def _register_queries(queries: DataFrame) -> DataFrame:
+    return queries.where(~address_is_empty(F.col("addr"))).select(
         F.struct(*QUERY_KEY).alias("query_id"),
         "name",
         F.col("addr.zip_code").alias("zip_code"),
         F.col("addr.city").alias("city"),
         block_department(F.col("addr.zip_code"), F.col("addr.department_hint")).alias("department"),
     )
-    return rank_candidates(asked, register, k)
 
 
 def register_provider(
@@ -184,38 +183,44 @@ def register_provider(
     threshold: float = STRICT_THRESHOLD,
     k: int = CANDIDATE_LIMIT,
     case_sensitive: bool = True,
-    scorer: Callable[[DataFrame], Column | DataFrame] | None = None,
+    scorer: NameScore | Callable[[DataFrame], Column | DataFrame] | None = None,
     vectors: DataFrame | None = None,
 ) -> Provider:
-    """Compare with the register and take the best candidate.
-
-    ``scorer`` maps the DataFrame of features to a score column, or to the same
-    rows with ``score`` added, as a fitted pipeline does; the default is the
-    mean of the similarities present. ``vectors`` (``text``, ``vector``) adds
-    the cosine of the two names.
+    """Compare with the register and take the best row of the department.
+
+    By default, or with a ``NameScore``, the score is a mean of similarities of
+    names, and every row of the department can win. Any other ``scorer`` maps
+    the DataFrame of features to a score column, or to the same rows with
+    ``score`` added, as a fitted pipeline does; nothing bounds such a score, so
+    it sees the ``k`` rows that ``rank_candidates`` puts first. ``vectors``
+    (``text``, ``vector``) adds the cosine of the two names.
     """
 
-    def resolve(queries: DataFrame) -> DataFrame:
-        candidates = _register_candidates(queries, register, k)
+    def by_name(queries: DataFrame) -> DataFrame:
+        score = NameScore(case_sensitive=case_sensitive) if scorer is None else scorer
+        return best_rows(_register_queries(queries), register, score, threshold, vectors)
+
+    def by_features(queries: DataFrame) -> DataFrame:
+        candidates = rank_candidates(_register_queries(queries), register, k)
         if vectors is not None:
             candidates = with_cosine(candidates, vectors)
         features = resolver_features(candidates, None if vectors is None else F.col("cosine"), case_sensitive)
-        if scorer is None:
-            score = mean_score(F.col("sim_token_sort"), F.col("sim_levenshtein"), F.col("sim_cosine"))
-        else:
-            score = scorer(features)
+        score = scorer(features)
         scored = score if isinstance(score, DataFrame) else features.withColumn("score", score)
-        best = best_match(scored, threshold)
-        return best.select("query_id.*", "siren", "score")
+        return best_match(scored, threshold)
+
+    def resolve(queries: DataFrame) -> DataFrame:
+        plain = scorer is None or isinstance(scorer, NameScore)
+        return (by_name if plain else by_features)(queries).select("query_id.*", "siren", "score")
 
     return Provider("local_ml_siren", resolve)
 
 
-def name_lookup_provider(register: DataFrame, k: int = NAME_LOOKUP_LIMIT) -> Provider:
-    """Compare normalised names only, among the k closest register rows."""
+def name_lookup_provider(register: DataFrame, threshold: float = NAME_THRESHOLD) -> Provider:
+    """Compare normalised names only, with all rows of the department."""
 
     def resolve(queries: DataFrame) -> DataFrame:
-        best = best_name_match(_register_candidates(queries, register, k))
+        best = best_lookup(_register_queries(queries), register, threshold, ZIP_BONUS)
         return best.select("query_id.*", "siren", "score")
 
     return Provider("api_gouv_siren", resolve)
