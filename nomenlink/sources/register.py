@@ -53,10 +53,10 @@ def clean_bulk_register(raw: DataFrame) -> DataFrame:
     )
 
 
-def flatten_pages(pages: DataFrame) -> DataFrame:
-    """Register rows of landed pages, without those that lack id or name."""
-    nested = pages.select(F.explode("etablissements").alias("e"))
-    rows = nested.select(*[c.alias(name) for name, c in establishment_fields(F.col("e")).items()])
+def flatten_pages(pages: DataFrame, *kept: str) -> DataFrame:
+    """Register rows of landed pages, without those that lack id or name; ``kept`` columns of the page stay."""
+    nested = pages.select(F.explode("etablissements").alias("e"), *kept)
+    rows = nested.select(*[c.alias(name) for name, c in establishment_fields(F.col("e")).items()], *kept)
     return rows.dropna(subset=["siren", "siret", "raison_sociale"])
 
 

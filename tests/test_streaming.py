@@ -5,6 +5,7 @@ from nomenlink.checks import QUERIES
 from nomenlink.checks.streams import batch_resolved
 from nomenlink.session import run_dir
 from nomenlink.sources.register import flatten_pages
+from nomenlink.streaming import register_stream
 from nomenlink.streaming.register_stream import read_streamed_register, stream_progress, stream_register
 
 
@@ -64,6 +65,48 @@ def test_an_empty_first_batch_corrections_and_moves(spark, sf):
     assert len({r["siret"] for r in stored}) == len(stored) > 0
 
 
+def _named(pages, name):
+    """The pages with one name for every establishment."""
+    field = F.transform(
+        "etablissements",
+        lambda x: x.withField("uniteLegale.denominationUniteLegale", F.lit(name)).withField("uniteLegale.nomUniteLegale", F.lit(name)),
+    )
+    return pages.withColumn("etablissements", field)
+
+
+def test_the_page_landed_last_wins_inside_one_batch(spark, sf):
+    landing, target, checkpoint = (run_dir(spark, x) for x in ("landing", "target", "checkpoint"))
+    pages = b.register_pages(spark, sf, page_size=50).drop("page")
+    # One page per line of one file; a later file; a later line of that file.
+    _named(pages, "ZED OLD").write.mode("append").json(landing)
+    _named(pages, "MIDDLE").coalesce(1).unionByName(_named(pages, "ALPHA NEW").coalesce(1)).coalesce(1).sortWithinPartitions(
+        F.desc(F.col("etablissements")[0]["uniteLegale"]["nomUniteLegale"])
+    ).write.mode("append").json(landing)
+    stream_register(spark, landing, target, checkpoint).awaitTermination()
+    assert stream_progress(spark, target).count() == 1
+    assert {r["raison_sociale"] for r in read_streamed_register(spark, target).select("raison_sociale").collect()} == {"ALPHA NEW"}
+
+
+def test_runs_are_merged_and_every_batch_counts_once(spark, sf):
+    landing, target, checkpoint = (run_dir(spark, x) for x in ("landing", "target", "checkpoint"))
+    pages = b.register_pages(spark, sf, page_size=50).drop("page").limit(1)
+    for number in range(5):
+        _named(pages, f"VERSION {number}").coalesce(1).write.mode("append").json(landing)
+    stream_register(spark, landing, target, checkpoint, pages_per_batch=1, fanout=2).awaitTermination()
+    stored = read_streamed_register(spark, target, fanout=2)
+    assert {r["raison_sociale"] for r in stored.collect()} == {"VERSION 4"}
+    whole = register_stream.current_runs(target, 4, 2)
+    assert [w.rsplit("/", 2)[1:] for w in whole] == [["level-2", "through-3"], ["level-0", "through-4"]]
+    # A merged run has one row per establishment, however many versions went in.
+    assert register_stream._read_runs(spark, whole[:1]).count() == stored.count()
+
+
+def test_runs_cover_all_batches_in_few_folders():
+    for last in range(200):
+        sizes = [8 ** int(run.split("level-")[1].split("/")[0]) for run in register_stream.current_runs("t", last)]
+        assert sum(sizes) == last + 1 and len(sizes) <= 7 * 3
+
+
 def test_row_ids_differ_where_rows_do(spark):
     from nomenlink.operators.sampling import with_row_id
 
