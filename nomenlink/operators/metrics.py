@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nomenlink.operators.ordering import in_order, running_sums
 from nomenlink.operators.silver import positive_rate
+from nomenlink.session import materialise
 
 # --- fixed values
 DECISION_THRESHOLD = 0.5
 MAX_ERRORS = 2000
 LOW_POSITIVE, HIGH_NEGATIVE, NO_ERROR = "silver_positive_low_score", "negative_high_score", "ok"
 
-_SCORE_BINS = 4096
-
 
 def with_decision(scored: DataFrame, threshold: float = DECISION_THRESHOLD) -> DataFrame:
     return scored.withColumn("pred_label", (F.col("pred") >= threshold).cast("int"))
@@ -81,35 +81,23 @@ def classification_report(scored: DataFrame, threshold: float = DECISION_THRESHO
 def score_table(scored: DataFrame) -> DataFrame:
     """Per distinct score: its positives and negatives, those at lower scores, all.
 
-    Scores are counted first. The running totals then go over a fixed number
-    of score bins and inside each bin, so no task sees all scores.
+    Scores are counted, dealt by range and summed part by part, so crowded
+    scores make no large task. The counts are written to the shared folder.
     """
-    score = F.col("pred").cast("double")
-    score_bin = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)) * _SCORE_BINS)
-    scores = scored.groupBy(score.alias("pred")).agg(
+    scores = scored.groupBy(F.col("pred").cast("double").alias("pred")).agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
-    scores = scores.withColumn("bin", score_bin)
-    before_bin = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    all_bins = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    zero = F.lit(0).cast("long")
-    bins = scores.groupBy("bin").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    bins = bins.select(
-        "bin",
-        F.coalesce(F.sum("p").over(before_bin), zero).alias("pos_base"),
-        F.coalesce(F.sum("n").over(before_bin), zero).alias("neg_base"),
-        F.sum("p").over(all_bins).alias("pos_all"),
-        F.sum("n").over(all_bins).alias("neg_all"),
-    )
-    in_bin = Window.partitionBy("bin").orderBy("pred").rowsBetween(Window.unboundedPreceding, -1)
-    return scores.join(bins, "bin").select(
+    placed = materialise(in_order(scores, "pred"), "scores")
+    whole = placed.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pos", "neg")]).first()
+    summed = running_sums(placed, {"pos_upto": "pos", "neg_upto": "neg"})
+    return summed.select(
         "pred",
         "pos",
         "neg",
-        (F.col("pos_base") + F.coalesce(F.sum("pos").over(in_bin), zero)).alias("pos_below"),
-        (F.col("neg_base") + F.coalesce(F.sum("neg").over(in_bin), zero)).alias("neg_below"),
-        "pos_all",
-        "neg_all",
+        (F.col("pos_upto") - F.col("pos")).alias("pos_below"),
+        (F.col("neg_upto") - F.col("neg")).alias("neg_below"),
+        F.lit(whole["pos"]).cast("long").alias("pos_all"),
+        F.lit(whole["neg"]).cast("long").alias("neg_all"),
     )
 
 
