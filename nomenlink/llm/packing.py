@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,64 +27,81 @@ from nomenlink.llm.scratch import Scratch
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
-# Words whose tokens a task remembers at once.
-_REMEMBERED = 200_000
+# Units of words whose tokens a task remembers: the last ones, up to twice as many.
+_REMEMBERED = 150_000
 _TEXTS = 64
 
 
-class _Words(dict):
-    """Token ids of a word as little-endian bytes, worked out when first asked for.
+class _Remembered(dict):
+    """Values worked out when first asked for; the ones not asked for lately are forgotten."""
 
-    The tokenizer never joins what white space separates, so words can be
-    looked up one by one. A word of plain Latin letters with punctuation
-    behind it is two units to the tokenizer, which are remembered apart; the
-    vocabulary takes them directly. All other words go through the whole
-    tokenizer.
+    def __init__(self, work: Callable[[str], bytes]):
+        super().__init__()
+        self.work, self.former = work, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= _REMEMBERED:
+            self.former = dict(self)
+            self.clear()
+        value = self.former.get(key)
+        if value is None:
+            value = self.work(key)
+        self[key] = value
+        return value
+
+
+class _Words:
+    """Token ids of a text as little-endian bytes, unit by unit.
+
+    A text of plain Latin letters, digits and punctuation is cut into the
+    tokenizer's units here; the vocabulary takes each directly, once as long as
+    it is remembered. The tokenizer never joins what white space separates, so
+    of another text only the words with other characters go through all of it.
     """
 
-    _plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?|%&$#*;:]*)")
+    _plain = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ‘’“”–—…€]*")
+    # --- fixed value: the units of the tokenizer's file, for plain characters
+    _units = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\s0-9a-zß-öø-ÿ]+")
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.units: dict[str, bytes] = {"": b""}
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [chr(c) for c in range(0x80, 0x2100) if self._plain.fullmatch(chr(c))]
+        self.as_bytes = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in letters}
+        self.unit = _Remembered(self._direct).__getitem__
+        self.direct = True
         self.direct = self._checked()
 
     def _checked(self) -> bool:
-        """Whether units taken directly equal the whole tokenizer's on a few words."""
-        sample = ["Hello,", "Éclair...", "straße", "über!!", "ÀÖØÞ%%%", "a", "Naïve;"]
-        return all(self._unit(w) == self._through(w) for w in sample)
+        """Whether words cut here equal the whole tokenizer's on a few of them."""
+        sample = ["Hello,", "Éclair...", "straße", "über!!", "ÀÖØÞ%%%", "a", "Naïve;", "don't", "x'sy", "!'s", "4é2", "“a”–b…€7", "l’été"]
+        return all(self._plainly(w) == self._through(w) for w in sample)
 
     def _through(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _unit(self, word: str) -> bytes:
-        found = b""
-        for unit in self._plain.fullmatch(word).groups():
-            unit = unit.lower()
-            ids = self.units.get(unit)
-            if ids is None:
-                mapped = unit if unit.isascii() else self.as_bytes.pre_tokenize_str(unit)[0][0]
-                ids = np.array([token.id for token in self.model.tokenize(mapped)], dtype="<u4").tobytes()
-                self.units[unit] = ids
-            found += ids
-        return found
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= _REMEMBERED:
-            self.clear()
-        if len(self.units) >= _REMEMBERED:
-            self.units = {"": b""}
-        plain = self.direct and self._plain.fullmatch(word)
-        ids = self[word] = self._unit(word) if plain else self._through(word)
-        return ids
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _direct(self, unit: str) -> bytes:
+        mapped = unit if unit.isascii() else unit.translate(self.as_bytes)
+        return array("I", [token.id for token in self.model.tokenize(mapped)]).tobytes()
+
+    def _plainly(self, text: str) -> bytes | None:
+        """Ids of a plain text, None for another; "<|" may open a special token."""
+        if self.direct and "<|" not in text and self._plain.fullmatch(text):
+            return b"".join(map(self.unit, self._units.findall(text.lower())))
+        return None
 
     def encode(self, text: str) -> bytes:
-        return b"".join([self[word] for word in text.replace("\n", " ").split(" ") if word])
+        whole = self._plainly(text)
+        if whole is not None:
+            return whole
+        parts = []
+        for word in text.replace("\n", " ").split(" "):
+            ids = self._plainly(word)
+            parts.append(self._through(word) if ids is None else ids)
+        return b"".join(parts)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
