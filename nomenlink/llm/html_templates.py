@@ -47,6 +47,7 @@ _BOILERPLATE_NAMES = frozenset(
     "comment comments disqus respond replies share sharing social related newsletter subscribe signup popup modal "
     "pagination pager login search toolbar complementary contentinfo".split()
 )
+_COMMENT_NAMES = frozenset("comment comments disqus respond replies".split())
 _ARTICLES = frozenset(("article", "main"))
 # Different pages from which a host's own template decides.
 ENOUGH_PAGES = 4
@@ -73,8 +74,8 @@ class _Reader:
     def __init__(self, page: str):
         self.tokens: Counter[str] = Counter()
         self.order: list[str] = []
-        self.blocks: list[tuple[str, bool, str]] = []  # path, boilerplate, text
-        self._open: list[tuple[str, str, bool]] = []  # tag, path, boilerplate
+        self.blocks: list[tuple[str, str, str]] = []  # path, deepest boilerplate container on it, text
+        self._open: list[tuple[str, str, str]] = []  # tag, path, deepest boilerplate container
         self._text: list[str] = []
         self._walk(page)
 
@@ -83,7 +84,7 @@ class _Reader:
             text = " ".join(entities.unescape("".join(self._text)).split())
             self._text.clear()
             if text:
-                _, path, aside = self._open[-1] if self._open else ("", "", False)
+                _, path, aside = self._open[-1] if self._open else ("", "", "")
                 self.blocks.append((path, aside, text))
 
     def _see(self, token: str) -> None:
@@ -92,7 +93,7 @@ class _Reader:
         self.tokens[token] += 1
 
     def _enter(self, tag: str, attributes: str) -> None:
-        _, above, aside = self._open[-1] if self._open else ("", "", False)
+        _, above, aside = self._open[-1] if self._open else ("", "", "")
         names = _names(attributes)
         path = f"{above}>{tag}.{names}" if names else f"{above}>{tag}"
         self._see(path)
@@ -102,7 +103,8 @@ class _Reader:
             outer = tag == "header" and not any(f">{x}" in above for x in _ARTICLES)
             named = bool(words & _BOILERPLATE_NAMES) and tag != "header"
             own = tag in _BOILERPLATE or outer or named
-            self._open.append((tag, path, aside or (own and tag not in ("html", "body", *_ARTICLES))))
+            out = own and tag not in ("html", "body", *_ARTICLES)
+            self._open.append((tag, path, path if out else aside))
 
     def _leave(self, tag: str) -> None:
         for depth in range(len(self._open) - 1, -1, -1):
@@ -145,10 +147,24 @@ class _Reader:
             return [(path, text) for path, aside, text in self.blocks if not aside]
         return [(path, text) for path, _, text in self.blocks if not known or _mark(path, text) not in known]
 
+    def article(self) -> list[str]:
+        """Blocks of the page's article elements, or of ``main`` if there are none; none without either.
+
+        Containers of boilerplate inside are left out; those around do not matter.
+        """
+        tags = {tag for path, _, _ in self.blocks for tag in _tags(path)} & _ARTICLES
+        if not tags:
+            return []
+        inside = [(path, aside, text, _top(path, "article" if "article" in tags else "main")) for path, aside, text in self.blocks]
+        inside = [block for block in inside if block[3]]
+        return [text for _, aside, text, top in inside if not _within(aside, top)] or [text for _, _, text, _ in inside]
+
     def masses(self, known: set[bytes] | None) -> Counter[str]:
-        """Characters of text, template left out, below each path."""
+        """Characters of text, template left out, below each path; boilerplate by its hints only if nothing else is there."""
         found: Counter[str] = Counter()
-        for path, text in self.fresh(known):
+        plain = {(path, text) for path, aside, text in self.blocks if not aside}
+        fresh = self.fresh(known)
+        for path, text in [block for block in fresh if block in plain] or fresh:
             found[""] += len(text)
             at = path
             while at:
@@ -161,6 +177,20 @@ def _below(path: str, top: str) -> bool:
     return path == top or path.startswith(top + ">")
 
 
+def _within(path: str, top: str) -> bool:
+    return path != top and _below(path, top)
+
+
+def _tags(path: str) -> list[str]:
+    return [step.partition(".")[0] for step in path.split(">")]
+
+
+def _top(path: str, tag: str) -> str:
+    """The path as far as its first element of a kind; empty without one."""
+    tags = _tags(path)
+    return ">".join(path.split(">")[: tags.index(tag) + 1]) if tag in tags else ""
+
+
 def _mark(path: str, text: str) -> bytes:
     """Name of a text at its place."""
     return hashlib.blake2b(f"{path}\n{text}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
@@ -261,32 +291,38 @@ def host_templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def main_text(page: str, slot: str | None, tokens: list[str] | None, known: set[bytes] | None = None) -> str:
-    """The text in the template's article slot, a line per block.
-
-    ``known`` are the marks of the host's template texts; they are left out
-    unless nothing else is in the slot. Without them, and where the page has no
-    such slot or other containers around it than the template, boilerplate is
-    left out by the hints, unless they leave less than half of a page without article.
+    """The text of the page's article, a line per block.
+
+    An article element says what the article is; all its text stays, repeated or
+    not, but for containers of boilerplate in it, reader comments among them. On
+    a page without one the template's slot decides, where the page has it in
+    the template's containers. ``known`` are the marks of the host's template
+    texts; they are left out unless nothing else is in the slot. Without them
+    or the slot, boilerplate is left out by the hints, unless they leave less
+    than half of the page without its comments.
     """
     reader = _Reader(page)
+    article = reader.article()
+    if article:
+        return "\n".join(article)
     whole = [(path, text) for path, _, text in reader.blocks]
     texts = reader.fresh(known)
     around = [token for token in tokens or () if slot and _below(slot, token)]
     inside = slot and all(reader.tokens[token] for token in around)
     if inside and known is not None:
-        found = [text for path, text in texts if _below(path, slot)]
-        found = found or [text for path, text in whole if _below(path, slot)]
+        own = {(path, text) for path, aside, text in reader.blocks if not _within(aside, slot)}
+        found = [block for block in texts if _below(block[0], slot)]
+        found = [block for block in found if block in own] or found
+        found = found or [block for block in whole if _below(block[0], slot)]
         if found:
-            return "\n".join(found)
+            return "\n".join(text for _, text in found)
     hinted = reader.fresh(None)
     if known is not None:
         hinted = [block for block in hinted if _mark(*block) not in known] or hinted
-    found = [block for block in hinted if inside and _below(block[0], slot)]
-    found = found or [block for block in hinted if _in_article(block[0])] or hinted
-    if not any(_in_article(token) for token in reader.order):
-        rest = texts if known else whole
-        if 2 * _chars(found) < _chars(rest):
-            found = rest
+    found = [block for block in hinted if inside and _below(block[0], slot)] or hinted
+    rest = [block for block in (texts if known else whole) if _COMMENT_NAMES.isdisjoint(_LETTERS.findall(block[0]))]
+    if 2 * _chars(found) < _chars(rest):
+        found = rest
     return "\n".join(text for _, text in found)
 
 
@@ -294,10 +330,6 @@ def _chars(blocks: list[tuple[str, str]]) -> int:
     return sum(len(text) for _, text in blocks)
 
 
-def _in_article(path: str) -> bool:
-    return not _ARTICLES.isdisjoint(x.partition(".")[0] for x in path.split(">"))
-
-
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pages, slots, tokens, known = (batch.column(k) for k in (2, 3, 4, 5))
