@@ -84,16 +84,19 @@ def _resolved(base: Column, link: Column) -> Column:
 
 def page_links(pages: DataFrame) -> DataFrame:
     """``from_url`` and ``to_url`` of canonical links and immediate redirects in the pages' html."""
-    tag = r"(?is)<{}\b[^>]*>"
-    quoted = r"""(?is)\b{}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    # What is commented out, or the text of an element that holds no markup, links nowhere.
+    dead = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|template|xmp)\b.*?(?:</\1\s*>|\z)"
+    tag = r"""(?is)<{}(?=[\s/])(?:[^>"']|"[^"]*"|'[^']*')*>"""
+    quoted = r"""(?is)(?<=[\s"'/]){}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
     def attribute(source: Column, name: str) -> Column:
         parts = [F.regexp_extract(source, quoted.format(name), k) for k in (1, 2, 3)]
         return F.regexp_replace(F.trim(F.concat(*parts)), "&amp;", "&")
 
     marked = pages.where("url is not null and html is not null").where(
-        F.col("html").rlike("(?i)<link[^>]+canonical|<meta[^>]+refresh")
+        F.col("html").rlike("(?i)canonical|refresh")
     )
+    marked = marked.select("url", F.regexp_replace("html", dead, " ").alias("html"))
     links = marked.select("url", F.explode(F.regexp_extract_all("html", F.lit(tag.format("link")), 0)).alias("tag"))
     links = links.where(F.array_contains(F.split(F.lower(attribute(F.col("tag"), "rel")), r"\s+"), "canonical"))
     metas = marked.select("url", F.explode(F.regexp_extract_all("html", F.lit(tag.format("meta")), 0)).alias("tag"))
