@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from nomenlink.llm import units
+from nomenlink.llm.scratch import giving_back
 
 PASSAGE_WORDS = 64
 THRESHOLD = 0.3
 # The model is fitted on at most so many labelled documents, those with the
-# least hashes of their ids, and on so many passages of each, evenly spread.
+# least hashes of their ids, and on all passages of each.
 TRAINING_DOCUMENTS = 4000
-TRAINING_PASSAGES = 48
 _CLASSES = 40
 _BUCKETS = 32
 FEATURES = _CLASSES + _BUCKETS + 7
@@ -172,8 +172,6 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for row in range(len(bounds) - 1):
                 mine = features[first[row] : first[row + 1]]
-                if len(mine) > TRAINING_PASSAGES:
-                    mine = mine[np.linspace(0, len(mine) - 1, TRAINING_PASSAGES).astype(int)]
                 rows.append(mine.astype("<f4").tobytes())
             labels = batch.column(0).slice(begin, len(rows))
             yield pa.RecordBatch.from_arrays([labels, pa.array(rows, pa.binary())], names=["label", "bag"])
@@ -182,17 +180,18 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_quality(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCUMENTS) -> AttentionModel | None:
     """Learn ``label`` of ``labels`` (``doc_id``, ``label`` 0 or 1) from the texts.
 
-    At most ``most`` labelled documents are read; their features, a bounded
-    number of passages each, are what the driver fits on. Null labels and ids
-    are left out; a document labelled twice counts with its lower label. None
-    if there are not both labels.
+    At most ``most`` labelled documents are read; the features of all their
+    passages are what the driver fits on. Null labels and ids are left out; a
+    document labelled twice counts with its lower label, one of several texts
+    with the first in their order. None if there are not both labels.
     """
     known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     # A repeated row is the same document; more rows than ids must not grow the sample.
-    texts = texts.select(F.col("label").cast("long").alias("label"), "text").limit(2 * most)
-    rows = texts.mapInArrow(_bags, "label long, bag binary").collect()
+    texts = texts.groupBy("doc_id").agg(F.min(F.col("label").cast("long")).alias("label"), F.min("text").alias("text"))
+    texts = texts.select("label", "text")
+    rows = texts.mapInArrow(giving_back(_bags), "label long, bag binary").collect()
     rows = sorted((row["label"], bytes(row["bag"])) for row in rows)
     if len({label for label, _ in rows}) < 2:
         return None
@@ -201,28 +200,29 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCUMEN
     return train(np.concatenate(bags), first, np.array([label for label, _ in rows], dtype=np.float64))
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model: AttentionModel | None, text: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], model: AttentionModel | None, text: int, names: list[str], into: str) -> Iterator[pa.RecordBatch]:
     """Rows with their scores, a block of text at a time: only one block is held twice."""
     for batch in batches:
         for begin, data, bounds in units.blocks(batch.column(text).fill_null("")):
             rows = batch.slice(begin, len(bounds) - 1)
             scores = np.full(rows.num_rows, 0.5) if model is None else model.scores(*passages(data, bounds))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(scores)], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(scores)], names=[*names, into])
 
 
-def score_quality(docs: DataFrame, model: AttentionModel | None) -> DataFrame:
-    """``docs`` with the column ``score``, from 0 to 1, of every whole text.
+def score_quality(docs: DataFrame, model: AttentionModel | None, into: str = "score") -> DataFrame:
+    """``docs`` with the column ``into``, from 0 to 1, of every whole text.
 
-    Reads ``text``; all columns are kept and a column ``score`` is replaced.
+    Reads ``text``; all columns are kept, and one of the name ``into``, in
+    whatever case, is replaced.
     Null and empty texts are scored as one passage without words; every passage
     of a long text takes part. Rows that repeat get equal scores. Without a
     model every score is 0.5. No rows give no rows.
     """
-    kept = [c for c in docs.columns if c != "score"]
+    kept = [c for c in docs.columns if c.lower() != into.lower()]
     source = docs.select(*[F.col(f"`{c}`") for c in kept])
     text = next(at for at, c in enumerate(kept) if c.lower() == "text")
-    schema = StructType([*source.schema.fields, StructField("score", DoubleType())])
-    return source.mapInArrow(lambda batches: _scored(batches, model, text, kept), schema)
+    schema = StructType([*source.schema.fields, StructField(into, DoubleType())])
+    return source.mapInArrow(giving_back(lambda batches: _scored(batches, model, text, kept, into)), schema)
 
 
 def held_out(doc_id):
