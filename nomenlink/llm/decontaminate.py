@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nomenlink.llm import units
-from nomenlink.llm.scratch import Scratch
+from nomenlink.llm.scratch import Scratch, giving_back
 
 SIMILARITY = 0.8
 # Matched seeds that a copy must show, fewer for items of fewer words.
@@ -276,10 +276,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
         if not rows:
             continue
         items = _Items.read([i for i, _ in rows], [t for _, t in rows])
-        counted = source.mapInArrow(lambda b, items=items: _count(b, items), "seed long, n long")
+        counted = source.mapInArrow(giving_back(lambda b, items=items: _count(b, items)), "seed long, n long")
         counts = counted.groupBy("seed").agg(F.sum("n").alias("n")).collect()  # at most a row per seed
         rare = items.rare({row["seed"]: row["n"] for row in counts}, similarity)
-        leaks = source.mapInArrow(lambda b, rare=rare: _leaks(b, rare, similarity), _LEAK)
+        leaks = source.mapInArrow(giving_back(lambda b, rare=rare: _leaks(b, rare, similarity)), _LEAK)
         found = found.unionByName(scratch.keep(leaks, f"block-{block}"))
     first, last = (-F.col("start")).alias("first"), (-F.col("stop")).alias("last")
     order = F.struct("matched", first, last, "item_words")

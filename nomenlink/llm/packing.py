@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nomenlink.llm.scratch import Scratch
+from nomenlink.llm.scratch import Scratch, giving_back
 
 CAPACITY = 2048
 END_ID = 0
@@ -237,7 +237,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, k
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
     schema += ", ids array<int>" if keep_ids else ""
-    pieces = scratch.keep(source.mapInArrow(lambda b: _pieces(b, vocabulary, capacity, keep_ids), schema), "pieces")
+    pieces = scratch.keep(source.mapInArrow(giving_back(lambda b: _pieces(b, vocabulary, capacity, keep_ids)), schema), "pieces")
 
     # Ranks count from zero in each task; what came before is added per task.
     here = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
@@ -250,7 +250,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, k
     columns = [c for c in pieces.columns if c not in ("task", "rank")]
     kinds = dict(pieces.dtypes)
     out = ", ".join([*(f"{c} {kinds[c]}" for c in columns), "sequence_id long", "offset long"])
-    return ranked.select(*columns, "task", "rank", "base").mapInArrow(lambda b: _placed(b, plan), out)
+    return ranked.select(*columns, "task", "rank", "base").mapInArrow(giving_back(lambda b: _placed(b, plan)), out)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from nomenlink.session import run_dir
@@ -41,3 +44,24 @@ class Scratch:
 
     def keep_only(self, *names: str) -> None:
         self.drop(*[name for name in self.names if name not in names])
+
+
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task function that returns its memory to the system when it ends.
+
+    Python workers are used again by later tasks and stages; what their
+    allocators keep would add up over the stages of a pipeline.
+    """
+
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return task

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from nomenlink.llm import units
 from nomenlink.llm.components import components
-from nomenlink.llm.scratch import Scratch
+from nomenlink.llm.scratch import Scratch, giving_back
 
 # Rows combined in a task before they are shuffled; bounds its memory.
 _FLUSH = 1_000_000
@@ -284,9 +284,9 @@ def link_documents(docs: DataFrame, rule: Rule) -> DataFrame:
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), text)
 
     schema = "kind byte, b long, n long, deal long, a long"  # what is mostly zero stands together
-    dealt = source.mapInArrow(lambda batches: _scan(batches, rule), schema)
+    dealt = source.mapInArrow(giving_back(lambda batches: _scan(batches, rule)), schema)
     dealt = dealt.repartition("deal").sortWithinPartitions("deal", "a")
-    found = scratch.keep(dealt.mapInArrow(_stars, schema), "found")
+    found = scratch.keep(dealt.mapInArrow(giving_back(_stars), schema), "found")
     scratch.drop()
     documents = found.where(F.col("kind") == _DOCUMENT).select(
         F.col("a").alias("doc_id"), F.col("b").alias("set"), F.col("n").alias("n_shingles")
@@ -298,7 +298,7 @@ def link_documents(docs: DataFrame, rule: Rule) -> DataFrame:
     chosen = documents.join(joined, "set", "left_semi").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
     texts = source.join(chosen.select("doc_id").distinct(), "doc_id").select("text")
     schema = ", ".join(["set long, shingles array<long>", *(f"{c} long" for c in _BIT_COLUMNS)])
-    sets = texts.mapInArrow(lambda batches: _sets(batches, rule), schema)
+    sets = texts.mapInArrow(giving_back(lambda batches: _sets(batches, rule)), schema)
     sets = sets.withColumn("size", F.size("shingles").cast("long")).join(joined, "set", "left_semi")
     sets = scratch.keep(sets.dropDuplicates(["set"]), "sets")
     scratch.drop()
