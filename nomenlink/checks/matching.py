@@ -14,9 +14,11 @@ from nomenlink.operators import blocking as k
 from nomenlink.operators import cache as known
 from nomenlink.operators import name_search as search
 from nomenlink.operators import resolve as r
+from nomenlink.operators.ordering import in_order, running_sums
 from nomenlink.operators.worklist import resolvable_offers
 from nomenlink.plans.resolution import resolve_offers, resolve_role
 from nomenlink.schemas import CONFIDENCE_OFFICIAL
+from nomenlink.session import materialise
 
 # ---------------------------------------------------------------------------
 # Blocking and ranking
@@ -72,10 +74,10 @@ def rank_candidates(spark, sf):
     return candidates(spark, sf)
 
 
-# Rows of the register next to the offers of the same number.
+# Every offer next to one row of the register, numbers beyond the last row starting again.
 _JOINED = f"""joined as (select offer_id, entity_name as name, {number_text('location_zipcode')} as zip_code,
     location_label as city, location_departement as department, r.* from offers join register r
-    on cast(siren as bigint) - 100000000 = offer_id)"""
+    on cast(siren as bigint) - 100000000 = offer_id % (select count(*) from part))"""
 
 
 def _joined(spark, sf):
@@ -87,7 +89,8 @@ def _joined(spark, sf):
         F.col("location_label").alias("city"),
         F.col("location_departement").alias("department"),
     )
-    return left.join(b.register(spark, sf), F.col("offer_id") == F.col("siren").cast("long") - 100000000)
+    number = F.col("offer_id") % b.table(spark, sf, "part").count()
+    return left.join(b.register(spark, sf), number == F.col("siren").cast("long") - 100000000)
 
 
 @check(
@@ -221,20 +224,24 @@ def sim_cosine(spark, sf):
     return _vectors(spark, sf).withColumn("cosine", F.round("cosine", 6))
 
 
+# Every part next to the following one, with the vectors its number picks.
 @check(
     "mean_score",
-    f"""with {_VECTORS}, named as (select v.vec_id, v.cosine, l.p_name as a, r.p_name as b from vectors v
-      join part l on l.p_partkey = v.vec_id join part r on r.p_partkey = v.vec_id + 1)
-    select vec_id, round((jaro_winkler_similarity(a, b) + {_LEV.format(a='a', b='b')} + cosine) / 3, 6) as score from named""",
+    f"""with {_VECTORS}, numbered as (select *, row_number() over (order by vec_id) - 1 as i from vectors),
+    named as (select l.p_partkey, v.cosine, l.p_name as a, r.p_name as b from part l join part r on r.p_partkey = l.p_partkey + 1
+      join numbered v on v.i = l.p_partkey % (select count(*) from vectors))
+    select p_partkey, round((jaro_winkler_similarity(a, b) + {_LEV.format(a='a', b='b')} + cosine) / 3, 6) as score from named""",
 )
 def mean_score(spark, sf):
     part = b.table(spark, sf, "part")
-    left = part.select(F.col("p_partkey").alias("vec_id"), F.col("p_name").alias("a"))
-    right = part.select((F.col("p_partkey") - 1).alias("vec_id"), F.col("p_name").alias("b"))
-    rows = _vectors(spark, sf).join(left, "vec_id").join(right, "vec_id")
+    left = part.select("p_partkey", F.col("p_name").alias("a"))
+    right = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("b"))
+    placed = materialise(in_order(_vectors(spark, sf).withColumn("one", F.lit(1)), "vec_id"), "vectors")
+    numbered = running_sums(placed, {"i": "one"}).select((F.col("i") - 1).alias("i"), "cosine")
+    rows = left.join(right, "p_partkey").withColumn("i", F.col("p_partkey") % placed.count()).join(numbered, "i")
     x, y = F.col("a"), F.col("b")
     score = r.mean_score(sim.jaro_winkler(x, y), sim.levenshtein_sim(x, y), F.col("cosine"))
-    return rows.select("vec_id", F.round(score, 6).alias("score"))
+    return rows.select("p_partkey", F.round(score, 6).alias("score"))
 
 
 # ---------------------------------------------------------------------------
@@ -279,6 +286,33 @@ def best_match(spark, sf):
     return found.select("query_id", "siren", "siret", "priority", "score")
 
 
+_WORDS_OF = r"list_distinct(list_filter(string_split_regex({c}, '[^\p{{L}}\p{{N}}]+'), lambda word: word <> ''))"
+_FOLDED = "lower(strip_accents(trim({c})))"
+
+
+@check(
+    "best_match_token",
+    f"""{_RATED_SQL}, texts as (select distinct code_departement as dept, lower(raison_sociale) as official,
+      lower(coalesce(enseigne, '')) as trade, lower(coalesce(sigle, '')) as acronym from register),
+    postings as (select *, unnest({_WORDS_OF.format(c=_FOLDED.format(c="concat_ws(' ', official, trade, acronym)"))}) as word from texts),
+    frequency as (select dept, word, count(*) as n from postings group by all),
+    asked as (select dept, name, unnest({_WORDS_OF.format(c=_FOLDED.format(c='name'))}) as word
+      from (select distinct department as dept, lower(name) as name from queries)),
+    seeds as (select * from (select a.*, row_number() over (partition by a.dept, a.name order by n, a.word) as place
+      from asked a join frequency f on a.dept = f.dept and a.word = f.word) where place <= 2),
+    token_pairs as (select distinct p.dept, name, official, trade, acronym from seeds s join postings p on s.dept = p.dept and s.word = p.word)
+    select query_id, siren, siret, priority, score from (select r.*, row_number() over (partition by query_id
+      order by score desc, priority, is_headquarters desc, siren, siret) as n from rated r join token_pairs t
+      on t.dept = r.department and t.name = lower(r.name) and t.official = lower(r.raison_sociale)
+      and t.trade = lower(coalesce(r.enseigne, '')) and t.acronym = lower(coalesce(r.sigle, '')) where score >= 0.85) where n = 1""",
+)
+def best_match_token(spark, sf):
+    found = search.best_rows(
+        offer_queries(spark, sf), b.register(spark, sf), _LEV_AND_NAME, r.STRICT_THRESHOLD, mode="token"
+    )
+    return found.select("query_id", "siren", "siret", "priority", "score")
+
+
 @check("best_name_match")
 def best_name_match(spark, sf):
     found = search.best_lookup(offer_queries(spark, sf), b.register(spark, sf), r.NAME_THRESHOLD, r.ZIP_BONUS)
@@ -291,12 +325,12 @@ def _name_vectors(spark, sf):
     names = names.union(b.register(spark, sf).select("raison_sociale")).where("text is not null").distinct()
     number = F.conv(F.substring(F.md5("text"), 1, 6), 16, 10).cast("long")
     e = b.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    return names.withColumn("vec_id", F.pmod(number, F.lit(450))).join(e, "vec_id").where("vec_id % 9 <> 0")
+    return names.withColumn("vec_id", F.pmod(number, F.lit(e.count()))).join(e, "vec_id").where("vec_id % 9 <> 0")
 
 
 _FEATURES = f"""pairs as (select distinct name, coalesce(raison_sociale, '') as official from candidates),
-numbered as (select *, cast('0x' || substr(md5(name), 1, 6) as bigint) % 450 as own_id,
-    cast('0x' || substr(md5(official), 1, 6) as bigint) % 450 as official_id,
+numbered as (select *, cast('0x' || substr(md5(name), 1, 6) as bigint) % (select count(*) from embeddings) as own_id,
+    cast('0x' || substr(md5(official), 1, 6) as bigint) % (select count(*) from embeddings) as official_id,
     array_to_string(list_sort({_TOKENS.format(c='lower(name)')}), ' ') as x,
     array_to_string(list_sort({_TOKENS.format(c='lower(official)')}), ' ') as y from pairs),
 measured as (select n.*, {_LCS.format(a='x', b='y')} as lcs,

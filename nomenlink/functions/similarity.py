@@ -378,9 +378,14 @@ def partial(a: Column, b: Column) -> Column:
     return _partial(a, b)
 
 
+def blocks(a: Column, b: Column) -> Column:
+    """Longest-matching-block ratio of two texts as they are."""
+    return _sequence(a, b)
+
+
 def sequence_sim(a: Column, b: Column) -> Column:
     """Longest-matching-block ratio of two normalised company names."""
-    return _sequence(company_name_norm(a), company_name_norm(b))
+    return blocks(company_name_norm(a), company_name_norm(b))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -241,9 +241,9 @@ def _top_profiles(distinct: DataFrame, listed: DataFrame, k: int) -> DataFrame:
     # data but much work, which the engine would pack into few tasks.
     keys = ["dept", "q_tile", "p_tile"]
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    left = copied(q_tiles, p_counts, "p_tile")
-    right = copied(p_tiles, q_counts, "q_tile")
-    pairs = left.join(right, keys).drop(*keys).repartition(tasks)
+    left = copied(q_tiles, p_counts, "p_tile").repartition(tasks, *keys)
+    right = copied(p_tiles, q_counts, "q_tile").repartition(tasks, *keys)
+    pairs = left.join(right, keys).drop(*keys)
     best = Window.partitionBy("q_id").orderBy("priority", F.desc("name_sim"), F.desc("p_hq"), "p_first")
     return (
         pairs.mapInArrow(_top_of_tiles(k), _TOP_SCHEMA)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nomenlink.functions import similarity as sim
-from nomenlink.functions.names import company_name_norm
+from nomenlink.functions.names import company_name_norm, name_norm
 from nomenlink.operators import blocking as k
 from nomenlink.operators.skew import salted_join
 from nomenlink.session import materialise
@@ -33,6 +33,8 @@ _CHUNK = 256
 # Pairs of a name that the first round compares; each round doubles them.
 _FIRST = 4
 _BUCKETS = 64
+# Words of a name that the token mode looks up.
+RARE_WORDS = 2
 # Room for the rounding of bounds and scores.
 _ROOM = 2e-9
 
@@ -62,7 +64,7 @@ def _jaro_winkler_bound(shared, a, b, prefix):
 
 @dataclass(frozen=True)
 class Part:
-    """One similarity: exact on lists of texts, bounded from what the texts share.
+    """One similarity: exact on lists of texts and on columns, bounded from what the texts share.
 
     ``bound`` takes the shared letters, both lengths and the common prefix (up
     to four letters) as arrays. ``asked`` prepares a name, ``held`` the texts
@@ -70,6 +72,7 @@ class Part:
     """
 
     exact: Callable[[list[str], list[str]], np.ndarray]
+    column: Callable[[Column, Column], Column]
     bound: Callable[..., np.ndarray]
     asked: Callable[[Column], Column]
     held: Callable[[Column, Column, Column], list[Column]]
@@ -80,15 +83,15 @@ def _itself(c: Column) -> Column:
 
 
 PARTS = {
-    "sim_levenshtein": Part(sim.levenshtein_sims, _over_longer, _itself, lambda official, *_: [official]),
+    "sim_levenshtein": Part(sim.levenshtein_sims, sim.levenshtein_sim, _over_longer, _itself, lambda official, *_: [official]),
     "sim_token_sort": Part(
-        sim.indel_ratios, _over_both, sim.sorted_tokens, lambda official, *_: [sim.sorted_tokens(official)]
+        sim.indel_ratios, sim.ratio, _over_both, sim.sorted_tokens, lambda official, *_: [sim.sorted_tokens(official)]
     ),
     "name_sim": Part(
-        sim.jaro_winkler_pairs, _jaro_winkler_bound, F.lower, lambda *texts: [F.lower(text) for text in texts]
+        sim.jaro_winkler_pairs, sim.jaro_winkler, _jaro_winkler_bound, F.lower, lambda *texts: [F.lower(text) for text in texts]
     ),
     "sim_sequence": Part(
-        sim.block_ratios, _over_both, company_name_norm, lambda official, *_: [company_name_norm(official)]
+        sim.block_ratios, sim.blocks, _over_both, company_name_norm, lambda official, *_: [company_name_norm(official)]
     ),
 }
 
@@ -277,6 +280,42 @@ def search_names(
     return materialise(pairs.mapInArrow(run, schema), "name-pairs")
 
 
+def name_words(c: Column) -> Column:
+    """Distinct words of a name in its normal form."""
+    return F.array_distinct(F.filter(F.split(name_norm(c), r"[^\p{L}\p{N}]+"), lambda word: word != ""))
+
+
+def token_pairs(names: DataFrame, texts: DataFrame, rare: int = RARE_WORDS) -> DataFrame:
+    """Pairs of a name and a text of its department that share one of the name's rarest words.
+
+    Words are ordered by the number of texts of the department that hold them;
+    only the ``rare`` first ones of a name that occur at all are looked up, so
+    a frequent word is read for names that have no rarer one. Words of all
+    three names of a register row count.
+    """
+    held = F.explode(name_words(F.concat_ws(" ", "official", "trade", "acronym"))).alias("word")
+    postings = materialise(texts.select("dept", "t_id", held), "postings")
+    frequency = postings.groupBy("dept", "word").agg(F.count(F.lit(1)).alias("n"))
+    asked = names.select("dept", "name", F.explode(name_words(F.col("name"))).alias("word"))
+    rarest = Window.partitionBy("dept", "name").orderBy("n", "word")
+    seeds = asked.join(frequency, ["dept", "word"]).withColumn("place", F.row_number().over(rarest))
+    seeds = seeds.where(F.col("place") <= rare).select("dept", "word", "name")
+    return seeds.join(postings, ["dept", "word"]).select("dept", "name", "t_id").distinct()
+
+
+def _scored_tokens(names: DataFrame, texts: DataFrame, score: NameScore) -> DataFrame:
+    """The pairs of ``token_pairs`` with their similarities, in the form of ``search_names``."""
+    pairs = token_pairs(names, texts).join(texts, ["dept", "t_id"])
+    own = {
+        part: F.greatest(*[PARTS[part].column(PARTS[part].asked(F.col("name")), y) for y in held], F.lit(0.0))
+        for part in score.parts
+        for held in [PARTS[part].held(F.col("official"), F.col("trade"), F.col("acronym"))]
+    }
+    none = F.lit(0).cast("long")
+    columns = [c.alias(part) for part, c in own.items()]
+    return pairs.select("dept", "name", "t_id", *columns, none.alias("possible"), none.alias("compared"))
+
+
 def passing(pairs: DataFrame, score: NameScore, threshold: float, slack: float = 0.0) -> DataFrame:
     """The pairs of ``search_names`` that pass over all tiles, with ``score``."""
     mean = sum((F.col(part) for part in score.parts[1:]), F.col(score.parts[0])) / len(score.parts)
@@ -327,7 +366,7 @@ def _asked(queries: DataFrame, score: NameScore) -> DataFrame:
 class _Search:
     """Distinct queries, rows of their departments and the pairs of names and texts that pass."""
 
-    def __init__(self, queries: DataFrame, register: DataFrame, score: NameScore, threshold: float, slack=0.0, pending=0):
+    def __init__(self, queries: DataFrame, register: DataFrame, score: NameScore, threshold: float, slack=0.0, pending=0, mode="exact"):
         # Read three times below, so the queries are made once.
         own = ["q_id", "dept", "q_name", "q_zip", "q_city", "query_id", *k.QUERY_COLUMNS]
         self.asked = materialise(_asked(queries, score).select(*own), "asked")
@@ -336,7 +375,12 @@ class _Search:
         self.rows = _text_rows(register, self.distinct.select("dept").distinct(), score)
         self.texts = materialise(self.rows.select("dept", "t_id", "official", "trade", "acronym").distinct(), "search-profiles")
         names = self.distinct.select("dept", "name").distinct()
-        self.pairs = search_names(names, self.texts, score, threshold, slack, pending)
+        if mode == "exact":
+            self.pairs = search_names(names, self.texts, score, threshold, slack, pending)
+        elif mode == "token":
+            self.pairs = _scored_tokens(names, self.texts, score)
+        else:
+            raise ValueError(f"mode is exact or token, not {mode}")
 
     def back(self, best: DataFrame, *columns: str) -> DataFrame:
         """The answer of each distinct query on all queries that ask it."""
@@ -352,6 +396,7 @@ def best_rows(
     score: NameScore = NameScore(),
     threshold: float = 0.0,
     vectors: DataFrame | None = None,
+    mode: str = "exact",
 ) -> DataFrame:
     """For every query the register row of its department with the highest score, if it passes.
 
@@ -360,9 +405,11 @@ def best_rows(
     ``blocking.priority_class``), then to head offices, then by identifiers.
     ``vectors`` (``text``, ``vector``) adds the cosine of both names to the
     mean where both have one; as it may lift any pair, pairs are then kept for
-    what they can still reach.
+    what they can still reach. ``mode`` exact compares a name with all texts of
+    its department that can pass; token only with those that share one of its
+    rarest words, so a name whose every rare word is misspelt may find nothing.
     """
-    found = _Search(queries, register, score, threshold, pending=int(vectors is not None))
+    found = _Search(queries, register, score, threshold, pending=int(vectors is not None), mode=mode)
     if vectors is None:
         pairs = passing(found.pairs, score, threshold)
     else:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nomenlink.functions.identifiers import clean_numeric_of, siren_norm_of, zip_ok_weight
 from nomenlink.functions.names import has_name, key_is_blacklisted, name_norm
+from nomenlink.session import materialise
 
 # --- fixed values
 MIN_NAME_LENGTH = 3
@@ -55,16 +56,21 @@ def entity_stats(offers: DataFrame) -> DataFrame:
 
 def unresolved_entities(offers: DataFrame, min_offers: int = 1) -> DataFrame:
     """Entities (name and place) of which no offer has an identifier."""
+    return _unresolved(_entity_groups(offers), min_offers)
+
+
+def _unresolved(groups: DataFrame, min_offers: int) -> DataFrame:
     wanted = (F.col("n_with_siren") == 0) & (F.col("n_offers") >= min_offers)
-    return _entity_groups(offers).where(wanted).drop("n_with_siren")
+    return groups.where(wanted).drop("n_with_siren")
 
 
 def entity_priority(offers: DataFrame, min_offers: int = 1) -> DataFrame:
     """Unresolved entities with their score: volume, spread, clean zip code."""
     score = F.col("n_offers") * F.log(1 + F.col("n_locations")) * zip_ok_weight(F.col("location_zipcode"))
+    groups = materialise(_entity_groups(offers), "entities")  # the offers are read and grouped once
     return (
-        unresolved_entities(offers, min_offers)
-        .join(entity_stats(offers), "name_key")
+        _unresolved(groups, min_offers)
+        .join(_locations(groups), "name_key")
         .withColumn("priority_score", F.round(score, 9))
         .select("name_key", "entity_name_example", *PLACE, "n_offers", "n_locations", "priority_score")
     )

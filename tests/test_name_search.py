@@ -155,3 +155,16 @@ def test_pair_kernels_equal_the_columns(apply):
     assert np.allclose(sim.levenshtein_sims(a, b), apply(sim.levenshtein_sim, *pairs))
     one_by_one = [sim.jaro_winkler_to(x, *sim.encode([y]))[0] for x, y in pairs]
     assert np.allclose(sim.jaro_winkler_pairs(a, b), one_by_one)
+
+
+def test_token_mode_recalls_the_exact_matches(spark):
+    queries, register = _fixture(spark, 11, rows=600, asked=200)
+    score = search.NameScore(case_sensitive=False)
+    exact = {r["query_id"]: r["siret"] for r in search.best_rows(queries, register, score, 0.85).collect()}
+    token = {r["query_id"]: r["siret"] for r in search.best_rows(queries, register, score, 0.85, mode="token").collect()}
+    assert len(exact) > 50
+    assert sum(token.get(q) == siret for q, siret in exact.items()) >= 0.9 * len(exact)
+    # What it finds is a match of the exact mode, or a lesser one of the same query.
+    assert set(token) <= set(exact)
+    with pytest.raises(ValueError):
+        search.best_rows(queries, register, score, 0.85, mode="other")
