@@ -16,9 +16,10 @@ from nomenlink.operators import name_search as search
 from nomenlink.operators import resolve as r
 from nomenlink.operators.ordering import in_order, running_sums
 from nomenlink.operators.worklist import resolvable_offers
-from nomenlink.plans.resolution import resolve_offers, resolve_role
-from nomenlink.schemas import CONFIDENCE_OFFICIAL
-from nomenlink.session import materialise
+from nomenlink.plans.resolution import resolve_offers, resolve_role, resolve_roles
+from nomenlink.schemas import CONFIDENCE_OFFICIAL, EntityColumns
+from nomenlink.session import materialise, run_dir
+from nomenlink.sources.versions import publish
 
 # ---------------------------------------------------------------------------
 # Blocking and ranking
@@ -526,6 +527,31 @@ resolved_rows as (select q.contract_id, q.name as stated_name, coalesce(w.siren,
 select * from resolved_rows"""
 
 
+# Both roles of a contract name the same entity, the awarded one in capitals; names are looked up in lower case.
+_ROLES = RESOLVED_ROWS.replace(
+    "select * from resolved_rows", "select contract_id, siren as contracting_siren, siren as awarded_siren from resolved_rows"
+)
+
+
+def role_entities():
+    return [
+        EntityColumns("stated_name", "contracting_siren", "CONTRACTING", address_col="stated_address"),
+        EntityColumns("awarded_name", "awarded_siren", "AWARDED", address_col="stated_address"),
+    ]
+
+
+def role_rows(spark, sf):
+    return b.contracts(spark, sf).withColumn("awarded_name", F.upper("stated_name"))
+
+
+@check("resolve_roles", _ROLES)
+def resolve_roles_(spark, sf):
+    root = run_dir(spark, "cache")
+    publish(_cache(spark, sf).drop("version"), root)
+    done = resolve_roles(role_rows(spark, sf), role_entities(), [_directory(spark, sf)], root, prune=0.0)
+    return done.rows.select("contract_id", "contracting_siren", "awarded_siren")
+
+
 @check("resolve_role", RESOLVED_ROWS)
 def resolve_role_(spark, sf):
     c = b.contracts(spark, sf)

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from nomenlink.functions.addresses import OFFER_ENTITY
 from nomenlink.functions.names import name_norm
 from nomenlink.operators import resolve as r
-from nomenlink.operators.cache import cache_prune, cache_upsert
+from nomenlink.operators.cache import PRUNE_PROBABILITY, cache_prune, cache_upsert
 from nomenlink.operators.enrich import enrich_offers
 from nomenlink.operators.worklist import work_list, worklist_volume
-from nomenlink.schemas import CONFIDENCE_CACHE, CONFIDENCE_NONE, EntityColumns
+from nomenlink.schemas import CACHE_SCHEMA, CONFIDENCE_CACHE, CONFIDENCE_NONE, EntityColumns
 from nomenlink.session import materialise
+from nomenlink.sources.versions import publish, read_current
 
 
 @dataclass(frozen=True)
@@ -31,6 +32,7 @@ def resolve_entities(
     columns: EntityColumns,
     providers: list[r.Provider],
     cache: DataFrame | None = None,
+    prune: float = PRUNE_PROBABILITY,
 ) -> Resolution:
     """Resolve each distinct entity of ``rows`` once and write it on every row.
 
@@ -45,15 +47,38 @@ def resolve_entities(
     if cache is not None:
         found = answers.where(~F.col("confidence").isin(CONFIDENCE_NONE, CONFIDENCE_CACHE))
         stored = found.select("name", F.col("address_text").alias("address"), "siren")
-        new_cache = cache_prune(cache_upsert(cache, stored))
+        new_cache = cache_prune(cache_upsert(cache, stored), prune)
     return Resolution(back.select(*kept), answers, new_cache)
 
 
 def resolve_role(
-    rows: DataFrame, columns: EntityColumns, providers: list[r.Provider], cache: DataFrame | None = None
+    rows: DataFrame,
+    columns: EntityColumns,
+    providers: list[r.Provider],
+    cache: DataFrame | None = None,
+    prune: float = PRUNE_PROBABILITY,
 ) -> Resolution:
-    """One role of the contracts; run it once per role."""
-    return resolve_entities(rows, columns, providers, cache)
+    """One role of the contracts; ``resolve_roles`` runs several."""
+    return resolve_entities(rows, columns, providers, cache, prune)
+
+
+def resolve_roles(
+    rows: DataFrame, roles: list[EntityColumns], providers: list[r.Provider], cache_root: str, prune: float = PRUNE_PROBABILITY
+) -> Resolution:
+    """All roles of the contracts, one after the other, with a stored cache between them.
+
+    Each role reads the cache as the role before left it and publishes its own
+    version, so an entity that occurs in several roles is compared once, and a
+    later run starts from all of them. A share ``prune`` of the cache is dropped
+    each time, to be looked up anew. The answers are those of the last role.
+    """
+    spark = rows.sparkSession
+    done = None
+    for columns in roles:
+        cache = read_current(spark, cache_root, CACHE_SCHEMA)
+        done = resolve_role(rows if done is None else done.rows, columns, providers, cache, prune)
+        publish(done.cache, cache_root)
+    return done
 
 
 def dry_run(offers: DataFrame, min_offers: int = 1, limit: int | None = None) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql.types import StructType
 
 from nomenlink.operators import resolve as r
 from nomenlink.operators.cache import cache_index, cache_lookup
-from nomenlink.schemas import EntityColumns
+from nomenlink.schemas import CACHE_SCHEMA, CONFIDENCE_CACHE, CONFIDENCE_NONE, EntityColumns
+from nomenlink.session import materialise
 
 
 def stream_cached(
@@ -22,6 +23,19 @@ def stream_cached(
     return looked_up.select(*kept, F.col("_siren").alias(columns.siren_col))
 
 
+def _answers(target: str, batch_id: int) -> str:
+    """Where a batch leaves its answers; readers of the target skip names with an underscore."""
+    return f"{target}/_answers/through-{batch_id}"
+
+
+def answers_before(spark: SparkSession, target: str, batch_id: int) -> DataFrame:
+    """Answers of all batches before ``batch_id``, in the form of a cache."""
+    if batch_id == 0:
+        return spark.createDataFrame([], CACHE_SCHEMA)
+    # Batch numbers have no gaps, so no folder has to be listed.
+    return spark.read.schema(CACHE_SCHEMA).parquet(*[_answers(target, number) for number in range(batch_id)])
+
+
 def stream_resolve(
     spark: SparkSession,
     schema: StructType,
@@ -33,19 +47,32 @@ def stream_resolve(
     cache: DataFrame | None = None,
     files_per_batch: int | None = None,
 ) -> StreamingQuery:
-    """Resolve each batch of arriving rows against cache and register.
+    """Resolve each batch of arriving rows against cache, former answers and register.
 
-    Ranking candidates needs whole batches, so the work is done per batch;
-    a retried batch overwrites its own files.
+    Ranking candidates needs whole batches, so the work is done per batch. What
+    a batch finds by other means than the cache is stored under its number and
+    looked up by all later ones, so an entity is compared with the register
+    once. A retried batch sees the answers of earlier batches only and
+    overwrites its own files.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        queries = r.queries_of(batch.persist(), columns)
-        answers = r.resolve(queries, providers, cache)
-        rows = r.map_back(queries, answers, columns.siren_col)
-        kept = [*batch.columns, *([] if columns.siren_col in batch.columns else [columns.siren_col])]
-        rows.select(*kept).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
-        batch.unpersist()
+        rows = batch.persist()
+        try:
+            known = answers_before(spark, target, batch_id)
+            if cache is not None:
+                known = known.unionByName(cache.select(*CACHE_SCHEMA.fieldNames()))
+            queries = r.queries_of(rows, columns)
+            answers = materialise(r.resolve(queries, providers, known), "batch-answers")
+            kept = [*batch.columns, *([] if columns.siren_col in batch.columns else [columns.siren_col])]
+            back = r.map_back(queries, answers, columns.siren_col)
+            back.select(*kept).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+            # Written last: a batch counts for later ones when it is complete.
+            fresh = answers.where(~F.col("confidence").isin(CONFIDENCE_NONE, CONFIDENCE_CACHE))
+            fresh = fresh.select("name", F.col("address_text").alias("address"), "siren")
+            fresh.write.mode("overwrite").parquet(_answers(target, batch_id))
+        finally:
+            rows.unpersist()
 
     reader = spark.readStream.schema(schema)
     if files_per_batch is not None:

