@@ -74,6 +74,10 @@ def hash_number(seed: object, *keys: str) -> str:
     return f"cast('0x' || substr({digest(seed, *keys)}, 1, 8) as bigint)"
 
 
+def wide_number(seed: object, *keys: str) -> str:
+    return f"cast('0x' || substr({digest(seed, *keys)}, 1, 15) as bigint)"
+
+
 def digest(seed: object, *keys: str) -> str:
     parts = ", ".join(f"coalesce(cast({k} as varchar), '')" for k in keys)
     return f"md5(concat_ws('|', '{seed}', {parts}))"

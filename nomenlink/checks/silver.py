@@ -15,6 +15,7 @@ from nomenlink.checks.registry import (
     digest,
     hash_number,
     positives,
+    wide_number,
 )
 from nomenlink.operators import negatives as neg
 from nomenlink.operators import sampling
@@ -196,41 +197,42 @@ def group_split(spark, sf):
 
 # --- negatives ---------------------------------------------------------------
 
-_POSITIVE_KEY = ["missing_row_id", "p.target_siren", "p.known_entreprise_nom", "p.known_location_label", "p.n_known_rows"]
+_POSITIVE_KEY = ["missing_row_id", "target_siren", "known_entreprise_nom", "known_location_label", "n_known_rows"]
 _CANDIDATE_KEY = ["k.nom_key", "k.target_siren", "k.city_key", "k.zipcode_norm", "k.dept_norm"]
 N_NEGATIVES = 20_000
 
 
-def _negatives(name: str, kind: str, geo: str, seed: int, n: int = N_NEGATIVES) -> str:
-    """All pairs, their number, the bucket rule, and the n smallest digests."""
-    left, right = hash_number(seed, *_POSITIVE_KEY), hash_number(seed, *_CANDIDATE_KEY)
-    return f"""{name}_all as (select p.missing_row_id, p.missing_entreprise_nom, p.missing_location_label, p.nom_key,
-    p.city_key, p.zipcode_norm, p.dept_norm, k.target_siren, k.known_entreprise_nom, k.known_location_label,
-    k.n_known_rows, {left} as hp, {right} as hk, {digest(seed, *_POSITIVE_KEY, *_CANDIDATE_KEY)} as pair_digest
-  from positives p join known k on {geo} and p.nom_key <> k.nom_key and p.target_siren <> k.target_siren),
-{name}_buckets as (select greatest(1, count(*) // (2 * {n})) as n_buckets from {name}_all),
-{name} as (select missing_row_id, missing_entreprise_nom, missing_location_label, nom_key, city_key, zipcode_norm,
-    dept_norm, target_siren, known_entreprise_nom, known_location_label, n_known_rows, cast(0 as bigint) as n_sirens_at_grain,
-    cast(0 as int) as label, '{kind}' as negative_type
-  from {name}_all, {name}_buckets where hp % n_buckets = hk % n_buckets order by pair_digest limit {n})"""
-
-
-_SAME_DEPARTMENT = "p.dept_norm = k.dept_norm and coalesce(p.dept_norm, '') <> ''"
-HARD = _negatives("hard", "hard_geo", _SAME_DEPARTMENT, 42)
-# Keyed by digest ranges: the twin lists only pairs that share a bucket.
-RANDOM = f"""random_size as (select
-    (select count(*) from positives) * (select count(*) from known)
-    - (select coalesce(sum(a.n * c.n), 0) from (select nom_key, count(*) as n from positives group by 1) a join (select nom_key, count(*) as n from known group by 1) c using (nom_key))
-    - (select coalesce(sum(a.n * c.n), 0) from (select target_siren, count(*) as n from positives group by 1) a join (select target_siren, count(*) as n from known group by 1) c using (target_siren))
-    + (select coalesce(sum(a.n * c.n), 0) from (select nom_key, target_siren, count(*) as n from positives group by 1, 2) a join (select nom_key, target_siren, count(*) as n from known group by 1, 2) c using (nom_key, target_siren)) as total),
-random_buckets as (select cast(greatest(1, total // (2 * {N_NEGATIVES})) as bigint) as n_buckets from random_size),
-random_left as (select p.*, {hash_number(43, *_POSITIVE_KEY)} % n_buckets as bucket from positives p, random_buckets),
-random_right as (select k.*, {hash_number(43, *_CANDIDATE_KEY)} % n_buckets as bucket from known k, random_buckets),
-random_neg as (select p.missing_row_id, p.missing_entreprise_nom, p.missing_location_label, p.nom_key, p.city_key,
-    p.zipcode_norm, p.dept_norm, k.target_siren, k.known_entreprise_nom, k.known_location_label, k.n_known_rows,
-    cast(0 as bigint) as n_sirens_at_grain, cast(0 as int) as label, 'random' as negative_type
-  from random_left p join random_right k on p.bucket = k.bucket and p.nom_key <> k.nom_key and p.target_siren <> k.target_siren
-  order by {digest(43, *_POSITIVE_KEY, *_CANDIDATE_KEY)} limit {N_NEGATIVES})"""
+def _nulls_first(keys: list[str]) -> str:
+    return ", ".join(f"{key} nulls first" for key in keys)
+
+
+def _negatives(name: str, kind: str, place: str, seed: int, n: int = N_NEGATIVES) -> str:
+    """Partners listed per place, name and identifier; pairs numbered; one number drawn of each of n stretches."""
+    return f"""{name}_left as (select *, {place} as place from positives where {place} is not null),
+{name}_right as (select *, {place} as place from known where {place} is not null),
+{name}_kinds as (select distinct place, nom_key, target_siren from {name}_left),
+{name}_partners as (select c.place, c.nom_key, c.target_siren, k.target_siren as partner, k.known_entreprise_nom as partner_name,
+    k.known_location_label as partner_label, k.n_known_rows as partner_rows, row_number() over (partition by c.place, c.nom_key,
+      c.target_siren order by {_nulls_first(_CANDIDATE_KEY)}) - 1 as at
+  from {name}_kinds c join {name}_right k on c.place = k.place and c.nom_key <> k.nom_key and c.target_siren <> k.target_siren),
+{name}_sizes as (select place, nom_key, target_siren, count(*) as n_partners from {name}_partners group by all),
+{name}_ordered as (select p.*, n_partners, cast(sum(n_partners) over (order by place, nom_key,
+      {_nulls_first(["target_siren", *_POSITIVE_KEY])} rows unbounded preceding) - n_partners as bigint) as start
+  from {name}_left p join {name}_sizes using (place, nom_key, target_siren)),
+{name}_total as (select cast(coalesce(sum(n_partners), 0) as bigint) as total from {name}_ordered),
+{name}_drawn as (select case when total <= {n} then i else i * (total // {n}) + least(i, total % {n})
+      + {wide_number(seed, "i")} % (total // {n} + case when i < total % {n} then 1 else 0 end) end as number
+  from range({n}) r(i), {name}_total where i < total),
+{name} as (select missing_row_id, missing_entreprise_nom, missing_location_label, o.nom_key, city_key, zipcode_norm, dept_norm,
+    k.partner as target_siren, k.partner_name as known_entreprise_nom, k.partner_label as known_location_label,
+    k.partner_rows as n_known_rows, cast(0 as bigint) as n_sirens_at_grain, cast(0 as int) as label, '{kind}' as negative_type
+  from {name}_drawn d asof join {name}_ordered o on d.number >= o.start
+  join {name}_partners k on k.place = o.place and k.nom_key = o.nom_key and k.target_siren = o.target_siren
+    and k.at = (d.number - o.start) % o.n_partners)"""
+
+
+HARD = _negatives("hard", "hard_geo", "nullif(dept_norm, '')", 42)
+RANDOM = _negatives("random_neg", "random", "0", 43)
 _NEGATIVES = f"{SILVER_SQL}, {HARD}, {RANDOM}, negatives as (select * from hard union all select * from random_neg)"
 
 

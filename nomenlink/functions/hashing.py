@@ -24,6 +24,11 @@ def digest_number(seed: int | str, *keys: Column) -> Column:
     return F.conv(F.substring(digest(seed, *keys), 1, _DIGITS), 16, 10).cast("long")
 
 
+def wide_number(seed: int | str, *keys: Column) -> Column:
+    """Whole number from 0 to 2**60 - 1."""
+    return F.conv(F.substring(digest(seed, *keys), 1, 15), 16, 10).cast("long")
+
+
 def fraction(seed: int | str, *keys: Column) -> Column:
     """Number from 0 inclusive to 1 exclusive."""
     return digest_number(seed, *keys) / F.lit(float(_SPAN))

@@ -2,29 +2,30 @@
 
 The reference set of a kind of negative is every positive next to every known
 entity with another name and another identifier, in the same place or
-anywhere. That set is quadratic, so it is never built: its size is computed
-from grouped counts, and both sides are hashed into just enough buckets that a
-join inside buckets yields about twice the wanted number. Each pair has the
-same chance to share a bucket. When the whole set is small there is one
-bucket, and the result is the exact set.
+anywhere. That set is quadratic, so it is never built. All its pairs have a
+number: positives stand in one order, those of equal name and identifier have
+equally many partners, and partners stand in the order of the candidates. The
+wanted numbers are drawn, one out of each of n equal stretches of the whole
+range, and each is turned back into its pair: the positive by a range join on
+running counts, the candidate by counting what of its place is left out before
+it. So a draw has exactly n pairs, none twice, and the whole set if it is no
+larger. Work is linear in positives, candidates and n.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nomenlink.functions.hashing import digest_number
+from nomenlink.functions.hashing import wide_number
+from nomenlink.operators.ordering import counts_upto, in_order, running_sums
 from nomenlink.operators.sampling import SEED, hash_sample
 from nomenlink.operators.silver import MAX_PAIRS, PAIR_COLUMNS, GeoLevel, known_groups
+from nomenlink.operators.skew import salted_join, small_join
 from nomenlink.session import materialise
 
-_OVERSAMPLING = 2
-
 _POSITIVE_KEY = ["missing_row_id", "target_siren", "known_entreprise_nom", "known_location_label", "n_known_rows"]
-_CANDIDATE_KEY = ["cand_nom_key", "cand_siren", "cand_city", "cand_zip", "cand_dept"]
+_CANDIDATE_PLACES = ["cand_city", "cand_zip", "cand_dept"]
 
 
 def _candidates(norm: DataFrame) -> DataFrame:
@@ -43,64 +44,99 @@ def _candidates(norm: DataFrame) -> DataFrame:
 _CANDIDATE_PLACE = {"city_key": "cand_city", "zipcode_norm": "cand_zip", "dept_norm": "cand_dept"}
 
 
-def _total_pairs(positives: DataFrame, candidates: DataFrame, on: list[str], kind: str) -> int:
-    """Pairs that agree on ``on`` and differ in name and in identifier.
+def _numbers(spark: SparkSession, total: int, n: int, seed: int) -> DataFrame:
+    """n different numbers below ``total``, one of each of n stretches of equal length; all if there are no more."""
+    i = F.col("id")
+    if total <= n:
+        return spark.range(total).select(i.alias("_value"))
+    length, longer = divmod(total, n)
+    start = i * length + F.least(i, F.lit(longer))
+    width = F.lit(length).cast("long") + (i < longer).cast("long")
+    return spark.range(n).select((start + F.pmod(wide_number(seed, i), width)).alias("_value"))
 
-    All pairs, less those with the same name, less those with the same
-    identifier, plus those taken away twice; each from grouped counts.
-    """
 
-    def grouped(rows: DataFrame, count: str) -> DataFrame:
-        counts = rows.groupBy(*on, "_name", "_siren").agg(F.count(F.lit(1)).alias(count))
-        return materialise(counts, f"{kind}-{count}")
+def _numbered(candidates: DataFrame, on: list[str], kind: str) -> DataFrame:
+    """Candidates with their number ``_pos`` inside their place, by name, identifier and place."""
+    rows = candidates.where(F.col("_name").isNotNull() & F.col("_siren").isNotNull()).withColumn("_one", F.lit(1))
+    placed = materialise(in_order(rows, *on, "_name", "_siren", *_CANDIDATE_PLACES), f"{kind}-candidates")
+    numbered = running_sums(placed, {"_pos": "_one"}, on).withColumn("_pos", F.col("_pos") - 1)
+    return materialise(numbered.drop("_one", "at", "part"), f"{kind}-numbered")
 
-    left, right = grouped(positives, "n_left"), grouped(candidates, "n_right")
 
-    def agreeing(extra: list[str], sign: int) -> DataFrame:
-        keys = [*on, *extra, "_all"]
-        sides = (side.withColumn("_all", F.lit(0)) for side in (left, right))
-        a, b = (side.groupBy(*keys).agg(F.sum(c).alias(c)) for side, c in zip(sides, ("n_left", "n_right")))
-        return a.join(b, keys).agg(F.coalesce(F.sum(sign * F.col("n_left") * F.col("n_right")), F.lit(0)).alias("n"))
+def _partners(spans: DataFrame, numbered: DataFrame, on: list[str]) -> DataFrame:
+    """How many candidates a positive of each place, name and identifier has, and which numbers are left out.
 
-    terms = [agreeing([], 1), agreeing(["_name"], -1), agreeing(["_siren"], -1), agreeing(["_name", "_siren"], 1)]
-    return int(reduce(DataFrame.unionByName, terms).agg(F.sum("n").alias("n")).first()["n"])
+    Left out are the candidates of the name, which are ``_n_name`` numbers from
+    ``_from`` on, and those of the identifier, of which ``_before`` stand ahead
+    of that and ``_n_both`` in it.
+    """
+    kind = [*on, "_name", "_siren"]
+    kinds = materialise(spans.select(*kind).distinct(), "kinds")
+    rows = F.count(F.lit(1))
+    sized = kinds
+    for keys, counts in (
+        (on, [rows.alias("_n_all")]),
+        ([*on, "_name"], [rows.alias("_n_name"), F.min("_pos").alias("_from")]),
+        ([*on, "_siren"], [rows.alias("_n_siren")]),
+        (kind, [rows.alias("_n_both")]),
+    ):
+        sized = salted_join(sized, numbered.groupBy(*keys).agg(*counts), keys, "left", counted=kinds)
+    sized = sized.fillna(0, ["_n_all", "_n_name", "_from", "_n_siren", "_n_both"])
+    same = [*on, "_siren"]
+    marks = numbered.select(*same, F.col("_pos").alias("_value"))
+    sized = counts_upto(marks, sized.withColumn("_value", F.col("_from") - 1), "_value", same, "_before")
+    left = F.col("_n_all") - F.col("_n_name") - F.col("_n_siren") + F.col("_n_both")
+    return sized.withColumn("_partners", left).where(left > 0).drop("_value", "_n_all", "_n_siren")
 
 
 def _draw(
     positives: DataFrame, candidates: DataFrame, on: list[str], kind: str, n: int, seed: int
 ) -> DataFrame:
-    helpers = ["_name", "_siren", "_number"]
-    left = positives.withColumns(
-        {
-            "_name": F.col("nom_key"),
-            "_siren": F.col("target_siren"),
-            "_number": digest_number(seed, *[F.col(c) for c in _POSITIVE_KEY]),
-        }
+    spark = positives.sparkSession
+    if not on:
+        on = ["_anywhere"]
+        positives, candidates = (side.withColumn("_anywhere", F.lit(0)) for side in (positives, candidates))
+    numbered = _numbered(
+        candidates.withColumns({"_name": F.col("cand_nom_key"), "_siren": F.col("cand_siren")}), on, kind
     )
-    right = candidates.withColumns(
-        {
-            "_name": F.col("cand_nom_key"),
-            "_siren": F.col("cand_siren"),
-            "_number": digest_number(seed, *[F.col(c) for c in _CANDIDATE_KEY]),
-        }
+    left = positives.withColumns({"_name": F.col("nom_key"), "_siren": F.col("target_siren")}).where(
+        F.col("_name").isNotNull() & F.col("_siren").isNotNull()
     )
-
-    def drawn(buckets: int) -> DataFrame:
-        number = F.pmod("_number", F.lit(buckets).cast("long"))
-        sides = (side.withColumn("_bucket", number).drop(*helpers) for side in (left, right))
-        differ = (F.col("nom_key") != F.col("cand_nom_key")) & (F.col("target_siren") != F.col("cand_siren"))
-        a, b = sides
-        return materialise(a.join(b, [*on, "_bucket"]).where(differ), f"{kind}-pairs")
-
-    total = _total_pairs(left, right, on, kind)
-    buckets = max(1, total // (_OVERSAMPLING * n))
-    pairs = drawn(buckets)
-    # Few distinct rows can leave buckets uneven; fewer buckets then.
-    while buckets > 1 and pairs.count() < n:
-        buckets //= 2
-        pairs = drawn(buckets)
-    # The digest covers both sides in full, so rows of one digest are identical.
-    sampled = hash_sample(pairs, n, seed, [*_POSITIVE_KEY, *_CANDIDATE_KEY])
+    same = [*on, "_name", "_siren"]
+    placed = materialise(in_order(left, *same, *_POSITIVE_KEY), f"{kind}-positives")
+    # Rows of one place, name and identifier are neighbours inside a part.
+    spans = placed.groupBy(*same, F.col("part").alias("_span")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("at").alias("_first")
+    )
+    spans = materialise(spans, f"{kind}-spans")
+    partners = _partners(spans, numbered, on)
+    weighted = salted_join(spans, partners, same, counted=spans).withColumns(
+        {"_weight": F.col("_rows") * F.col("_partners"), "_one": F.lit(1)}
+    )
+    ordered = materialise(in_order(weighted, *same, "_span"), f"{kind}-ordered")
+    sums = running_sums(ordered, {"_upto": "_weight", "_number": "_one"}).drop("at", "part")
+    spans = materialise(sums.withColumn("_start", F.col("_upto") - F.col("_weight")), f"{kind}-weighted")
+    total = spans.agg(F.coalesce(F.max("_upto"), F.lit(0)).alias("n")).first()["n"]
+
+    # Which span, which positive of it, which of its partners.
+    drawn = counts_upto(spans.select(F.col("_start").alias("_value")), _numbers(spark, total, n, seed), "_value", name="_number")
+    drawn = drawn.join(spans, "_number").withColumn("_value", F.col("_value") - F.col("_start"))
+    drawn = drawn.withColumns(
+        {"_row": F.col("_first") + F.expr("_value div _partners"), "_value": F.col("_value") % F.col("_partners")}
+    )
+    # Past the candidates of the name: count as if only those of the identifier were left out.
+    passed = F.when(F.col("_value") >= F.col("_from") - F.col("_before"), F.col("_n_name") - F.col("_n_both"))
+    drawn = drawn.select(*on, "_siren", "_row", (F.col("_value") + F.coalesce(passed, F.lit(0))).alias("_value"))
+    # The j-th number left out, less j, says how many are kept ahead of it.
+    by = [*on, "_siren"]
+    ranked = in_order(numbered.select(*by, "_pos", F.lit(1).alias("_one")), *by, "_pos")
+    ranked = running_sums(materialise(ranked, f"{kind}-ranked"), {"_rank": "_one"}, by)
+    marks = ranked.select(*by, (F.col("_pos") - F.col("_rank") + 1).alias("_value"))
+    found = counts_upto(marks, drawn, "_value", by, "_skipped")
+    found = found.select(*on, "_row", (F.col("_value") + F.col("_skipped")).alias("_pos"))
+    partner = numbered.select(*on, "_pos", "cand_siren", "cand_name", "cand_label", "cand_rows")
+    chosen = materialise(found.join(partner, [*on, "_pos"]).drop(*on, "_pos"), f"{kind}-chosen")
+    sampled = small_join(placed.withColumnRenamed("at", "_row"), chosen, ["_row"])
     return sampled.select(
         *PAIR_COLUMNS[:7],
         F.col("cand_siren").alias("target_siren"),

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from nomenlink import bindings as b
 from nomenlink.functions import similarity as sim
 from nomenlink.operators import blocking, cache, enrich, metrics, negatives, resolve, sampling, silver
+from nomenlink.operators.ordering import counts_upto
 from nomenlink.operators.features import FEATURE_COLUMNS, pair_features
 from nomenlink.schemas import CACHE_SCHEMA, CONFIDENCE_NONE
 
@@ -85,6 +87,55 @@ def test_negatives_are_exact_when_they_fit(spark):
     )
 
 
+def test_draws_have_the_wanted_number_and_no_pair_twice(spark):
+    random.seed(11)
+    # One name and one identifier hold a third of the rows each.
+    rows = []
+    for k in range(240):
+        name = "hot" if k % 3 == 0 else f"name{k % 11}"
+        siren = None if k % 4 == 1 else "9" if k % 3 == 1 else str(1 + k % 13)
+        rows.append((k, name, siren, f"city{k % 5}", f"{75001 + k % 7}", f"{k % 2:02d}"))
+    norm = _norm(spark, rows).cache()
+    positives = silver.silver_positives(norm, require_unambiguous=False).cache()
+    known, left = silver.known_groups(norm).collect(), positives.collect()
+
+    for draw, same_place in ((negatives.hard_negatives, True), (negatives.random_negatives, False)):
+        listed = Counter(
+            (p["missing_row_id"], p["nom_key"], k["target_siren"], k["known_entreprise_nom"], k["known_location_label"])
+            for p in left
+            for k in known
+            if (not same_place or p["dept_norm"] == k["dept_norm"])
+            and p["nom_key"] != k["nom_key"]
+            and p["target_siren"] != k["target_siren"]
+        )
+        for n in (listed.total(), listed.total() // 2):
+            pairs = draw(positives, norm, n=n).select(
+                "missing_row_id", "nom_key", "target_siren", "known_entreprise_nom", "known_location_label"
+            )
+            drawn = Counter(map(tuple, pairs.collect()))
+            assert drawn.total() == n and drawn <= listed
+    assert negatives.random_negatives(positives.limit(0), norm).count() == 0
+
+
+def test_drawn_numbers_differ_and_span_the_range(spark):
+    for total, n in ((0, 5), (5, 5), (7, 5), (1000, 7), (10**17, 50)):
+        numbers = [r[0] for r in negatives._numbers(spark, total, n, 1).collect()]
+        assert len(set(numbers)) == len(numbers) == min(n, total)
+        assert all(i * total // n - 1 <= x <= (i + 1) * total // n + 1 for i, x in enumerate(sorted(numbers)) if total > n)
+        assert all(0 <= x < total for x in numbers)
+
+
+def test_counting_marks_up_to_a_value(spark):
+    random.seed(3)
+    marks = [(random.choice("ab"), random.randrange(30)) for _ in range(400)]
+    asks = [(n, random.choice("abc"), random.randrange(-2, 33)) for n in range(90)]
+    counted = counts_upto(
+        spark.createDataFrame(marks, "g string, v long"), spark.createDataFrame(asks, "n long, g string, v long"), "v", ["g"]
+    )
+    expected = [(n, g, v, sum(h == g and w <= v for h, w in marks)) for n, g, v in asks]
+    assert sorted(map(tuple, counted.collect())) == expected
+
+
 def test_large_samples_equal_a_sorted_limit(spark, monkeypatch):
     df = spark.range(5000).withColumn("x", F.col("id") % 7)
     expected = sorted(r["id"] for r in sampling.hash_sample(df, 1234, 3).collect())
