@@ -164,13 +164,10 @@ def pair_features(spark, sf):
 # ---------------------------------------------------------------------------
 # Classifier
 
-_ROUNDS = 20
-
-
 @lru_cache(maxsize=4)
 def _trained_once(app_id: str, sf: str):
     rows = features(SparkSession.getActiveSession(), sf)
-    return matcher.train_matcher(rows.where(~_gold()), rounds=_ROUNDS), rows
+    return matcher.train_boosted(rows.where(~_gold())), rows
 
 
 def _gold():
@@ -178,11 +175,16 @@ def _gold():
     return F.pmod(F.crc32(F.coalesce("nom_key", F.lit(""))), F.lit(5)) == 0
 
 
-def _trained(spark, sf):
+def _boosted(spark, sf):
     """One classifier per session and table folder, for all queries that use one."""
     return _trained_once(spark.sparkContext.applicationId, sf)
 
 
+def _trained(spark, sf):
+    boosted, rows = _boosted(spark, sf)
+    return boosted.model, rows
+
+
 @check("train_matcher")
 def train_matcher(spark, sf):
     """The classifier's metrics on the pairs it was not trained on."""
@@ -191,6 +193,14 @@ def train_matcher(spark, sf):
     return matcher.evaluate(matcher.score_pairs(model, validation))
 
 
+@check("validation_curve")
+def validation_curve(spark, sf):
+    """The loss on names kept out of fitting after each round, and the round the classifier is cut at."""
+    boosted, _ = _boosted(spark, sf)
+    rows = [(i, loss, i == boosted.best_round) for i, loss in enumerate(boosted.curve, 1)]
+    return spark.createDataFrame(rows, "round int, log_loss double, is_best boolean")
+
+
 @check("score_pairs")
 def score_pairs(spark, sf):
     model, rows = _trained(spark, sf)
@@ -236,5 +246,5 @@ def naf_text_score(spark, sf):
 
 @check("silver_experiment")
 def silver_experiment_(spark, sf):
-    done = silver_experiment(b.offers(spark, sf), id_col="offer_id", max_pairs=40_000, rounds=_ROUNDS)
+    done = silver_experiment(b.offers(spark, sf), id_col="offer_id", max_pairs=40_000)
     return done.summary

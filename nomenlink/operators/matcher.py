@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import RegexTokenizer, StopWordsRemover, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nomenlink.operators import metrics
@@ -17,11 +18,12 @@ from nomenlink.operators.features import FEATURE_COLUMNS, labelled_only, pair_fe
 from nomenlink.operators.sampling import SEED, group_split
 from nomenlink.operators.resolve import mean_score
 from nomenlink.operators.skew import salted_join
-from nomenlink.session import materialise
+from nomenlink.session import materialise, shared_dir
 
 # --- fixed values of the classifier and of the text score
 LEARNING_RATE = 0.05
 MAX_ROUNDS = 500
+PATIENCE = 50
 MIN_ROWS_PER_LEAF = 100
 FEATURE_SHARE = "0.9"
 ROW_SHARE = 0.9
@@ -31,38 +33,102 @@ ROW_SHARE = 0.9
 MAX_DEPTH = 5
 
 
-def train_matcher(
+@dataclass(frozen=True)
+class Boosted:
+    """A fitted matcher, cut to its best round, and the log loss on the validation side after each round."""
+
+    model: PipelineModel
+    best_round: int
+    curve: list[float]
+
+
+def best_round(curve: list[float], patience: int = PATIENCE) -> tuple[int, bool]:
+    """The best round of a curve of losses, from 1, and whether ``patience`` rounds after it brought no better one.
+
+    Rounds are seen in their order: what comes after a stall of that length does not count.
+    """
+    best = 0
+    for i, loss in enumerate(curve):
+        if loss < curve[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def first_rounds(trees: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
+    """The ensemble of the first ``rounds`` trees."""
+    if rounds >= trees.getNumTrees:
+        return trees
+    # Spark's public constructor of (uid, trees, weights); Python has no call for it.
+    gateway = SparkSession.active().sparkContext._gateway
+    ml = gateway.jvm.org.apache.spark.ml
+    kept = gateway.new_array(ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = gateway.new_array(gateway.jvm.double, rounds)
+    for i, tree in enumerate(trees.trees[:rounds]):
+        kept[i], weights[i] = tree._java_obj, trees.treeWeights[i]
+    cut = ml.classification.GBTClassificationModel(f"{trees.uid}-{rounds}", kept, weights)
+    return GBTClassificationModel(cut).setFeaturesCol(trees.getFeaturesCol())
+
+
+def train_boosted(
     features: DataFrame,
     rounds: int = MAX_ROUNDS,
     seed: int = SEED,
     min_rows_per_leaf: int = MIN_ROWS_PER_LEAF,
     columns: list[str] | None = None,
-) -> PipelineModel:
-    """Boosted trees on pair features; stops when the validation side stalls.
+    patience: int = PATIENCE,
+) -> Boosted:
+    """Boosted trees on pair features, stopped and cut by the loss on names kept out of fitting.
 
-    Classes are weighted to balance, and the names of the validation side do
-    not occur on the training side.
+    Classes are weighted to balance. A short fit comes first, of twice the
+    patience; only if its curve has not stalled are all rounds fitted. Without
+    a row on the validation side nothing can stall and all rounds are kept.
     """
+    spark = features.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        # Rounds build on one another; their lineage is cut every tenth one.
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     rows = group_split(labelled_only(features), seed=seed).withColumn("label", F.col("label").cast("double"))
-    n = rows.agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")).first()
+    assembler = VectorAssembler(inputCols=columns or FEATURE_COLUMNS, outputCol="features")
+    rows = materialise(rows, "boosting")
+    training, validation = rows.where(~F.col("is_validation")), rows.where("is_validation")
+    n = training.agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")).first()
     total = n["pos"] + n["neg"]
     balance = F.when(F.col("label") == 1, total / (2 * max(1, n["pos"]))).otherwise(total / (2 * max(1, n["neg"])))
-    weighted = rows.withColumn("weight", balance)
-    trees = GBTClassifier(
-        featuresCol="features",
-        labelCol="label",
-        weightCol="weight",
-        validationIndicatorCol="is_validation",
-        stepSize=LEARNING_RATE,
-        maxIter=rounds,
-        maxDepth=MAX_DEPTH,
-        minInstancesPerNode=min_rows_per_leaf,
-        subsamplingRate=ROW_SHARE,
-        featureSubsetStrategy=FEATURE_SHARE,
-        seed=seed,
-    )
-    assembler = VectorAssembler(inputCols=columns or FEATURE_COLUMNS, outputCol="features")
-    return Pipeline(stages=[assembler, trees]).fit(weighted)
+    weighted, unseen = (assembler.transform(side.withColumn("weight", balance)) for side in (training, validation))
+    judged = not validation.isEmpty()
+    first = min(rounds, 2 * patience) if judged else rounds
+    for wanted in dict.fromkeys((first, rounds)):
+        trees = GBTClassifier(
+            featuresCol="features",
+            labelCol="label",
+            weightCol="weight",
+            stepSize=LEARNING_RATE,
+            maxIter=wanted,
+            maxDepth=MAX_DEPTH,
+            minInstancesPerNode=min_rows_per_leaf,
+            subsamplingRate=ROW_SHARE,
+            featureSubsetStrategy=FEATURE_SHARE,
+            seed=seed,
+        ).fit(weighted)
+        curve = list(trees.evaluateEachIteration(unseen)) if judged else []
+        best, stalled = best_round(curve, patience) if judged else (trees.getNumTrees, True)
+        if stalled:
+            break
+    return Boosted(PipelineModel([assembler, first_rounds(trees, best)]), best, curve)
+
+
+def train_matcher(
+    features: DataFrame,
+    rounds: int = MAX_ROUNDS,
+    seed: int = SEED,
+    min_rows_per_leaf: int = MIN_ROWS_PER_LEAF,
+    columns: list[str] | None = None,
+    patience: int = PATIENCE,
+) -> PipelineModel:
+    """The model of ``train_boosted`` alone."""
+    return train_boosted(features, rounds, seed, min_rows_per_leaf, columns, patience).model
 
 
 def score_pairs(model: PipelineModel, features: DataFrame) -> DataFrame:
@@ -86,7 +152,10 @@ def _trees(model: PipelineModel) -> GBTClassificationModel:
 def feature_importance(model: PipelineModel, spark, columns: list[str] | None = None) -> DataFrame:
     """Gain and number of splits per feature; the model is small by design."""
     columns = columns or FEATURE_COLUMNS
-    gain = _trees(model).featureImportances.toArray()
+    gain = [0.0] * len(columns)
+    importances = _trees(model).featureImportances
+    for i, value in zip(importances.indices, importances.values):
+        gain[int(i)] = value
     # Every split is printed once with its condition and once with the opposite.
     tested = Counter(int(i) for i in re.findall(r"If \(feature (\d+) ", _trees(model).toDebugString))
     splits = [tested[i] for i in range(len(columns))]

@@ -78,9 +78,9 @@ def _partners(spans: DataFrame, numbered: DataFrame, on: list[str]) -> DataFrame
         (on, [rows.alias("_n_all")]),
         ([*on, "_name"], [rows.alias("_n_name"), F.min("_pos").alias("_from")]),
         ([*on, "_siren"], [rows.alias("_n_siren")]),
-        (kind, [rows.alias("_n_both")]),
     ):
         sized = salted_join(sized, numbered.groupBy(*keys).agg(*counts), keys, "left", counted=kinds)
+    sized = sized.join(numbered.groupBy(*kind).agg(rows.alias("_n_both")), kind, "left")
     sized = sized.fillna(0, ["_n_all", "_n_name", "_from", "_n_siren", "_n_both"])
     same = [*on, "_siren"]
     marks = numbered.select(*same, F.col("_pos").alias("_value"))
@@ -110,7 +110,7 @@ def _draw(
     )
     spans = materialise(spans, f"{kind}-spans")
     partners = _partners(spans, numbered, on)
-    weighted = salted_join(spans, partners, same, counted=spans).withColumns(
+    weighted = spans.join(partners, same).withColumns(
         {"_weight": F.col("_rows") * F.col("_partners"), "_one": F.lit(1)}
     )
     ordered = materialise(in_order(weighted, *same, "_span"), f"{kind}-ordered")

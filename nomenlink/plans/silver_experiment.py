@@ -49,10 +49,10 @@ def silver_experiment(
         silver.training_pairs(fitted, negatives.all_negatives(hard, random, max_pairs, seed)), "pairs"
     )
     features = materialise(pair_features(pairs), "features")
-    model = matcher.train_matcher(features, rounds, seed)
+    boosted = matcher.train_boosted(features, rounds, seed)
+    model = boosted.model
     validation = group_split(features, seed=seed).where(F.col("is_validation"))
     scored = materialise(matcher.score_pairs(model, validation), "scored")
-    best = model.stages[-1].getNumTrees
     return Experiment(
         reports={
             "overview": silver.norm_overview(norm),
@@ -70,6 +70,6 @@ def silver_experiment(
         scored=scored,
         errors=metrics.error_list(scored, tie_break=("missing_row_id", "target_siren")),
         summary=metrics.experiment_summary(
-            pairs, scored, {"strict_geo_level": level.value, "best_iteration": int(best)}
+            pairs, scored, {"strict_geo_level": level.value, "best_iteration": boosted.best_round}
         ),
     )

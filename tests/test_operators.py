@@ -2,11 +2,12 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
 from nomenlink import bindings as b
 from nomenlink.functions import similarity as sim
-from nomenlink.operators import blocking, cache, enrich, metrics, negatives, resolve, sampling, silver
+from nomenlink.operators import blocking, cache, enrich, matcher, metrics, negatives, resolve, sampling, silver
 from nomenlink.operators.ordering import counts_upto
 from nomenlink.operators.features import FEATURE_COLUMNS, pair_features
 from nomenlink.schemas import CACHE_SCHEMA, CONFIDENCE_NONE
@@ -414,3 +415,32 @@ def test_all_terms_of_labels_count(spark):
     assert got[5] == got[6] == got[7] == 0.0
     few = {r["id"]: r["naf_semantic_score"] for r in matcher.naf_text_score(df, terms=2).collect()}
     assert abs(few[0] - 2 * shared) < 1e-6
+
+
+def test_best_round_waits_for_the_patience_and_no_longer():
+    assert matcher.best_round([5.0, 4.0, 4.5, 3.0, 3.5], 3) == (4, False)
+    assert matcher.best_round([5.0, 4.0, 4.5, 4.0, 4.2, 1.0], 3) == (2, True)
+    assert matcher.best_round([1.0], 3) == (1, False)
+    assert matcher.best_round([2.0, 2.0, 2.0], 2) == (1, True)
+
+
+def test_boosting_is_cut_at_the_best_round_of_unseen_names(spark, tmp_path):
+    # The rule is the opposite one for unseen names, so their loss rises with every round.
+    random.seed(1)
+    rows = [(f"n{k % 40}", random.random(), random.random()) for k in range(400)]
+    noise = sampling.group_split(spark.createDataFrame(rows, "nom_key string, a double, b double"))
+    noise = noise.withColumn("label", ((F.col("a") > 0.5) != F.col("is_validation")).cast("int")).drop("is_validation")
+    boosted = matcher.train_boosted(noise, rounds=30, min_rows_per_leaf=1, columns=["a", "b"], patience=3)
+    assert len(boosted.curve) == 6 and boosted.curve == sorted(boosted.curve)
+    trees = boosted.model.stages[-1]
+    assert trees.getNumTrees == boosted.best_round == 1
+    rows = boosted.model.stages[0].transform(noise.withColumn("label", F.col("label").cast("double")))
+    whole = GBTClassifier(maxIter=4, seed=1).fit(rows)
+    first = matcher.first_rounds(whole, 2)
+    assert first.evaluateEachIteration(rows) == pytest.approx(whole.evaluateEachIteration(rows)[:2])
+    unseen = sampling.group_split(noise).where("is_validation")
+    assert matcher.feature_importance(boosted.model, spark, ["a", "b"]).count() == 2
+    boosted.model.write().save(str(tmp_path / "model"))
+    loaded = type(boosted.model).load(str(tmp_path / "model"))
+    expected = [r["pred"] for r in matcher.score_pairs(boosted.model, unseen).orderBy("a").collect()]
+    assert [r["pred"] for r in matcher.score_pairs(loaded, unseen).orderBy("a").collect()] == expected
