@@ -185,11 +185,22 @@ def unambiguous_grain(known: DataFrame, level: GeoLevel = GeoLevel.DEPARTMENT) -
 
 
 def null_safe_grain_join(pairs: DataFrame, grains: DataFrame, level: GeoLevel) -> DataFrame:
-    """Attach the grain counts to rows of the same grain; nulls match nulls."""
+    """Attach the grain counts to rows of the same grain; nulls match nulls.
+
+    Each key is joined as its value and a mark for null, neither of which is
+    ever null, so that frequent grains, those of nulls included, are salted.
+    """
     keys = ["nom_key", *level.columns]
-    renamed = grains.withColumnsRenamed({key: f"_{key}" for key in keys})
-    condition = [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in keys]
-    return pairs.join(renamed, condition).drop(*[f"_{key}" for key in keys])
+    marks = [f"_null_{key}" for key in keys]
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.withColumns({f"_value_{key}": F.coalesce(F.col(key), F.lit("")) for key in keys}).withColumns(
+            {f"_null_{key}": F.col(key).isNull() for key in keys}
+        )
+
+    on = [f"_value_{key}" for key in keys] + marks
+    joined = salted_join(marked(pairs), marked(grains).drop(*keys), on)
+    return joined.drop(*on)
 
 
 def _place_key(c: str) -> Column:

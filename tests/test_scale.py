@@ -89,6 +89,20 @@ def test_null_keys_do_not_meet(spark):
         assert largest_share(joined) < 0.12
 
 
+def test_null_grains_match_and_are_spread(spark, monkeypatch):
+    with settings(spark, **SPREAD):
+        zipcode = F.when(F.col("id") % 3 == 1, "").when(F.col("id") % 3 == 2, (F.col("id") % 50).cast("string"))
+        rows = spark.range(0, 6000, 1, 4).select("id", F.lit("acme").alias("nom_key"), zipcode.alias("zipcode_norm"))
+        grains = rows.groupBy("nom_key", "zipcode_norm").agg(F.count(F.lit(1)).alias("n"))
+        monkeypatch.setattr(skew, "ROWS_PER_TASK", 100)
+        joined = silver.null_safe_grain_join(rows, grains, silver.GeoLevel.ZIPCODE)
+        assert joined.columns == ["id", "nom_key", "zipcode_norm", "n"]
+        assert joined.count() == 6000
+        assert {r["n"] for r in joined.where("zipcode_norm is null").collect()} == {2000}
+        assert {r["n"] for r in joined.where("zipcode_norm = ''").collect()} == {2000}
+        assert largest_share(joined) < 0.15
+
+
 def test_reports_read_two_columns(spark, sf, tmp_path):
     path = str(tmp_path / "offers")
     b.offers(spark, sf).write.parquet(path)
