@@ -444,3 +444,9 @@ def test_boosting_is_cut_at_the_best_round_of_unseen_names(spark, tmp_path):
     loaded = type(boosted.model).load(str(tmp_path / "model"))
     expected = [r["pred"] for r in matcher.score_pairs(boosted.model, unseen).orderBy("a").collect()]
     assert [r["pred"] for r in matcher.score_pairs(loaded, unseen).orderBy("a").collect()] == expected
+
+
+def test_terms_are_counted_inside_their_row(spark):
+    df = spark.createDataFrame([(["a", "a", "b", "c", "c", "c"],), (["x"],), ([],), (None,)], "t array<string>")
+    got = [r["c"] for r in df.select(matcher._counted(F.col("t")).alias("c")).collect()]
+    assert [[tuple(c) for c in runs or []] for runs in got] == [[("a", 2.0), ("b", 1.0), ("c", 3.0)], [("x", 1.0)], [], []]
