@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from nomenlink.functions.identifiers import safe_text
 from nomenlink.schemas import CACHE_SCHEMA
 
+# A file with line breaks inside values is read by one task, so files are kept short.
+ROWS_PER_CSV_FILE = 250_000
+
 # --- fixed values: renamed and defaulted columns of a reviewed pair file
 GOLD_RENAMES = {"candidate_name": "known_entreprise_nom", "candidate_siren": "target_siren"}
 GOLD_DEFAULTS = {
@@ -37,7 +40,8 @@ def write_pairs(pairs: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+    writer = df.write.mode("overwrite").option("header", "true").option("escape", '"')
+    writer.option("maxRecordsPerFile", ROWS_PER_CSV_FILE).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -49,11 +53,13 @@ def load_gold_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Reviewed pairs from Parquet or CSV, completed to the pair columns."""
     gold = read_csv(spark, path) if path.lower().rstrip("/").endswith(".csv") else spark.read.parquet(path)
     gold = gold.withColumnsRenamed(GOLD_RENAMES)
+    keyed = "nom_key" in gold.columns
     for name, default in GOLD_DEFAULTS.items():
         if name not in gold.columns:
             kind = "string" if default is None else "long"
             gold = gold.withColumn(name, F.lit(default).cast(kind))
-    any_key = gold.agg(F.count("nom_key")).scalar()
+    # Without the column nothing is counted, so the files are read once.
+    any_key = gold.agg(F.count("nom_key")).scalar() if keyed else F.lit(0)
     from_name = F.lower(safe_text(F.col("missing_entreprise_nom")))
     return gold.withColumns(
         {

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nomenlink import bindings as b
 from nomenlink.checks.matching import offer_queries
 from nomenlink.operators import blocking, coverage, enrich, silver, skew, worklist
+from nomenlink.sources import files
 
 
 @contextmanager
@@ -157,3 +158,14 @@ def test_one_department_becomes_many_tile_pairs(spark, monkeypatch):
     seen = blocking.rank_candidates(queries, register, 4).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("r"))
     assert seen.where("n != 4 or r != 4").count() == 0
     assert seen.count() == queries.count()
+
+
+def test_csv_files_stay_short(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "ROWS_PER_CSV_FILE", 10)
+    rows = spark.range(0, 95, 1, 1).select(F.lit("a\nb").alias("missing_entreprise_nom"), F.col("id").alias("label"))
+    path = str(tmp_path / "gold.csv")
+    files.write_csv(rows, path)
+    assert len(list((tmp_path / "gold.csv").glob("part-*.csv"))) == 10
+    gold = files.load_gold_pairs(spark, path)
+    assert gold.where("nom_key = 'a\nb'").count() == 95
+    assert "Subquery" not in plan(gold)
