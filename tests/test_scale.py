@@ -160,6 +160,18 @@ def test_one_department_becomes_many_tile_pairs(spark, monkeypatch):
     assert seen.count() == queries.count()
 
 
+def test_the_join_of_positives_keeps_its_tasks(spark):
+    row = "row_id long, entreprise_nom string, nom_key string, siren_norm string, location_label string, " \
+        "city_key string, zipcode_norm string, dept_norm string, is_blacklisted boolean"
+    rows = [(k, f"n{k % 40}", f"n{k % 40}", "1" if k % 2 else None, None, None, None, "75", False) for k in range(400)]
+    rows += [(k + 400, f"n{k % 40}", f"n{k % 40}", None, None, None, None, "75", False) for k in range(400)]
+    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "true",
+                            "spark.sql.shuffle.partitions": "16"}):
+        pairs = silver.silver_positives(spark.createDataFrame(rows, row))
+        pairs.collect()
+        assert pairs.rdd.getNumPartitions() == 16
+
+
 def test_csv_files_stay_short(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "ROWS_PER_CSV_FILE", 10)
     rows = spark.range(0, 95, 1, 1).select(F.lit("a\nb").alias("missing_entreprise_nom"), F.col("id").alias("label"))
