@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from nomenlink import bindings as b
 from nomenlink.checks.matching import offer_queries
-from nomenlink.operators import blocking, coverage, enrich, silver, skew, worklist
+from nomenlink.operators import blocking, coverage, enrich, negatives, silver, skew, worklist
+from nomenlink.session import materialise
 from nomenlink.sources import files
 
 
@@ -160,6 +161,30 @@ def test_one_department_becomes_many_tile_pairs(spark, monkeypatch):
     assert seen.count() == queries.count()
 
 
+def test_positives_are_placed_by_offer(spark, monkeypatch):
+    written = {}
+
+    def spy(df, label):
+        written[label] = materialise(df, label)
+        return written[label]
+
+    monkeypatch.setattr(negatives, "materialise", spy)
+    # One name of 20 offers meets 30 known entities of another place each, a second name the same.
+    row = "row_id long, entreprise_nom string, nom_key string, siren_norm string, location_label string, " \
+        "city_key string, zipcode_norm string, dept_norm string, is_blacklisted boolean"
+    rows = []
+    for name, siren in (("acme", "1"), ("other", "2")):
+        rows += [(len(rows) + k, name, name, None, None, None, None, "75", False) for k in range(20)]
+        rows += [(len(rows) + k, name, name, siren, None, f"c{k}", None, "75", False) for k in range(30)]
+    norm = spark.createDataFrame(rows, row)
+    positives = silver.silver_positives(norm)
+    assert positives.count() == 1200
+    drawn = negatives.hard_negatives(positives, norm, n=100)
+    assert drawn.count() == 100
+    assert written["hard_geo-positives"].count() == 40
+    assert negatives.hard_negatives(positives, norm, n=100_000).count() == 1200 * 30
+
+
 def test_the_join_of_positives_keeps_its_tasks(spark):
     row = "row_id long, entreprise_nom string, nom_key string, siren_norm string, location_label string, " \
         "city_key string, zipcode_norm string, dept_norm string, is_blacklisted boolean"
