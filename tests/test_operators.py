@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nomenlink import bindings as b
 from nomenlink.functions import similarity as sim
-from nomenlink.operators import blocking, cache, enrich, matcher, metrics, negatives, resolve, sampling, silver
+from nomenlink.operators import blocking, cache, enrich, features, matcher, metrics, negatives, resolve, sampling, silver
 from nomenlink.operators.ordering import counts_upto
 from nomenlink.operators.features import FEATURE_COLUMNS, pair_features
 from nomenlink.schemas import CACHE_SCHEMA, CONFIDENCE_NONE
@@ -450,3 +450,16 @@ def test_terms_are_counted_inside_their_row(spark):
     df = spark.createDataFrame([(["a", "a", "b", "c", "c", "c"],), (["x"],), ([],), (None,)], "t array<string>")
     got = [r["c"] for r in df.select(matcher._counted(F.col("t")).alias("c")).collect()]
     assert [[tuple(c) for c in runs or []] for runs in got] == [[("a", 2.0), ("b", 1.0), ("c", 3.0)], [("x", 1.0)], [], []]
+
+
+def test_equal_texts_are_compared_once(spark):
+    columns = "missing_entreprise_nom string, known_entreprise_nom string, nom_key string, dept_norm string, " \
+        "zipcode_norm string, city_key string, n_known_rows long, label int"
+    rows = [("Acme", "ACME", "acme", str(k), None, None, k, 1) for k in range(50)] + [(None, "x", None, None, None, None, None, 0)]
+    pairs = spark.createDataFrame(rows, columns)
+    texts = pairs.select(F.lower(F.coalesce("missing_entreprise_nom", F.lit(""))).alias("_left"),
+                         F.lower("known_entreprise_nom").alias("_right"))
+    assert features._similarities(texts).count() == 2
+    got = features.pair_features(pairs)
+    assert got.columns == [*pairs.columns, *features.FEATURE_COLUMNS]
+    assert got.count() == 51 and got.where("label = 1 and fuzz_ratio > 0 or label = 0 and fuzz_ratio = 0").count() == 51
