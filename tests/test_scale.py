@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nomenlink import bindings as b
 from nomenlink.checks.matching import offer_queries
-from nomenlink.operators import blocking, coverage, enrich, negatives, silver, skew, worklist
+from nomenlink.operators import blocking, coverage, enrich, matcher, negatives, silver, skew, worklist
 from nomenlink.session import materialise
 from nomenlink.sources import files
 
@@ -161,6 +161,24 @@ def test_one_department_becomes_many_tile_pairs(spark, monkeypatch):
     assert seen.count() == queries.count()
 
 
+def test_rounds_run_on_all_cores(spark, monkeypatch):
+    seen = []
+
+    class Spy(matcher.GBTClassifier):
+        def fit(self, dataset):
+            seen.append(dataset.rdd.glom().map(len).collect())
+            return super().fit(dataset)
+
+    monkeypatch.setattr(matcher, "GBTClassifier", Spy)
+    rows = spark.range(0, 4000, 1, 1).select(
+        F.concat(F.lit("n"), F.col("id") % 97).alias("nom_key"), (F.col("id") % 10 / 10.0).alias("a"),
+        (F.col("id") % 10 > 4).cast("int").alias("label"),
+    )
+    matcher.train_boosted(rows, rounds=2, columns=["a"], patience=1)
+    parts = seen[0]
+    assert len(parts) >= spark.sparkContext.defaultParallelism and max(parts) < 0.5 * sum(parts)
+
+
 def test_positives_are_placed_by_offer(spark, monkeypatch):
     written = {}
 
