@@ -208,8 +208,7 @@ def test_the_join_of_positives_keeps_its_tasks(spark):
         "city_key string, zipcode_norm string, dept_norm string, is_blacklisted boolean"
     rows = [(k, f"n{k % 40}", f"n{k % 40}", "1" if k % 2 else None, None, None, None, "75", False) for k in range(400)]
     rows += [(k + 400, f"n{k % 40}", f"n{k % 40}", None, None, None, None, "75", False) for k in range(400)]
-    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "true",
-                            "spark.sql.shuffle.partitions": "16"}):
+    with settings(spark, spark__sql__adaptive__enabled="true", spark__sql__shuffle__partitions="16"):
         pairs = silver.silver_positives(spark.createDataFrame(rows, row))
         pairs.collect()
         assert pairs.rdd.getNumPartitions() == 16
