@@ -81,7 +81,9 @@ def parse_address(c: Column, empty_object_as_street: bool = False) -> Column:
     def parse(text: Column) -> Column:
         # Python's None is the one word in a printed dictionary that JSON does
         # not know; single quotes are accepted by the reader.
-        json_text = F.regexp_replace(text, r"(?<=[:,\[{]\s{0,8})None(?=\s*[,}\]])", "null")
+        named = F.regexp_replace(text, r"(?<=[:,\[{]\s{0,8})None(?=\s*[,}\]])", "null")
+        # Only objects reach the reader: it raises an error inside for each text that is none.
+        json_text = F.when(text.startswith("{"), F.when(text.contains("None"), named).otherwise(text))
         return let(F.from_json(json_text, fields, _JSON_OPTIONS), lambda parsed: fields_of(text, parsed))
 
     return let(strip_whitespace(c), parse)

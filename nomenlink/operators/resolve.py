@@ -132,8 +132,8 @@ def queries_of(df: DataFrame, columns: EntityColumns) -> DataFrame:
 def dedup_entities(queries: DataFrame, order: Column | None = None) -> DataFrame:
     """One query per name and address; the last one by ``order`` is kept."""
     payload = F.struct("name", "addr", "role", "address_text")
-    order = payload if order is None else F.struct(order, payload)
-    return queries.groupBy(*QUERY_KEY).agg(F.max_by(payload, order).alias("q")).select(*QUERY_KEY, "q.*")
+    last = F.max(payload) if order is None else F.max_by(payload, F.struct(order, payload))
+    return queries.groupBy(*QUERY_KEY).agg(last.alias("q")).select(*QUERY_KEY, "q.*")
 
 
 def is_composite(name: Column) -> Column:
@@ -159,7 +159,11 @@ class Provider:
 
 
 def cache_provider(cache: DataFrame, version: Column | None = None) -> Provider:
-    index = known.cache_index(cache, version)
+    return index_provider(known.cache_index(cache, version))
+
+
+def index_provider(index: DataFrame) -> Provider:
+    """Answers of a cache that has one row per key, as ``cache_index`` gives it."""
 
     def resolve(queries: DataFrame) -> DataFrame:
         hits = queries.select(*QUERY_KEY).join(index, QUERY_KEY)
@@ -266,10 +270,13 @@ def consortium_members(queries: DataFrame) -> DataFrame:
 def consortium_resolve(queries: DataFrame, providers: list[Provider]) -> DataFrame:
     """Answers per query; a composite name takes its first member answered."""
     wanted = queries.where(is_resolvable(F.col("name"), F.col("addr")))
-    members = known.with_keys(consortium_members(wanted))
+    # Read by the grouping, by every provider and by the join of the answers.
+    members = materialise(known.with_keys(consortium_members(wanted)), "members")
     distinct = members.groupBy(*QUERY_KEY).agg(
         F.min(F.struct("name", "addr", "role", "address_text")).alias("q")
     ).select(*QUERY_KEY, "q.*")
+    if len(providers) > 1:
+        distinct = materialise(distinct, "member-queries")
     answers = provider_chain(distinct, providers)
     answered = salted_join(members, answers, QUERY_KEY)
     first = answered.groupBy(*[f"whole_{key}" for key in QUERY_KEY]).agg(
@@ -285,19 +292,26 @@ def consortium_resolve(queries: DataFrame, providers: list[Provider]) -> DataFra
     )
 
 
-def resolve(queries: DataFrame, providers: list[Provider], cache: DataFrame | None = None) -> DataFrame:
+def resolve(
+    queries: DataFrame, providers: list[Provider], cache: DataFrame | None = None, index: DataFrame | None = None
+) -> DataFrame:
     """Every distinct query with its answer, or with confidence ``none``.
 
     With a cache, whole names are looked up before composite names are split.
-    The distinct queries and the cache hits are written to the shared folder.
+    ``index`` is the ``cache_index`` of a cache, written by the caller; without
+    it that of ``cache`` is made and written here. The distinct queries and the
+    cache hits are written to the shared folder.
     """
     # The only pass over the rows; the steps below start from these files.
     distinct = materialise(dedup_entities(queries), "queries")
     chain = list(providers)
     whole = None
     rest = distinct
-    if cache is not None:
-        provider = cache_provider(cache)
+    if index is None and cache is not None:
+        # Looked up twice: keys of the whole cache are normalised and grouped once.
+        index = materialise(known.cache_index(cache), "cache-index")
+    if index is not None:
+        provider = index_provider(index)
         hits = materialise(provider_chain(distinct, [provider]), "cache-hits")
         whole = hits.withColumn("matched_name", F.lit(None).cast("string"))
         rest = distinct.join(whole.select(*QUERY_KEY), QUERY_KEY, "left_anti")

@@ -36,10 +36,12 @@ def resolve_entities(
 ) -> Resolution:
     """Resolve each distinct entity of ``rows`` once and write it on every row.
 
-    The answers are written to the shared folder first: they are the costly
-    part, and the rows and the new cache are both made from them.
+    Rows with their keys and the answers are written to the shared folder. The
+    rows are read for the distinct queries, for the frequent keys and for the
+    answers put back, and parsing their addresses costs more than reading them;
+    the answers make both the rows and the new cache.
     """
-    queries = r.queries_of(rows, columns)
+    queries = materialise(r.queries_of(rows, columns), f"asked-{columns.role.lower()}")
     answers = materialise(r.resolve(queries, providers, cache), f"answers-{columns.role.lower()}")
     back = r.map_back(queries, answers, columns.siren_col)
     kept = [*rows.columns, *([] if columns.siren_col in rows.columns else [columns.siren_col])]

@@ -4,8 +4,8 @@ from nomenlink import bindings as b
 from nomenlink.checks import QUERIES
 from nomenlink.checks.streams import batch_resolved
 from nomenlink.operators import resolve as r
-from nomenlink.plans.resolution import resolve_roles
-from nomenlink.schemas import EntityColumns
+from nomenlink.plans.resolution import resolve_role, resolve_roles
+from nomenlink.schemas import CACHE_SCHEMA, EntityColumns
 from nomenlink.session import run_dir
 from nomenlink.sources import versions
 from nomenlink.sources.register import flatten_pages
@@ -151,6 +151,34 @@ def test_roles_share_a_published_cache(spark):
     assert sum(names.count("acme") for names in asked) == 1
 
 
+def _counted(df, column, seen):
+    """``df`` with a column that counts how often its rows are made."""
+
+    @F.udf("string")
+    def same(text):
+        seen.add(1)
+        return text
+
+    return df.withColumn(column, same.asNondeterministic()(column))
+
+
+def test_rows_and_cache_of_a_role_are_made_once(spark):
+    rows_seen, cache_seen = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame([(1, "Acme", "Paris"), (2, "Other", "Paris"), (3, "Kept", None)], "id long, name string, place string")
+    rows = _counted(rows.withColumn("untyped", F.lit(None)), "name", rows_seen)
+    cache = _counted(spark.createDataFrame([("other", "Paris", "987654321")], CACHE_SCHEMA), "address", cache_seen)
+    done = resolve_role(rows, _ENTITY, [_lookup([])], cache)
+    assert {row["id"]: row["siren"] for row in done.rows.collect()} == {1: "123456789", 2: "987654321", 3: None}
+    assert done.rows.columns == ["id", "name", "place", "untyped", "siren"]
+    assert (rows_seen.value, cache_seen.value) == (3, 1)
+
+
+def test_a_long_table_of_one_file_is_spread_by_its_rows(spark, sf, monkeypatch):
+    monkeypatch.setattr(b, "_ROWS_PER_PART", 100, raising=False)
+    n = b.table(spark, sf, "orders").count()
+    assert b.contracts(spark, sf).rdd.getNumPartitions() == -(-n // 100) > spark.sparkContext.defaultParallelism
+
+
 def test_a_version_counts_only_when_it_is_published(spark):
     root, schema = run_dir(spark, "versions"), spark.createDataFrame([], "v long").schema
     assert versions.read_current(spark, root, schema).isEmpty() and versions.current_version(spark, root) is None
