@@ -54,25 +54,27 @@ def stream_resolve(
     looked up by all later ones, so an entity is compared with the register
     once. A retried batch sees the answers of earlier batches only and
     overwrites its own files.
+
+    The cache is indexed once, when the stream starts, not by every batch; the
+    rows of a batch are written once with their keys.
     """
+    indexed = None if cache is None else materialise(cache_index(cache), "cache-index")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.persist()
-        try:
-            known = answers_before(spark, target, batch_id)
-            if cache is not None:
-                known = known.unionByName(cache.select(*CACHE_SCHEMA.fieldNames()))
-            queries = r.queries_of(rows, columns)
-            answers = materialise(r.resolve(queries, providers, known), "batch-answers")
-            kept = [*batch.columns, *([] if columns.siren_col in batch.columns else [columns.siren_col])]
-            back = r.map_back(queries, answers, columns.siren_col)
-            back.select(*kept).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
-            # Written last: a batch counts for later ones when it is complete.
-            fresh = answers.where(~F.col("confidence").isin(CONFIDENCE_NONE, CONFIDENCE_CACHE))
-            fresh = fresh.select("name", F.col("address_text").alias("address"), "siren")
-            fresh.write.mode("overwrite").parquet(_answers(target, batch_id))
-        finally:
-            rows.unpersist()
+        known = cache_index(answers_before(spark, target, batch_id))
+        if indexed is not None:
+            # The highest identifier of a key wins, as in an index of all rows.
+            known = known.unionByName(indexed).groupBy(*r.QUERY_KEY).agg(F.max("siren").alias("siren"))
+        queries = materialise(r.queries_of(batch, columns), "batch-asked")
+        known = materialise(known, "batch-known")
+        answers = materialise(r.resolve(queries, providers, index=known), "batch-answers")
+        kept = [*batch.columns, *([] if columns.siren_col in batch.columns else [columns.siren_col])]
+        back = r.map_back(queries, answers, columns.siren_col)
+        back.select(*kept).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        # Written last: a batch counts for later ones when it is complete.
+        fresh = answers.where(~F.col("confidence").isin(CONFIDENCE_NONE, CONFIDENCE_CACHE))
+        fresh = fresh.select("name", F.col("address_text").alias("address"), "siren")
+        fresh.write.mode("overwrite").parquet(_answers(target, batch_id))
 
     reader = spark.readStream.schema(schema)
     if files_per_batch is not None:

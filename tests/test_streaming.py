@@ -173,6 +173,24 @@ def test_rows_and_cache_of_a_role_are_made_once(spark):
     assert (rows_seen.value, cache_seen.value) == (3, 1)
 
 
+def test_a_stream_indexes_its_cache_once(spark):
+    landing, target, checkpoint = (run_dir(spark, x) for x in ("landing", "target", "checkpoint"))
+    seen = spark.sparkContext.accumulator(0)
+    for number, name in enumerate(["Acme", "Other", "Other"]):
+        spark.createDataFrame([(number, name, "Paris")], "id long, name string, place string").coalesce(1).write.mode(
+            "append"
+        ).parquet(landing)
+    rows = [("other", "Paris", "987654321"), ("other", "Paris", "111111111"), ("acme", "Lyon", "222222222")]
+    cache = _counted(spark.createDataFrame(rows, CACHE_SCHEMA), "address", seen)
+    schema = spark.read.parquet(landing).schema
+    stream_resolve(
+        spark, schema, landing, target, checkpoint, _ENTITY, [_lookup([])], cache, files_per_batch=1
+    ).awaitTermination()
+    found = {row["id"]: row["siren"] for row in spark.read.parquet(target).collect()}
+    assert found == {0: "123456789", 1: "987654321", 2: "987654321"}
+    assert seen.value == 3
+
+
 def test_a_long_table_of_one_file_is_spread_by_its_rows(spark, sf, monkeypatch):
     monkeypatch.setattr(b, "_ROWS_PER_PART", 100, raising=False)
     n = b.table(spark, sf, "orders").count()
