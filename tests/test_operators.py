@@ -145,6 +145,36 @@ def test_large_samples_equal_a_sorted_limit(spark, monkeypatch):
     assert sampling.hash_sample(df, 6000, 3).count() == 5000
 
 
+def test_a_large_sample_reads_the_rows_at_most_twice(spark, monkeypatch):
+    seen, write = spark.sparkContext.accumulator(0), sampling.materialise
+
+    @F.udf("long")
+    def same(number):
+        seen.add(1)
+        return number
+
+    def counted(df, label):
+        stored = write(df, label)
+        return stored.withColumn("id", same.asNondeterministic()("id")) if label == "sample" else stored
+
+    df = spark.range(5000).withColumn("x", F.col("id") % 7)
+    expected = sorted(r["id"] for r in sampling.hash_sample(df, 1234, 3).collect())
+    monkeypatch.setattr(sampling, "SORTED_LIMIT", 10)
+    monkeypatch.setattr(sampling, "materialise", counted)
+    assert sorted(r["id"] for r in sampling.hash_sample(df, 1234, 3).collect()) == expected
+    assert 5000 <= seen.value <= 2 * 5000
+
+
+def test_a_sample_by_keys_that_repeat_is_whole(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "SORTED_LIMIT", 10)
+    df = spark.range(5000).withColumn("x", F.col("id") % 7)
+    ranked = sorted(range(7), key=lambda x: spark.range(1).select(sampling.digest(3, F.lit(x))).first()[0])
+    for n in (20, 700, 2000):
+        found = [r["x"] for r in sampling.hash_sample(df, n, 3, keys=["x"]).collect()]
+        whole = n // 715  # a value has 714 or 715 rows
+        assert len(found) == n and set(found) == set(ranked[: whole + 1])
+
+
 def test_row_ids_are_unique_and_stable(spark):
     df = spark.createDataFrame([("a", 1)] * 250 + [("b", None)] * 3, "x string, y int")
     first = sorted(map(tuple, sampling.with_row_id(df, chunk=100).collect()), key=str)
